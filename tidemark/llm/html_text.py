@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import mapped
+
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>(?:"[^"]*"|'[^']*'|[^>"'])*))>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[^\W\d_]+")
@@ -194,4 +196,4 @@ def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...]
             found = [main_text(t) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], [*keep, "text", "n_chars"])
 
-    return pages.select(*(pages[c] for c in keep), pages[html_col].alias("__html")).mapInArrow(run, f"{kinds}, text string, n_chars long")
+    return mapped(pages.select(*(pages[c] for c in keep), pages[html_col].alias("__html")), run, f"{kinds}, text string, n_chars long")

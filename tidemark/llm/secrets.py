@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import texts
+from tidemark.llm.common import mapped, texts, with_id
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -134,8 +134,6 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null and empty texts have no spans; masked_text is null where the text is. Null ids and repeated rows are kept.
     Columns of docs beside the two are ignored, whatever their names. Unselected outputs cost nothing to the caller.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n: list[list[int]] = [[], [], [], []]
@@ -149,4 +147,4 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 clean.append(masked(text, found) if valid else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in n), pa.array(sums, pa.string()), pa.array(said, pa.string()), pa.array(clean, pa.string())], [id_col, "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans", "masked_text"])
 
-    return docs.select(docs[id_col], docs[text_col].alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string, masked_text string")
+    return mapped(docs.select(docs[id_col], docs[text_col].alias("text")), run, with_id(docs, id_col, "n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string, masked_text string"))

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import texts
+from tidemark.llm.common import mapped, texts, with_id
 
 #: Fixed value: the split into pre-tokens that byte-level vocabularies of this family use.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -98,8 +98,6 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
     Null and empty texts have 0 bytes and 0 tokens. Null ids and repeated rows are kept as they are. Other columns of
     docs are ignored, whatever their names. The work on a text grows as n log n in its longest pre-token.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(vocabulary)
         for batch in batches:
@@ -108,4 +106,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
             size = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, n, pc.greater(n, limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(docs[id_col], docs[text_col].alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(docs.select(docs[id_col], docs[text_col].alias("text")), run, with_id(docs, id_col, "n_bytes long, n_tokens long, over_limit boolean"))
