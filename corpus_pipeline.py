@@ -1,7 +1,71 @@
-"""Placeholder until its operators exist."""
+"""A training corpus from documents: toxic ones go, one of each group of near duplicates stays, benchmark copies go,
+secrets are masked, and the sources are mixed to target weights. Each stage is written and reread as the next one's input."""
 
-STAGES: list = []
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from tidemark.llm import toxicity
+from tidemark.llm.common import table, written
+from tidemark.llm.decontaminate import decontaminate
+from tidemark.llm.jaccard import jaccard_components, sent
+from tidemark.llm.mixing import mix
+from tidemark.llm.secrets import secret_scan
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(row, text): the row as one value, so that an operator carries it along without a join."""
+    return docs.select(F.struct("*").alias("row"), "text")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score below the threshold; the model learns from the labels of documents given here."""
+    model = toxicity.learned(docs, table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(whole_rows(docs), model, id_col="row").where("predicted = 0").select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each component stays, once if its row is repeated; so do those without an id."""
+    found = written(jaccard_components(docs), "components").where("doc_id IS NOT NULL")
+    gone = sent(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    again = sent(found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return stay.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth is covered by benchmark windows."""
+    return decontaminate(whole_rows(docs), table(spark, sf_dir, "benchmark"), id_col="row").where("NOT contaminated").select("row.*")
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in their texts and n_chars counted again."""
+    masked = secret_scan(whole_rows(docs), id_col="row").select("row.*", "masked_text")
+    changes = {"text": F.col("masked_text")} | ({"n_chars": F.when(F.col("text").eqNullSafe(F.col("masked_text")), F.col("n_chars")).otherwise(F.length("masked_text").cast("long"))} if "n_chars" in docs.columns else {})
+    return masked.withColumns(changes).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with their copies and words."""
+    return mix(docs).where("copies > 0")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("mixing", mix_sources),
+]
+#: The first stage is a learned model, which SQL can't express.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, name)
+    return docs
