@@ -23,7 +23,9 @@ WORDS = re.compile(r"[^\W\d_]+")
 SAMPLE_ROWS = 5_000
 #: A feature is used if so many sampled texts have it; lengths of word beginnings that are features too.
 LEAST_TEXTS, BEGINNINGS = 4, (4, 5, 6)
-L1, L2, FAIR = 1e-4, 1e-5, 1.0
+#: A feature's value is the logarithm of its rarity in the sample over this, 1 at most: frequent words tell little.
+RARITY = 4.0
+L1, L2, FAIR = 3e-4, 1e-5, 1.0
 EPOCHS, BATCH, RATE = 12, 128, 0.3
 
 #: Terms of identity by kind; a term is swapped with others of its line.
@@ -91,6 +93,7 @@ def fit(examples: list[tuple[set[str], int]], odds: float = 0.0, fair: float = F
     rows = [np.array(sorted(column[f] for f in s if f in column), np.int64) for s in sets]
     other: dict[int, np.ndarray] = {i: np.array(sorted(column[f] for f in s if f in column), np.int64) for i, s in swapped}
     y = np.array([label for _, label in examples], float)
+    value = np.array([min(1.0, np.log(len(sets) / n_of[f]) / RARITY) for f in names])
     w, b = np.zeros(len(names)), 0.0
     seen, seen_b = np.full(len(names), 1e-2), 1e-2
     if not len(rows) or y.min() == y.max():
@@ -102,16 +105,16 @@ def fit(examples: list[tuple[set[str], int]], odds: float = 0.0, fair: float = F
             size = np.array([len(rows[i]) for i in part])
             flat = np.concatenate([rows[i] for i in part])
             at = np.repeat(np.arange(len(part)), size)
-            score = logistic(np.bincount(at, w[flat], len(part)) + b)
+            score = logistic(np.bincount(at, (w * value)[flat], len(part)) + b)
             err = (score - y[part]) / len(part)
-            grad, grad_b = np.bincount(flat, np.repeat(err, size), len(w)), err.sum()
+            grad, grad_b = value * np.bincount(flat, np.repeat(err, size), len(w)), err.sum()
             for k, i in enumerate(part.tolist()):
                 if i in other:  # the penalty on a swap that changes the score
-                    there = logistic(w[other[i]].sum() + b)
+                    there = logistic(w[other[i]] @ value[other[i]] + b)
                     diff = 2 * fair * (score[k] - there) / len(part)
                     here_slope, there_slope = score[k] * (1 - score[k]), there * (1 - there)
-                    np.add.at(grad, rows[i], diff * here_slope)
-                    np.add.at(grad, other[i], -diff * there_slope)
+                    np.add.at(grad, rows[i], diff * here_slope * value[rows[i]])
+                    np.add.at(grad, other[i], -diff * there_slope * value[other[i]])
                     grad_b += diff * (here_slope - there_slope)
             grad += L2 * w
             seen += grad**2
@@ -120,7 +123,7 @@ def fit(examples: list[tuple[set[str], int]], odds: float = 0.0, fair: float = F
             w -= rate * grad
             w = np.sign(w) * np.maximum(np.abs(w) - rate * L1, 0)
             b -= RATE / np.sqrt(seen_b) * grad_b
-    return {f: float(w[j]) for f, j in column.items() if w[j]}, float(b) + odds
+    return {f: float(w[j] * value[j]) for f, j in column.items() if w[j] * value[j]}, float(b) + odds
 
 
 class Scorer:
