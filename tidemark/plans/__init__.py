@@ -1,6 +1,6 @@
 """Queries over the test tables, by name."""
 
-from tidemark.plans import analytics, schemas
+from tidemark.plans import analytics, schemas, storage
 from tidemark.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "schemas"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "schemas", "storage"]
