@@ -103,8 +103,8 @@ class agg:  # noqa: N801  a namespace, written like the functions it holds
 
     @staticmethod
     def uniq(x: Column | str, alias: str = "uniq") -> Aggregate:
-        """Approximate, by a HyperLogLog sketch: a state of bounded size however many values there are."""
-        c = _column(x)
+        """Approximate, by a HyperLogLog sketch of hashes: a state of bounded size however many values there are."""
+        c = F.when(_column(x).isNotNull(), F.xxhash64(_column(x)))
         return Aggregate("uniq", alias, F.hll_sketch_estimate(F.hll_sketch_agg(c)), F.hll_sketch_agg(c), F.hll_union_agg, F.hll_sketch_estimate)
 
     @staticmethod

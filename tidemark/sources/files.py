@@ -19,7 +19,9 @@ def snapshot_of(columns: DataFrame) -> DataFrame:
     """(json, checksum): the columns relation as a snapshot, in the order of names, so that equal schemas have equal digests."""
     column = F.struct("name", F.struct("type", "nullable", "default").alias("c"))
     tables = columns.groupBy("table").agg(F.map_from_entries(F.array_sort(F.collect_list(column))).alias("columns"))
-    body = tables.agg(F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list(F.struct("table", F.struct("columns").alias("spec"))))).alias("tables"))).alias("json"))
+    spec = F.map_from_entries(F.collect_list(F.struct("table", F.struct("columns").alias("spec"))))
+    in_order = lambda m: F.map_from_entries(F.transform(F.array_sort(F.map_keys(m)), lambda k: F.struct(k, F.element_at(m, k))))
+    body = tables.agg(spec.alias("m")).select(F.to_json(F.struct(in_order(F.col("m")).alias("tables"))).alias("json"))
     return body.withColumn("checksum", F.sha2("json", 256))
 
 
