@@ -110,3 +110,22 @@ def test_connectors_keep_every_option():
     assert reader_options(TableKind("s3", options={"path": "s3a://b/x", "format": "CSVWithNames"})) == ("csv", {"header": "true"})
     assert reader_options(TableKind("s3_queue", options={"format": "JSONEachRow"}))[0] == "json"
     assert reader_options(TableKind("nats", options={"url": "n", "subjects": "s"})) == ("nats", {"url": "n", "subjects": "s"})
+
+
+def test_partitions_are_moved_without_reading(spark, tmp_path):
+    at, away = f"file://{tmp_path}/t", f"file://{tmp_path}/away"
+    spark.range(10).withColumn("p", F.col("id") % 2).write.partitionBy("p").parquet(at)
+    layout.move_partition(spark, at, {"p": 1}, away)
+    assert spark.read.parquet(at).count() == 5 and spark.read.parquet(away).count() == 5
+    layout.move_partition(spark, away, {"p": 1}, at)
+    assert spark.read.parquet(at).count() == 10
+    with pytest.raises(ValueError):
+        layout.move_partition(spark, away, {"p": 1}, at)
+
+
+def test_operations_without_a_statement_fail(spark):
+    from tidemark.operators.render import rendered
+
+    ops = spark.createDataFrame([("no_such_op", "t", "n", None)], "op string, table string, name string, detail string")
+    with pytest.raises(Exception, match="no statement for"):
+        rendered(ops).collect()

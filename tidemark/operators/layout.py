@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -73,3 +73,16 @@ def densely_numbered(rows: DataFrame, column: str, order_by: list[str], offset:
     sizes = parts.groupBy("__part").agg(F.count("*").alias("n"), F.min("__row").alias("__first"))
     ahead = sizes.alias("a").join(F.broadcast(sizes.select(F.col("__part").alias("p"), F.col("n").alias("m"))), F.col("p") < F.col("__part"), "left").groupBy("__part", "__first").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("__ahead"))
     return parts.join(F.broadcast(ahead), "__part").withColumn(column, F.col("__row") - F.col("__first") + F.col("__ahead") + offset).drop("__part", "__row", "__first", "__ahead")
+
+
+def move_partition(spark: SparkSession, table: str, partition: dict[str, object], to: str) -> None:
+    """Detaches a partition's folder from a stored table, or, with table and to changed about, attaches it: a rename, no
+    rows are read. Fails if there is no such partition or the target has it already."""
+    files = spark._jvm.org.apache.hadoop.fs
+    name = "/".join(f"{k}={v}" for k, v in partition.items())
+    source, target = files.Path(f"{table}/{name}"), files.Path(f"{to}/{name}")
+    there = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not there.exists(source) or there.exists(target):
+        raise ValueError(f"{name} can't be moved from {table} to {to}")
+    there.mkdirs(target.getParent())
+    there.rename(source, target)

@@ -273,3 +273,19 @@ def snapshot_columns(spark: SparkSession, d: str) -> DataFrame:
 def parsed_migrations(spark: SparkSession, d: str) -> DataFrame:
     text = "-- depends_on: 0001\n-- description: t\n-- upgrade\nCREATE TABLE t (a INT);\nCREATE INDEX i ON t (a);\n-- rollback\nDROP TABLE t;\n"
     return files.parsed(spark.createDataFrame([("0002_t.sql", text)], "filename string, text string")).select("version", "section", "seq", "sql")
+
+
+STATEMENTS = [
+    (1, "CREATE TABLE goods (id INT8, price DOUBLE PRECISION DEFAULT 0, title TEXT)", "DROP TABLE goods", False), (2, "CREATE TABLE tags (id INTEGER NOT NULL)", "DROP TABLE tags", False),
+    (3, "ALTER TABLE users RENAME COLUMN nick TO alias", "ALTER TABLE users RENAME COLUMN alias TO nick", False), (4, "ALTER TABLE users ALTER COLUMN email TYPE varchar(255)", "ALTER TABLE users ALTER COLUMN email TYPE varchar(100)", False),
+    (5, "ALTER TABLE users ALTER COLUMN id TYPE bigint", "ALTER TABLE users ALTER COLUMN id TYPE integer", False), (6, "DROP TABLE items", "CREATE TABLE items ()", True), (7, "DROP TABLE posts", "CREATE TABLE posts ()", True),
+]
+
+
+@query(f"SELECT * FROM {values(STATEMENTS, 'seq, sql, rollback, irreversible').replace('INT8,', 'INT8 NOT NULL,')}")
+def rendered_ops(spark: SparkSession, d: str) -> DataFrame:
+    """A difference as statements, renames confirmed."""
+    from tidemark.operators.render import rendered
+
+    ops = schema_diff.diff(old(spark), new(spark))
+    return rendered(schema_diff.with_renames(ops, schema_diff.rename_candidates(ops)), new(spark)).select("seq", "sql", "rollback", "irreversible")
