@@ -205,3 +205,15 @@ def dependency_order(files: DataFrame) -> DataFrame:
           SELECT version, 0 FROM __tidemark_edges WHERE needs IS NULL
           UNION ALL SELECT e.version, w.level + 1 FROM __tidemark_edges e JOIN walk w ON e.needs = w.version WHERE w.level < 90)
         SELECT version, max(level) AS level FROM walk GROUP BY version""")
+
+
+def with_pending(columns: DataFrame, statements: DataFrame) -> DataFrame:
+    """columns (table, name, type) as they will be once statements (seq, sql) that add and drop columns and drop tables
+    have run: of each column, the last statement about it counts."""
+    add, drop, gone = r"(?is)^\s*ALTER\s+TABLE\s+(\w+)\s+ADD\s+(?:COLUMN\s+)?(\w+)\s+([\w(), ]+?)\s*;?\s*$", r"(?is)^\s*ALTER\s+TABLE\s+(\w+)\s+DROP\s+(?:COLUMN\s+)?(\w+).*", r"(?is)^\s*DROP\s+TABLE\s+(?:IF\s+EXISTS\s+)?(\w+).*"
+    part = lambda p, i: F.regexp_extract("sql", p, i)
+    told = statements.select("seq", F.when(F.col("sql").rlike(add), F.struct(part(add, 1).alias("table"), part(add, 2).alias("name"), part(add, 3).alias("type"))).when(F.col("sql").rlike(drop), F.struct(part(drop, 1).alias("table"), part(drop, 2).alias("name"), F.lit(None).cast("string").alias("type"))).alias("c"))
+    tables = statements.where(F.col("sql").rlike(gone)).select(part(gone, 1).alias("table"), "seq").groupBy("table").agg(F.max("seq").alias("gone"))
+    changes = columns.select("table", "name", "type", F.lit(-1).alias("seq")).unionByName(told.where("c IS NOT NULL").select("c.*", "seq"))
+    last = changes.groupBy("table", "name").agg(F.max_by(F.struct("type", "seq"), "seq").alias("c")).join(tables, "table", "left")
+    return last.where("c.type IS NOT NULL AND (gone IS NULL OR c.seq > gone)").select("table", "name", "c.type")

@@ -471,3 +471,31 @@ def sql_function(spark: SparkSession, d: str) -> DataFrame:
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION tidemark_negated(x DOUBLE) RETURNS DOUBLE RETURN -x")
     load(spark, d, "customer").createOrReplaceTempView("sf_customer")
     return spark.sql("SELECT c_custkey, c_mktsegment, CAST(rank() OVER (PARTITION BY c_mktsegment ORDER BY tidemark_negated(c_acctbal), c_custkey) AS BIGINT) AS place FROM sf_customer")
+
+
+@query("SELECT 'o_orderstatus' AS columns, count(DISTINCT o_orderstatus) AS n FROM orders UNION ALL SELECT 'o_orderstatus,o_orderpriority', count(DISTINCT (o_orderstatus, o_orderpriority)) FROM orders")
+def distinct_counts(spark: SparkSession, d: str) -> DataFrame:
+    from tidemark.operators.statistics import distinct_counts as counts
+
+    return counts(load(spark, d, "orders"), [["o_orderstatus"], ["o_orderstatus", "o_orderpriority"]])
+
+
+@query("SELECT round(sum(CASE WHEN k = 1 THEN n ELSE 0 END) / sum(n), 6) AS degree FROM (SELECT o_custkey, count(DISTINCT o_orderstatus) AS k, count(*) AS n FROM orders GROUP BY 1)")
+def dependency_degree(spark: SparkSession, d: str) -> DataFrame:
+    from tidemark.operators.statistics import dependency
+
+    return dependency(load(spark, d, "orders"), "o_custkey", "o_orderstatus").select(F.round("degree", 6).alias("degree"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN NULL ELSE n_name END AS n_name, n_regionkey FROM nation")
+def clear_column_in_partition(spark: SparkSession, d: str) -> DataFrame:
+    return dml.cleared_column(load(spark, d, "nation"), "n_name", F.col("n_regionkey") == 1)
+
+
+@query("SELECT r_regionkey, n_name FROM region JOIN nation ON n_regionkey = r_regionkey WHERE n_nationkey < 12")
+def sql_table_function(spark: SparkSession, d: str) -> DataFrame:
+    """A SQL function that returns a table, joined laterally."""
+    load(spark, d, "nation").createOrReplaceTempView("tf_nation")
+    load(spark, d, "region").createOrReplaceTempView("tf_region")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION tidemark_nations(r INT) RETURNS TABLE (n_name STRING) RETURN SELECT n_name FROM tf_nation WHERE n_regionkey = r AND n_nationkey < 12")
+    return spark.sql("SELECT r_regionkey, f.n_name FROM tf_region, LATERAL tidemark_nations(r_regionkey) f")

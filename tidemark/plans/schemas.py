@@ -289,3 +289,10 @@ def rendered_ops(spark: SparkSession, d: str) -> DataFrame:
 
     ops = schema_diff.diff(old(spark), new(spark))
     return rendered(schema_diff.with_renames(ops, schema_diff.rename_candidates(ops)), new(spark)).select("seq", "sql", "rollback", "irreversible")
+
+
+@query("SELECT * FROM (VALUES ('a', 'x', 'int'), ('a', 'z', 'TEXT'), ('b', 'k', 'BIGINT')) v(\"table\", name, type)")
+def columns_with_pending(spark: SparkSession, d: str) -> DataFrame:
+    columns = spark.createDataFrame([("a", "x", "int"), ("a", "y", "int"), ("b", "old", "int")], "table string, name string, type string")
+    pending = [(1, "ALTER TABLE a ADD COLUMN z TEXT;"), (2, "alter table a drop column y"), (3, "DROP TABLE IF EXISTS b"), (4, "ALTER TABLE b ADD k BIGINT")]
+    return schema_diff.with_pending(columns, spark.createDataFrame(pending, "seq int, sql string"))

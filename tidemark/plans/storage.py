@@ -154,3 +154,13 @@ def view_safety(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i, select_is_safe(*c)) for i, c in enumerate(cases)], "k int, said string")
 
 
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 50000 GROUP BY 1")
+def refreshed_view(spark: SparkSession, d: str) -> DataFrame:
+    """A materialized view made without data, then refreshed in place."""
+    at = place(spark, "view")
+    select = load(spark, d, "orders").where("o_totalprice > 50000").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    dml.swap(spark, select.limit(0), at)
+    dml.swap(spark, select, at)
+    return spark.read.parquet(at)
