@@ -8,11 +8,11 @@ labels of the texts that it stands in.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +20,7 @@ from tidemark.llm.common import held_out, mapped, texts, with_id
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Labelled rows of each class that the fit takes at most, by hash of the id; the only thing that doesn't grow with the data.
-SAMPLE_ROWS = 5_000
+SAMPLE_ROWS = 4_000
 #: A feature is used if so many sampled texts have it; lengths of word beginnings that are features too.
 LEAST_TEXTS, BEGINNINGS = 4, (4, 5, 6)
 #: A feature's value is the logarithm of its rarity in the sample over this, 1 at most: frequent words tell little.
@@ -60,44 +60,53 @@ inmigrantes refugiados extranjeros ciudadanos""".splitlines()
 SWAPS = {t: [o for o in line if o != t] for line in IDENTITY for t in line}
 
 
-def features(words: set[str]) -> set[str]:
-    """Words, and their beginnings marked with a star."""
+def features(words: set[str]) -> set[int]:
+    """Hashes of words, and of their beginnings marked with a star."""
     out = set(words)
     for n in BEGINNINGS:
         out.update(w[:n] + "*" for w in words if len(w) > n)
-    return out
+    return {xxhash.xxh3_64_intdigest(f) >> 1 for f in out}
 
 
 def counterfactual(words: set[str]) -> set[str] | None:
-    """The words with every identity term swapped for the next of its kind; None without any."""
+    """The words with every identity term swapped for another of its kind; None without any."""
     found = words & SWAPS.keys()
     if not found:
         return None
     return (words - found) | {SWAPS[t][0] for t in found}
 
 
+def encoded(words: set[str] | None) -> np.ndarray | None:
+    return None if words is None else np.array(sorted(features(words)), np.int64)
+
+
 def logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(examples: list[tuple[set[str], int]], odds: float = 0.0, fair: float = FAIR) -> tuple[dict[str, float], float]:
-    """(weights of features, intercept) from (words, label) pairs, by proximal steps on batches in a fixed order.
-
-    odds: log odds of label 1 in the labelled data, less those in examples, added to the intercept.
+def fit(sets: list[np.ndarray], swapped: list[np.ndarray | None], labels: list[int], odds: float = 0.0, fair: float = FAIR) -> tuple[dict[int, float], float]:
+    """(weights of features, intercept) from features, those of the counterfactual if there is one, and labels, by proximal
+    steps on batches in a fixed order. odds: log odds of label 1 in the labelled data, less those here, added to the intercept.
     """
-    sets = [features(w) for w, _ in examples]
-    swapped = [(i, features(c)) for i, (w, _) in enumerate(examples) if (c := counterfactual(w)) is not None]
-    n_of = Counter(f for s in sets for f in s)
-    names = sorted(f for f, n in n_of.items() if n >= LEAST_TEXTS)
-    column = {f: j for j, f in enumerate(names)}
-    rows = [np.array(sorted(column[f] for f in s if f in column), np.int64) for s in sets]
-    other: dict[int, np.ndarray] = {i: np.array(sorted(column[f] for f in s if f in column), np.int64) for i, s in swapped}
-    y = np.array([label for _, label in examples], float)
-    value = np.array([min(1.0, np.log(len(sets) / n_of[f]) / RARITY) for f in names])
+    if not sets:
+        return {}, 0.0
+    y = np.array(labels, float)
+    if y.min() == y.max():
+        return {}, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))) + odds
+    names, n_of = np.unique(np.concatenate(sets), return_counts=True)
+    names, n_of = names[n_of >= LEAST_TEXTS], n_of[n_of >= LEAST_TEXTS]
+
+    def columns(s: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(names, s)
+        at = at[at < len(names)] if len(names) else at[:0]
+        s = s[: len(at)]
+        return at[names[at] == s].astype(np.int32)
+
+    rows = [columns(s) for s in sets]
+    other = {i: columns(s) for i, s in enumerate(swapped) if s is not None}
+    value = np.minimum(1.0, np.log(len(sets) / n_of) / RARITY)
     w, b = np.zeros(len(names)), 0.0
     seen, seen_b = np.full(len(names), 1e-2), 1e-2
-    if not len(rows) or y.min() == y.max():
-        return {}, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))) + odds if len(rows) else 0.0
     order = np.random.default_rng(5).permutation(len(rows))
     for _ in range(EPOCHS):
         for start in range(0, len(order), BATCH):
@@ -123,17 +132,19 @@ def fit(examples: list[tuple[set[str], int]], odds: float = 0.0, fair: float = F
             w -= rate * grad
             w = np.sign(w) * np.maximum(np.abs(w) - rate * L1, 0)
             b -= RATE / np.sqrt(seen_b) * grad_b
-    return {f: float(w[j] * value[j]) for f, j in column.items() if w[j] * value[j]}, float(b) + odds
+    weight = w * value
+    used = np.flatnonzero(weight)
+    return dict(zip(names[used].tolist(), weight[used].tolist(), strict=True)), float(b) + odds
 
 
 class Scorer:
     """The model by word: what a word adds is looked up once for each worker and distinct word."""
 
-    def __init__(self, weights: dict[str, float], intercept: float):
+    def __init__(self, weights: dict[int, float], intercept: float):
         self.weights, self.intercept = weights, intercept
-        self.known: dict[str, tuple[str, ...]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
-    def found(self, word: str) -> tuple[str, ...]:
+    def found(self, word: str) -> tuple[int, ...]:
         if len(self.known) >= 500_000:
             self.known.clear()
         self.known[word] = out = tuple(f for f in features({word}) if f in self.weights)
@@ -147,7 +158,7 @@ class Scorer:
         return float(logistic(np.float64(self.intercept + sum(self.weights[f] for f in sorted(found)))))
 
 
-def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> tuple[dict[str, float], float]:
+def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> tuple[dict[int, float], float]:
     """The model, from at most sample_rows labelled rows of each class that may be learned from.
 
     Rows are counted in full; the sample is those of least hash, so it is the same at every run. Of an id with several
@@ -161,19 +172,21 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [sorted(set(WORDS.findall(t.lower()))) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string())), batch.column(2)], ["id", "words", "y"])
+            words = [set(WORDS.findall(t.lower())) for t in texts(batch)]
+            lists = [pa.array(map(f, words), pa.list_(pa.int64())) for f in (encoded, lambda w: encoded(counterfactual(w)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, batch.column(2)], ["id", "found", "swapped", "y"])
 
     kind, label_kind = rows.schema["id"].dataType.simpleString(), rows.schema["y"].dataType.simpleString()
-    found = mapped(rows.select("id", "text", "y"), run, f"id {kind}, words array<string>, y {label_kind}").toArrow()
-    examples = sorted(zip(found["id"].to_pylist(), found["words"].to_pylist(), found["y"].to_pylist(), strict=True))
-    ones = sum(y for *_, y in examples)
-    zeros = len(examples) - ones
-    odds = np.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1)) - np.log((ones + 1) / (zeros + 1))
-    return fit([(set(w), y) for _, w, y in examples], float(odds))
+    found = mapped(rows.select("id", "text", "y"), run, f"id {kind}, found array<long>, swapped array<long>, y {label_kind}").toArrow()
+    ids, labels_of = found["id"].to_pylist(), found["y"].to_pylist()
+    lists = [[None if not x.is_valid else np.asarray(x.values) for x in found[c]] for c in ("found", "swapped")]
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], labels_of[i], lists[0][i].tobytes()))
+    ones = sum(labels_of)
+    odds = np.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1)) - np.log((ones + 1) / (len(ids) - ones + 1))
+    return fit([lists[0][i] for i in order], [lists[1][i] for i in order], [labels_of[i] for i in order], float(odds))
 
 
-def toxicity(docs: DataFrame, model: tuple[dict[str, float], float], threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, model: tuple[dict[int, float], float], threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted) for every row of docs, from whole texts alone, no shuffle. The id can be of any type.
 
     Null and empty texts have the score of a text without known words. Repeated rows and null ids are kept. Columns
