@@ -22,8 +22,8 @@ CONTEXT = re.compile(
     re.I,
 )
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "credential", "key", "auth", "bearer", "kennwort", "contrase", "clave", "mdp")
-#: Base-2 logarithm of the guesses from which a value is a secret.
-GUESS_BITS = 45.0
+#: Base-2 logarithm of the guesses from which a value is a secret; of letters alone, which may be words of any language.
+GUESS_BITS, LETTER_BITS = 45.0, 64.0
 
 #: Frequent passwords and the words that placeholders are made of, by rank.
 COMMON = """password admin user test example changeme your here my secret token key default none null true false root
@@ -90,13 +90,13 @@ def guess_bits(value: str) -> float:
 
 
 def spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, kind) of every secret: base matches, then values in credential contexts that overlap none and cost GUESS_BITS or more."""
+    """(start, end, kind) of every secret: base matches, then values in credential contexts that overlap none and cost enough guesses."""
     found = []
     if "=" in text or ":" in text:
         low = text.lower()
         if any(w in low for w in CONTEXT_WORDS) or "passwd" in low:
             found += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 8]
-            more = [m for m in CONTEXT.finditer(text) if guess_bits(m[1]) >= GUESS_BITS]
+            more = [m for m in CONTEXT.finditer(text) if guess_bits(m[1]) >= (LETTER_BITS if m[1].isalpha() else GUESS_BITS)]
         else:
             more = []
     else:
