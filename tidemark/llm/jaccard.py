@@ -1,8 +1,10 @@
 """N-gram Jaccard join: exact links between sets of word shingles, by prefix lists with block skips and derived answers.
 
-Equal sets are one class, and the class's smallest id stands for it. Two sets with a Jaccard similarity of 0.8 or more
-share one of the first n - ceil(0.8 n) + 1 shingles of either in any fixed order, so lists of those prefixes hold every
-link. The order is by hash with frequent shingles last, which keeps shared passages out of the prefixes.
+Equal sets are one class, and the class's smallest id stands for it. Sets are put in one fixed order, and their prefixes
+in lists by shingle. Two sets of a and b shingles with a Jaccard similarity of 0.8 share c = 4 (a + b) / 9 of them or more,
+so they share k of their first a - c + k and b - c + k. Prefixes are a tenth of the set longer than the one shingle that
+links need, and pairs that meet in fewer lists than that makes sure of aren't verified. The order is by hash with frequent
+shingles last, which keeps shared passages out of the prefixes.
 
 Answers are derived from a similar set's: in a list, each set is first held against one centre. Sets that link to it have
 its answers so far, that is its component, and aren't compared with one another. What is left are pairs in the same list
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -66,8 +69,14 @@ def known_shingles(text: str) -> np.ndarray:
     return next(shingle_sets([text]))
 
 
-def prefix_size(n: int) -> int:
-    return n - (4 * n + 4) // 5 + 1 if n else 0
+def prefix_size(n: Any) -> Any:
+    """Shingles of a set of n that are listed; n or arrays of it."""
+    return np.minimum(n, n - (4 * n + 4) // 5 + n // 10 + 1)
+
+
+def meetings(a: Any, b: Any) -> Any:
+    """How many lists sets of a and b shingles share at least, if they link."""
+    return np.maximum(1, np.minimum(prefix_size(a) - a, prefix_size(b) - b) - (-4 * (a + b) // 9))
 
 
 def sent(df: DataFrame, name: str) -> DataFrame:
@@ -130,7 +139,7 @@ def signatures(rows: DataFrame, last: np.ndarray) -> DataFrame:
                 a, b = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
                 f1.append(a)
                 f2.append(b)
-                p = prefix_size(len(s))
+                p = int(prefix_size(len(s)))
                 if len(tokens) and len(s):
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                     late = tokens[at] == s
@@ -157,7 +166,8 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarr
         token = now["token"]
         if not len(token):
             continue
-        cut = int(np.searchsorted(token, token[-1]))  # the last list may go on
+        change = np.flatnonzero(token[1:] != token[:-1])
+        cut = int(change[-1]) + 1 if len(change) else 0  # the last list may go on
         rest = {c: v[cut:] for c, v in now.items()}
         if cut:
             now = {c: v[:cut] for c, v in now.items()}
@@ -172,23 +182,35 @@ def possible(n_a, p_a, n_b, p_b):
     return (5 * np.minimum(n_a, n_b) >= 4 * np.maximum(n_a, n_b)) & (9 * most >= 4 * (n_a + n_b))
 
 
+def counted(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """(a, b, least, n): pairs of ids, smaller first, with the lists they need to meet in and those they met in here."""
+    x, y, n_x, n_y = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
+    order = np.lexsort((np.maximum(x, y), np.minimum(x, y)))
+    a, b, least = np.minimum(x, y)[order], np.maximum(x, y)[order], meetings(n_x, n_y)[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(least[first]), pa.array(np.diff(np.r_[first, len(a)]))], ["a", "b", "least", "n"])
+
+
+PAIRS = "a long, b long, least long, n long"
+
+
 def starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each list's pairs with its centre, without repeats; and the entries of lists of three or more, for the sweep."""
+    """Each list's pairs with its centre: the entry with the least hash, the same one in most lists of a group."""
     for now, first in runs(batches):
         token, ids, n, pos = (now[c] for c in ("token", "id", "n", "pos"))
-        size = np.diff(np.r_[first, len(token)])
-        of = np.repeat(np.arange(len(first)), size)
+        of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(token)]))
         hashed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
-        centre = np.lexsort((hashed, of))[first]  # the entry with the least hash: the same one in most lists of a group
-        c = centre[of]
+        c = np.lexsort((hashed, of))[first][of]
         good = (ids != ids[c]) & possible(n[c], pos[c], n, pos)
-        pairs = np.unique(np.stack([np.minimum(ids, ids[c]), np.maximum(ids, ids[c])], axis=1)[good], axis=0) if good.any() else np.zeros((0, 2), np.int64)
-        more = (size >= 3)[of]
-        none = np.zeros(len(pairs), np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[np.full(len(pairs), True), np.full(more.sum(), False)])] + [pa.array(np.concatenate(x)) for x in ((pairs[:, 0], token[more]), (pairs[:, 1], ids[more]), (none, n[more]), (none, pos[more]))],
-            ["pair", "a", "b", "n", "pos"],
-        )
+        yield counted([(ids[good], ids[c][good], n[good], n[c][good])])
+
+
+def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of lists of two or more."""
+    for now, first in runs(batches):
+        size = np.diff(np.r_[first, len(now["token"])])
+        more = np.repeat(size >= 2, size)
+        yield pa.RecordBatch.from_arrays([pa.array(v[more]) for v in now.values()], list(now))
 
 
 def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,21 +220,23 @@ def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     skipped if its entries are all of the same component as the probe, or too far on in their order to share enough.
     """
     for now, first in runs(batches):
-        out: list[np.ndarray] = []
+        out: list[tuple[np.ndarray, ...]] = []
         for a, b in zip(first.tolist(), [*first[1:].tolist(), len(now["token"])], strict=True):
             if b - a < 2:
                 continue
             ids, n, pos, part = (now[c][a:b] for c in ("id", "n", "pos", "part"))
+            if b - a == 2:  # most lists
+                if part[0] != part[1] and possible(n[0], pos[0], n[1], pos[1]):
+                    out.append((ids[:1], ids[1:], n[:1], n[1:]))
+                continue
             parts, which = np.unique(part, return_inverse=True)
             if len(parts) == 1:
                 continue
-            counts = np.bincount(which)
+            main = np.bincount(which).argmax()
             starts = np.arange(0, b - a, BLOCK)
-            most_pos = np.maximum.reduceat(pos, starts)
-            most_left = np.maximum.reduceat(n - pos, starts)
+            most_pos, most_left = np.maximum.reduceat(pos, starts), np.maximum.reduceat(n - pos, starts)
             low_part, high_part = np.minimum.reduceat(which, starts), np.maximum.reduceat(which, starts)
-            probes = np.flatnonzero(which != counts.argmax())
-            for i in probes.tolist():
+            for i in np.flatnonzero(which != main).tolist():
                 low = int(np.searchsorted(n, -(-4 * n[i] // 5)))
                 high = int(np.searchsorted(n, 5 * n[i] // 4, side="right"))
                 for k in range(low // BLOCK, -(-high // BLOCK)):
@@ -222,12 +246,12 @@ def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     # a block's sets have at least n[s.start] shingles and share at most this many with the probe
                     if 9 * (min(pos[i], most_pos[k]) + min(n[i] - pos[i], most_left[k])) < 4 * (n[i] + n[s.start]):
                         continue
-                    good = np.flatnonzero((which[s] != which[i]) & possible(n[i], pos[i], n[s], pos[s])) + s.start
+                    # two probes meet twice, once as each other's partner: the later one counts
+                    good = np.flatnonzero((which[s] != which[i]) & ((which[s] == main) | (np.arange(s.start, s.stop) < i)) & possible(n[i], pos[i], n[s], pos[s])) + s.start
                     if len(good):
-                        out.append(np.stack([np.minimum(ids[i], ids[good]), np.maximum(ids[i], ids[good])], axis=1))
+                        out.append((np.full(len(good), ids[i]), ids[good], np.full(len(good), n[i]), n[good]))
         if out:
-            pairs = np.unique(np.concatenate(out), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            yield counted(out)
 
 
 def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,8 +267,8 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) that link, by their whole texts. Only texts that a pair needs are moved."""
-    pairs = written(pairs.distinct(), f"{name}_pairs")
+    """Those of counted pairs that link, by their whole texts. Only texts that a pair needs are moved."""
+    pairs = written(pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("a", "b"), f"{name}_pairs")
     needed = sent(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}_ids")
     mine = rows.join(needed, "id", "left_semi")
     both = pairs.join(mine.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(mine.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -284,12 +308,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = written(some.groupBy("f1", "f2").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes")
     stand = some.join(classes.select("id", "f1", "f2"), ["id", "f1", "f2"], "left_semi")
     lists = stand.select("id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "id", "n", F.col("pos").cast("long").alias("pos"))
-    stars = written(mapped(lists.repartition(F.col("token")).sortWithinPartitions("token"), starred, "pair boolean, a long, b long, n long, pos long"), "stars")
-    links = verified(stars.where("pair").select("a", "b"), rows, "star")
+    lists = written(mapped(lists.repartition(F.col("token")).sortWithinPartitions("token"), shared, "token long, id long, n long, pos long"), "lists")
+    links = verified(mapped(lists, starred, PAIRS), rows, "star")
     parts = sent(components(links), "parts")
-    left = stars.where("NOT pair").select(F.col("a").alias("token"), F.col("b").alias("id"), "n", "pos").join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
-    pairs = mapped(left.select("token", "id", "n", "pos", "part").repartition(F.col("token")).sortWithinPartitions("token", "n"), swept, "a long, b long")
-    more = verified(pairs, rows, "sweep")
+    left = lists.join(parts, "id", "left").select("token", "id", "n", "pos", F.coalesce("part", "id").alias("part"))
+    more = verified(mapped(left.repartition(F.col("token")).sortWithinPartitions("token", "n"), swept, PAIRS), rows, "sweep")
     whole = components(parts.select(F.col("id").alias("a"), F.col("part").alias("b")).union(more))
     named = sent(classes.join(whole, "id", "left").withColumn("component", F.coalesce("part", "id")).where("copies > 1 OR component <> id").select("f1", "f2", "component"), "named")
     return marks.select("id", "n", "f1", "f2").join(named, ["f1", "f2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))).alias("component_id"))
