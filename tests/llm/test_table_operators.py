@@ -75,7 +75,7 @@ def test_sweep_against_all_pairs():
     r = np.random.default_rng(3)
     n = np.sort(r.integers(5, 60, 600))
     ids, pos, part = np.arange(600), (n * r.random(600) * 0.25).astype(np.int64), r.integers(0, 4, 600)
-    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (np.ones(600, np.int64), ids, n, pos, part)], ["token", "id", "n", "pos", "part"])
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (np.ones(600, np.int64), ids, n, pos, part, np.zeros(600, bool), *np.zeros((len(jaccard.MAP), 600), np.int64))], ["token", "id", "n", "pos", "part", "known", *jaccard.MAP])
     old, jaccard.BLOCK = jaccard.BLOCK, 16
     got = {(a, b) for out in jaccard.swept(iter([batch])) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)}
     jaccard.BLOCK = old

@@ -33,9 +33,12 @@ WIDTH = 5
 FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 1 / 500, 3, 2_000_000
 #: Entries of a list that are skipped together.
 BLOCK = 256
+#: Bits of a set's parity map: bit i is whether the set has an odd number of shingles whose hash is i modulo the size.
+PARITY = 256
 #: Rows up to which a table goes to all executors; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
+MAP = [f"b{i}" for i in range(PARITY // 64)]
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -125,7 +128,7 @@ def frequent(rows: DataFrame) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, last: np.ndarray) -> DataFrame:
-    """(id, n, f1, f2, prefix): the set's size, a 128-bit fingerprint, and its prefix in the order."""
+    """(id, n, f1, f2, prefix, b0 …): the set's size, a 128-bit fingerprint, its prefix in the order, and its parity map."""
     order = np.argsort(last, kind="stable")
     shared = rows.sparkSession.sparkContext.broadcast((last[order], order))
     kind = rows.schema["id"].dataType.simpleString()
@@ -133,12 +136,13 @@ def signatures(rows: DataFrame, last: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, place = shared.value
         for batch in batches:
-            n, f1, f2, prefixes = [], [], [], []
+            n, f1, f2, prefixes, maps = [], [], [], [], []
             for s in shingle_sets(texts(batch)):
                 n.append(len(s))
                 a, b = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
                 f1.append(a)
                 f2.append(b)
+                maps.append(np.packbits((np.bincount(s & (PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64))
                 p = int(prefix_size(len(s)))
                 if len(tokens) and len(s):
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
@@ -151,9 +155,9 @@ def signatures(rows: DataFrame, last: np.ndarray) -> DataFrame:
                     prefixes.append(s[:p])
             offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             values = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "n", "f1", "f2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), *map(pa.array, np.array(maps, np.int64).reshape(-1, PARITY // 64).T.copy())], ["id", "n", "f1", "f2", "prefix", *MAP])
 
-    return mapped(rows, run, f"id {kind}, n long, f1 long, f2 long, prefix array<long>")
+    return mapped(rows, run, f"id {kind}, n long, f1 long, f2 long, prefix array<long>, {' long, '.join(MAP)} long")
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
@@ -218,6 +222,8 @@ def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Entries outside of the list's largest component are held against the blocks within their reach by size; a block is
     skipped if its entries are all of the same component as the probe, or too far on in their order to share enough.
+    Parity maps of two sets differ in no more bits than there are shingles in one of the two only, so a pair whose maps
+    differ in more than a link allows can't link, and isn't told from each of its lists.
     """
     for now, first in runs(batches):
         out: list[tuple[np.ndarray, ...]] = []
@@ -233,6 +239,7 @@ def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(parts) == 1:
                 continue
             main = np.bincount(which).argmax()
+            maps, known = np.stack([now[c][a:b] for c in MAP], axis=1), now["known"][a:b]
             starts = np.arange(0, b - a, BLOCK)
             most_pos, most_left = np.maximum.reduceat(pos, starts), np.maximum.reduceat(n - pos, starts)
             low_part, high_part = np.minimum.reduceat(which, starts), np.maximum.reduceat(which, starts)
@@ -248,6 +255,8 @@ def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         continue
                     # two probes meet twice, once as each other's partner: the later one counts
                     good = np.flatnonzero((which[s] != which[i]) & ((which[s] == main) | (np.arange(s.start, s.stop) < i)) & possible(n[i], pos[i], n[s], pos[s])) + s.start
+                    apart = np.bitwise_count((maps[good] ^ maps[i]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                    good = good[(apart <= n[i] + n[good] + 2 * (-4 * (n[i] + n[good]) // 9)) | ~(known[good] & known[i])]
                     if len(good):
                         out.append((np.full(len(good), ids[i]), ids[good], np.full(len(good), n[i]), n[good]))
         if out:
@@ -311,7 +320,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lists = written(mapped(lists.repartition(F.col("token")).sortWithinPartitions("token"), shared, "token long, id long, n long, pos long"), "lists")
     links = verified(mapped(lists, starred, PAIRS), rows, "star")
     parts = sent(components(links), "parts")
-    left = lists.join(parts, "id", "left").select("token", "id", "n", "pos", F.coalesce("part", "id").alias("part"))
+    # an id that stands for several sets has no one map, and its pairs are verified without
+    maps = sent(some.join(classes.select("id", "f1", "f2"), ["id", "f1", "f2"], "left_semi").groupBy("id").agg(F.count_distinct("f1", "f2").alias("sets"), *(F.first(c).alias(c) for c in MAP)).where("sets = 1").drop("sets"), "maps")
+    left = lists.join(parts, "id", "left").join(maps, "id", "left")
+    left = left.select("token", "id", "n", "pos", F.coalesce("part", "id").alias("part"), F.col(MAP[0]).isNotNull().alias("known"), *(F.coalesce(c, F.lit(0)).alias(c) for c in MAP))
     more = verified(mapped(left.repartition(F.col("token")).sortWithinPartitions("token", "n"), swept, PAIRS), rows, "sweep")
     whole = components(parts.select(F.col("id").alias("a"), F.col("part").alias("b")).union(more))
     named = sent(classes.join(whole, "id", "left").withColumn("component", F.coalesce("part", "id")).where("copies > 1 OR component <> id").select("f1", "f2", "component"), "named")
