@@ -48,9 +48,14 @@ def with_id(df: DataFrame, id_col: str, rest: str, name: str | None = None) -> S
     return StructType([StructField(name or id_col, df.schema[id_col].dataType), *StructType.fromDDL(rest).fields])
 
 
+#: Bytes of a batch that a Python worker is given; it holds a few times that.
+BATCH_BYTES = 8 << 20
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """df.mapInArrow on executors that have this package."""
+    """df.mapInArrow on executors that have this package, in batches of at most BATCH_BYTES and a row."""
     ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 
