@@ -103,6 +103,17 @@ def test_main_text_by_block_rules():
     assert main_text(page) == f"Title\n{good}\nShort.\n{good}"
 
 
+def test_block_rules_decide_on_pages_with_an_article():
+    good = "It was the best of times and it was the worst of times, for the age of wisdom was the age of foolishness."
+    teaser = f"<article><p>Teaser.</p></article><div>{good}</div><div>Short.</div><div>{good}</div><div>Lone</div>"
+    assert main_text(teaser) == f"Teaser.\n{good}\nShort.\n{good}"
+    links = "".join(f"<li><a href=x>Linked page {i}</a> new</li>" for i in range(3))
+    assert main_text(f"<main><p>{good}</p><ul>{links}</ul><p>{good}</p></main>") == f"{good}\n{good}"
+    assert main_text(f"<main><p>{good}</p><p><a>A claim.</a></p><p>{good}</p><p><a>One</a></p><p><a>Two</a></p><p>{good}</p><p><a>More</a></p></main>") == f"{good}\nA claim.\n{good}\n{good}"
+    foreign = "Kuu paistaa metsän ylle ja järvi lepää hiljaa, kun yö laskeutuu kylän taloihin ja pihoille."
+    assert main_text(f"<article><p>{foreign}</p></article><div>{foreign}</div>") == foreign
+
+
 def test_odd_pages(spark):
     pages = [(1, "u", None, 1), (2, "u", "", 1), (2, "u", "", 1), (3, None, "<script>x", 1), (None, "u", "<p>the a <of and < b is that it was", 1), (4, "u", "<div " * 2000, 1), (5, "u", "<article>" + "<p>x" * 3000 + "<!-- ", 1), (6, "u", "<article><p title='a>b'>in</article>", 1)]
     got = {r.page_id: r for r in extract_text(spark.createDataFrame(pages, "page_id long, url string, html string, n_chars int")).collect()}

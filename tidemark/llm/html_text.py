@@ -58,18 +58,18 @@ def is_hinted(attributes: str) -> bool:
 
 
 class Block:
-    __slots__ = ("heading", "in_article", "link_chars", "parts")
+    __slots__ = ("heading", "in_article", "link_chars", "listed", "parts")
 
-    def __init__(self, in_article: bool, heading: bool):
+    def __init__(self, in_article: bool, heading: bool, listed: bool):
         self.parts: list[str] = []
-        self.link_chars, self.in_article, self.heading = 0, in_article, heading
+        self.link_chars, self.in_article, self.heading, self.listed = 0, in_article, heading, listed
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
-    """(text, share of characters in links, in an article, heading) of each block outside of elements that hold no main text."""
-    out: list[tuple[str, float, bool, bool]] = []
+def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
+    """(text, share of characters in links, in an article, heading, not a paragraph) of each block outside of elements that hold no main text."""
+    out: list[tuple[str, float, bool, bool, bool]] = []
     now: Block | None = None
-    at, links, article, heading = 0, 0, 0, False
+    at, links, article, heading, listed = 0, 0, 0, False, True
     skipped, depth = "", 0  # the element that is being left out, and how often it is open
     size = len(page)
 
@@ -78,7 +78,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
         if now is not None:
             text = SPACE.sub(" ", html.unescape("".join(now.parts))).strip()
             if text:
-                out.append((text, now.link_chars / max(1, sum(map(len, now.parts))), now.in_article, now.heading))
+                out.append((text, now.link_chars / max(1, sum(map(len, now.parts))), now.in_article, now.heading, now.listed))
         now = None
 
     def add(piece: str) -> None:
@@ -87,7 +87,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
             if now is None:
                 if not piece.strip():
                     return
-                now = Block(article > 0, heading)
+                now = Block(article > 0, heading, listed)
             now.parts.append(piece)
             if links > 0:
                 now.link_chars += len(piece)
@@ -122,7 +122,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
             continue
         if name in BLOCKS:
             close()
-            heading = name in HEADINGS and not ends
+            heading, listed = name in HEADINGS and not ends, name != "p" or ends
         if name == "a":
             links = max(0, links + (-1 if ends else 1))
         elif name == "br":
@@ -138,48 +138,67 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
     return out
 
 
+def nearest(decided: list[bool | None], inside: list[bool], reverse: bool = False) -> list[bool | None]:
+    """For each block the label of the nearest decided one before it (after it, if reverse) on its side of an article's edge; None if there is none."""
+    out: list[bool | None] = [None] * len(decided)
+    last: bool | None = None
+    order = range(len(decided) - 1, -1, -1) if reverse else range(len(decided))
+    step = 1 if reverse else -1
+    for i in order:
+        if 0 <= i + step < len(decided) and inside[i] != inside[i + step]:
+            last = None
+        out[i] = last
+        last = last if decided[i] is None else decided[i]
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page: its good blocks, joined by one line feed.
 
-    Pass 1 decides each block. In a page with article or main elements their blocks are good unless mostly links, and
-    other blocks are bad. Elsewhere: many link characters or a copyright sign make a block bad; long ones with enough
-    stop words are good, with few bad; the rest is undecided. Pass 2: an undecided block takes the label of the nearest
-    decided neighbours; if they differ, a heading takes that of the one below, and others are bad unless stop words say good.
+    Pass 1 decides blocks: many link characters or a copyright sign make one bad; long ones with enough stop words are
+    good, with few bad; the rest is undecided. In an article or main element few stop words leave a block undecided (it may
+    be in another language), and so does being a link if it is a paragraph between others that aren't.
+    Pass 2: an undecided block takes the label of the nearest decided neighbours, which are looked for inside of the
+    article or outside of it as the block is. On a page with an article, its edges count as good neighbours inside and as
+    bad ones outside. If they differ, a heading takes that of the one below, blocks in an article are good, and others
+    are bad unless stop words say good. A paragraph that is a link is good only between blocks decided as good.
     """
     found = blocks(page or "")
-    framed = any(b[2] for b in found)
     labels: list[bool | None] = []
-    for text, linked, inside, _ in found:
-        if framed:
-            labels.append(inside and not (linked > 0.8 and len(text) < LONG))
-            continue
+    linked_text: set[int] = set()
+    density: list[float] = []
+    for i, (text, linked, inside, _, listed) in enumerate(found):
         words = WORDS.findall(text.lower())
-        density = sum(w in STOP for w in words) / max(1, len(words))
-        if linked > MAX_LINK or text.startswith(("©", "(c)")):
+        density.append(sum(w in STOP for w in words) / max(1, len(words)))
+        if text.startswith(("©", "(c)")):
             labels.append(False)
+        elif linked > MAX_LINK:
+            alone = inside and not listed and all(found[j][1] <= MAX_LINK for j in (i - 1, i + 1) if 0 <= j < len(found) and found[j][2])
+            labels.append(None if alone else False)
+            if alone:
+                linked_text.add(i)
         elif len(text) < SHORT:
-            labels.append(None if not linked else False)
-        elif density >= STOP_HIGH or (len(text) >= LONG and density >= STOP_LOW):
+            labels.append(None if inside or not linked else False)
+        elif density[i] >= STOP_HIGH or (len(text) >= LONG and density[i] >= STOP_LOW):
             labels.append(True)
         else:
-            labels.append(None if density >= STOP_LOW / 2 else False)
+            labels.append(None if inside or density[i] >= STOP_LOW / 2 else False)
     decided = list(labels)
-    below: list[bool] = [False] * len(found)
-    after = False
-    for i in range(len(found) - 1, -1, -1):
-        after = decided[i] if decided[i] is not None else after
-        below[i] = bool(after)
-    before = False
-    for i, (text, *_, head) in enumerate(found):
+    below = nearest(decided, [b[2] for b in found], reverse=True)
+    before = nearest(decided, [b[2] for b in found])
+    for i, (_, _, inside, head, _) in enumerate(found):
         if decided[i] is not None:
-            before = bool(decided[i])
-        elif head:
-            labels[i] = below[i]
-        elif before == below[i]:
-            labels[i] = before
+            continue
+        if i in linked_text:
+            labels[i] = bool(before[i] and below[i])
+            continue
+        above, under = (inside if x is None else x for x in (before[i], below[i]))
+        if head:
+            labels[i] = under
+        elif above == under:
+            labels[i] = above
         else:
-            words = WORDS.findall(text.lower())
-            labels[i] = sum(w in STOP for w in words) >= STOP_HIGH * max(1, len(words))
+            labels[i] = inside or density[i] >= STOP_HIGH
     return "\n".join(b[0] for b, good in zip(found, labels, strict=True) if good)
 
 
