@@ -114,6 +114,27 @@ def test_block_rules_decide_on_pages_with_an_article():
     assert main_text(f"<article><p>{foreign}</p></article><div>{foreign}</div>") == foreign
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article><p class="notice">Ad<p>Main text</p></article>', "Main text"),
+        ('<article><ul><li class="social">X<li class="social">Y<ul><li>Z</ul><li>Item</ul><p>Main</article>', "Item\nMain"),
+        ('<article><section><div class="ad">Buy<div>now</div></section><p>Main</article>', "Main"),
+        ('<article><dl><dt class="ad">A<dd>B<dd class="ad">C<dt>D</dl></article>', "B\nD"),
+        ('<article><table><tr><td class="ad"><div>A<td>B<tr class="ad"><th>C<td>D<tr><td>E</table>F</article>', "B\nE\nF"),
+        ('<article><p class="ad">A<b>B<hr>C</article>', "C"),
+        ('<article><p><span class="ad">A</p>B</article>', "B"),
+        ('<article><div><b class="ad">A<i>B</b>C</div>D</article>', "C\nD"),
+        ('<article><div class="ad">A</p></span></section></li>B<p>C</p></div>D</article>', "D"),
+        ('<article><div class="ad"><table><tr><td>A</div>B</table>C</div>D</article>', "D"),
+        ('<article><div class="ad">A<body>B</div>C</article>', "C"),
+        ("<main><article><p>A</main><header>B</header><main>C</main>", "A\nC"),
+    ],
+)
+def test_left_out_elements_end_as_in_browsers(page, want):
+    assert main_text(page) == want
+
+
 def test_odd_pages(spark):
     pages = [(1, "u", None, 1), (2, "u", "", 1), (2, "u", "", 1), (3, None, "<script>x", 1), (None, "u", "<p>the a <of and < b is that it was", 1), (4, "u", "<div " * 2000, 1), (5, "u", "<article>" + "<p>x" * 3000 + "<!-- ", 1), (6, "u", "<article><p title='a>b'>in</article>", 1)]
     got = {r.page_id: r for r in extract_text(spark.createDataFrame(pages, "page_id long, url string, html string, n_chars int")).collect()}

@@ -41,6 +41,15 @@ STOP = frozenset(
 #: First words of class names that tell of an element's surroundings, not of itself.
 ABOUT = frozenset(("has", "with", "without", "no", "is", "not", "hide", "show"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Elements whose begin ends an open paragraph.
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+#: Elements that an end tag inside of them doesn't reach past, and those that end no other than themselves.
+SCOPE = frozenset("caption table td th".split())
+SPECIAL = BLOCKS - frozenset("dialog legend optgroup option".split())
+#: Parts of tables, by depth; one ends the open parts of its table that are as deep or deeper.
+PARTS = {"caption": 0, "colgroup": 0, "tbody": 0, "thead": 0, "tfoot": 0, "tr": 1, "td": 2, "th": 2}
+#: Elements whose end tags take effect across others that are open inside of them.
+FORMATS = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 MAX_LINK, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.35, 70, 200, 0.15, 0.28
 
 
@@ -57,6 +66,80 @@ def is_hinted(attributes: str) -> bool:
     return False
 
 
+class Open:
+    """The elements that are open at a place of a page. A begin ends what HTML says it ends without an end tag; an end tag ends
+    what is open inside of its element, and nothing if there is no such element in reach. Work per tag doesn't grow with depth."""
+
+    GROUPS = {n: [g for g, of in (("*scope", SCOPE), ("*special", SPECIAL), ("*list", SPECIAL - {"address", "div", "p", "li", "dd", "dt"})) if n in of] for n in BLOCKS}
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.at: dict[str, list[int]] = {}  # places in names of each name, and of each group of names
+        self.least = 0  # the lowest place that has been closed since this was set
+
+    def last(self, *names: str) -> int:
+        return max(p[-1] if (p := self.at.get(n)) else -1 for n in names)
+
+    def push(self, name: str) -> None:
+        for key in (name, *self.GROUPS.get(name, ())):
+            self.at.setdefault(key, []).append(len(self.names))
+        self.names.append(name)
+
+    def cut(self, size: int) -> None:
+        self.least = min(self.least, size)
+        while len(self.names) > size:
+            name = self.names.pop()
+            if name:
+                for key in (name, *self.GROUPS.get(name, ())):
+                    self.at[key].pop()
+
+    def cut_parts(self, depth: int) -> None:
+        table = self.last("table")
+        places = [i for n, k in PARTS.items() if (k >= depth or n in ("caption", "colgroup")) and (i := self.last(n)) > table]
+        if places:
+            self.cut(min(places))
+
+    def begin(self, name: str) -> None:
+        if name in ENDS_P and (i := self.last("p")) > self.last("*scope"):
+            self.cut(i)
+        if name == "li" or name in ("dd", "dt"):
+            if (i := self.last("li") if name == "li" else self.last("dd", "dt")) > self.last("*list"):
+                self.cut(i)
+        elif name in PARTS:
+            self.cut_parts(PARTS[name])
+        elif name in HEADINGS:
+            if self.names and self.names[-1] in HEADINGS:
+                self.cut(len(self.names) - 1)
+        elif name in ("option", "optgroup"):
+            places = [i for n in ("option", name) if (i := self.last(n)) > self.last("*special")]
+            if places:
+                self.cut(min(places))
+        if name not in VOID and name not in ("html", "head", "body"):
+            self.push(name)
+
+    def end(self, name: str) -> None:
+        if name in FORMATS:
+            if (i := self.last(name)) > self.last("*scope"):
+                self.at[name].pop()
+                self.names[i] = ""
+            return
+        i = self.last(*HEADINGS) if name in HEADINGS else self.last(name)
+        if name in PARTS:
+            limit = self.last("table")
+        elif name == "table":
+            limit = -1
+        elif name == "li":
+            limit = self.last("*scope", "ul", "ol")
+        else:
+            limit = self.last("*scope" if name in BLOCKS else "*special")
+        if i > limit:
+            self.cut(i)
+
+    def holds(self, place: int) -> bool:
+        """Whether the element that was last when least was set to the number of names is still open."""
+        return self.least > place and bool(self.names[place])
+
+
 class Block:
     __slots__ = ("heading", "in_article", "link_chars", "listed", "parts")
 
@@ -69,8 +152,8 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     """(text, share of characters in links, in an article, heading, not a paragraph) of each block outside of elements that hold no main text."""
     out: list[tuple[str, float, bool, bool, bool]] = []
     now: Block | None = None
-    at, links, article, heading, listed = 0, 0, 0, False, True
-    skipped, depth = "", 0  # the element that is being left out, and how often it is open
+    at, links, article, heading, listed = 0, 0, False, False, True
+    tree, skipped = Open(), -1  # the place of the element that is being left out
     size = len(page)
 
     def close() -> None:
@@ -83,11 +166,11 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
 
     def add(piece: str) -> None:
         nonlocal now
-        if piece and not skipped:
+        if piece and skipped < 0:
             if now is None:
                 if not piece.strip():
                     return
-                now = Block(article > 0, heading, listed)
+                now = Block(article, heading, listed)
             now.parts.append(piece)
             if links > 0:
                 now.link_chars += len(piece)
@@ -114,26 +197,29 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             end = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
             at = size if end is None else end.start()
             continue
-        if skipped:
-            if name == skipped:
-                depth += -1 if ends else not attributes.endswith("/")
-                if depth <= 0:
-                    skipped = ""
-            continue
+        if ends:
+            tree.end(name)
+        else:
+            tree.begin(name)
+        if skipped >= 0:
+            if tree.holds(skipped):
+                continue
+            skipped = -1
         if name in BLOCKS:
             close()
+            article = tree.last("article", "main") >= 0
             heading, listed = name in HEADINGS and not ends, name != "p" or ends
         if name == "a":
             links = max(0, links + (-1 if ends else 1))
         elif name == "br":
             add(" ")
         elif name in ("article", "main"):
-            article = max(0, article + (-1 if ends else 1))
             links = 0
         elif ends or name in VOID:
             pass
-        elif name in ASIDE or (name == "header" and not article) or (name not in ("html", "body", "article", "main") and is_hinted(attributes)):
-            skipped, depth = name, 1
+        elif name in ASIDE or (name == "header" and not article) or (name not in ("html", "head", "body", "article", "main") and is_hinted(attributes)):
+            tree.least = len(tree.names)
+            skipped = tree.least - 1
     close()
     return out
 
@@ -206,7 +292,8 @@ def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...]
     """keep, text and n_chars for every row of pages, whole pages, no shuffle.
 
     Null, empty and markup-only pages give the empty text and 0. Repeated rows and null ids are kept as they are.
-    Columns of pages that are not named are ignored. Unclosed and stray tags are taken as browsers do: they end nothing else.
+    Columns of pages that are not named are ignored. An element without an end tag ends where its
+    parent does or where HTML implies it, as in browsers; stray end tags end nothing.
     """
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
 
