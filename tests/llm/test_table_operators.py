@@ -274,6 +274,23 @@ def test_top_k_against_brute_force(spark, monkeypatch, slices):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("hot", [3, 150])
+def test_top_k_of_repeated_rows_against_brute_force(spark, hot):
+    """Each row three times, one of them hot times; all rows may be pivots."""
+    r = np.random.default_rng(12)
+    vectors = r.normal(size=(40, 4)) * r.uniform(0.2, 3, size=(40, 1))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors) for _ in range(hot if i == 20 else 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asks = F.col("vec_id") % 5 == 0
+    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in knn.top_k(df, asks, pivots=120).collect())
+    whole = [(i, np.floor(64 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows]
+    want = []
+    for q in range(0, 40, 5):
+        mine = next(v for i, v in whole if i == q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(sorted((-int(mine @ v), i) for i, v in whole if i != q)[:20])]
+    assert got == sorted(want)
+
+
 def test_top_k_of_few_and_no_rows(spark):
     rows = spark.createDataFrame([(0, [0.5]), (1, [0.5])], "vec_id long, embedding array<float>")
     assert [tuple(x) for x in knn.top_k(rows, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1, 1024)]

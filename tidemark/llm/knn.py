@@ -1,8 +1,10 @@
 """Exact top-k search: a Voronoi kNN join by largest inner product.
 
-Pivots are data rows; every vector belongs to its nearest pivot's cell. A query's scores with the pivots are scores of
-real candidates, so the (k+1)-th largest bounds its k-th best answer from below. A cell of queries is summed up by its
-radius and the least such bound; a data row is needed by the cell if pivot * row + radius * |row| reaches the bound.
+Pivots are data rows of different ids; every vector, asking or not, belongs to its nearest pivot's cell. A query's scores
+with the pivots of other ids are scores of real candidates, so the k-th largest bounds its k-th best answer from below. A
+cell of queries is summed up by its radius and the least such bound, a cell of data by its radius: the two of them bound
+the scores between a pair of cells, and pairs that can't reach the bound are left out whole. In other pairs a data row is
+needed by the cell of queries if pivot * row + radius * |row| reaches the bound.
 Rows go only to the groups of cells that need them, in slices, are solved there, and the slices' answers are merged.
 """
 
@@ -100,10 +102,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), is_query.alias("asks"), quantized(vectors[vector_col]).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     rows = written(rows, "vectors")
     total, d = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    picked = rows.select("v").orderBy(F.xxhash64("id"), "id").limit(pivots).toArrow()
+    names = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(pivots)
+    picked = rows.join(F.broadcast(names), "id").groupBy("id").agg(F.max("v").alias("v")).toArrow()
     d = max(1, d)
     cells = Cells(matrix(picked["v"], d) if total else np.zeros((1, d), np.int64))
-    m = len(cells.exact)
+    pivot_ids = picked["id"].to_numpy() if total else np.zeros(0, np.int64)
+    m = len(pivot_ids)
     spark = rows.sparkSession
     queries = rows.where("asks").groupBy("id").agg(F.max("v").alias("v"))
 
@@ -111,8 +115,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         for batch in batches:
             v = matrix(batch.column(1), d)
             cell, far = cells.of(v)
-            best = np.sort(scores(v, cells.exact), axis=1)
-            least = best[:, -(k + 1)] if m > k else np.full(len(v), np.iinfo(np.int64).min)
+            none = np.iinfo(np.int64).min
+            best = np.sort(np.where(batch.column(0).to_numpy()[:, None] == pivot_ids, none, scores(v, cells.exact)), axis=1) if m >= k else None
+            least = np.full(len(v), none) if best is None else best[:, -k]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(far), pa.array(least)], ["id", "v", "cell", "far", "least"])
 
     queries = written(mapped(queries.select("id", "v"), bounded, "id long, v array<long>, cell int, far double, least long"), "queries")
@@ -134,14 +139,35 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     groups_of = [list(range(first[r.cell], first[r.cell] + parts[r.cell])) for r in known]
     slices = max(1, -(-total // SLICE))
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, far = cells.of(matrix(batch.column(0), d))
+            most = np.full(len(cells.exact), -1.0)
+            np.maximum.at(most, cell, far)
+            here = np.flatnonzero(most >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), pa.array(most[here])], ["cell", "far"])
+
+    width = np.full(len(cells.exact), -1.0)  # radius of each cell of data
+    for r in mapped(rows.select("v"), spread, "cell int, far double").groupBy("cell").agg(F.max("far").alias("far")).collect():  # a row for each pivot at most
+        width[r.cell] = r.far
+    centre, length = cells.pivots[cell_of], np.sqrt(cells.square)
+    between, rest = cells.pivots @ centre.T, np.outer(length, radius) + np.outer(width, length[cell_of]) + np.outer(width, radius)
+    meets = between + rest + 1e-6 * (np.abs(between) + rest) + 1 >= least  # by cell of data, then of queries
+
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = matrix(batch.column(1), d).astype(np.float64)
             if not len(cell_of):
                 continue
+            cell, far = cells.of(v)
             norm = np.sqrt((v**2).sum(axis=1))
-            most = v @ cells.pivots[cell_of].T + np.outer(norm, radius)
-            reach = most + 1e-6 * np.abs(most) + 1 >= least
+            reach = np.zeros((len(v), len(cell_of)), bool)
+            for c in np.unique(cell).tolist():
+                mine = np.flatnonzero(cell == c)
+                # a row on the edge of two cells may have been told to the other one: then its own cell's radius doesn't hold
+                asks = np.flatnonzero(meets[c]) if far[mine].max() <= width[c] else np.arange(len(cell_of))
+                most = v[mine] @ centre[asks].T + np.outer(norm[mine], radius[asks])
+                reach[np.ix_(mine, asks)] = most + 1e-6 * np.abs(most) + 1 >= least[asks]
             row, group = [], []
             for i, hit in enumerate(reach):
                 to = {g for c in np.flatnonzero(hit).tolist() for g in groups_of[c]}
