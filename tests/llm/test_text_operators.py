@@ -80,6 +80,19 @@ def test_guess_spans_add_to_the_base_and_overlap_none():
     assert masked(text, found).startswith("[SECRET]") and "abcdefgh1" not in masked(text, found)
 
 
+def test_guess_spans_that_reach_past_the_base_are_kept():
+    text = 'password = "Xk9mQ2vLp#7pW!z" end'
+    assert spans(text) == [(0, 21, 0), (0, 27, 3)] and masked(text, spans(text)) == '[SECRET]" end'
+    r = random.Random(6)
+    for _ in range(500):
+        value = "".join(r.choice("abcXYZ789#!$%-_") for _ in range(20))
+        text = f"token={value} x"
+        if guess_bits(value) >= secrets.GUESS_BITS:
+            assert masked(text, spans(text)) == "[SECRET] x", text
+    inside = "token=Xk9mQ2vLpR7pWz4T"
+    assert spans(inside) == [(0, len(inside), 0)]
+
+
 def test_secret_scan_of_odd_rows(documents, empty):
     got = secret_scan(documents).collect()
     assert len(got) == documents.count() and {r.base_sha256 for r in got} == {hashlib.sha256(b"").hexdigest()}

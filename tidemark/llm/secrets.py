@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -90,7 +91,7 @@ def guess_bits(value: str) -> float:
 
 
 def spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, kind) of every secret: base matches, then values in credential contexts that overlap none and cost enough guesses."""
+    """(start, end, kind) of every secret: base matches, and values in credential contexts that cost enough guesses unless base matches cover all of them."""
     found = []
     if "=" in text or ":" in text:
         low = text.lower()
@@ -105,10 +106,16 @@ def spans(text: str) -> list[tuple[int, int, int]]:
         found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     if more:
-        found.sort()
-        taken = list(found)
+        begins, ends = [], []  # stretches that base matches cover
+        for a, b, _ in sorted(found):
+            if ends and a <= ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                begins.append(a)
+                ends.append(b)
         for m in more:
-            if all(m.end() <= a or b <= m.start() for a, b, _ in taken):
+            i = bisect_right(begins, m.start()) - 1
+            if i < 0 or ends[i] < m.end():
                 found.append((m.start(), m.end(), 3))
     return sorted(found)
 
