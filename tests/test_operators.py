@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import audits, dml, layout, lookups, schema_diff
-from tidemark.plans import schemas
+from tidemark.plans import analytics, schemas
 from tidemark.sources.engines import TableKind, reader_options, split_args
 
 
@@ -39,6 +39,13 @@ def test_overlaps_finds_every_range_in_conflict_with_an_earlier_one(spark):
     assert got == want
 
 
+def test_overlaps_of_all_events_are_those_of_the_pairs(spark, sf, duck):
+    want = duck.execute("""WITH r AS (SELECT event_id AS id, user_id, ts AS lo, ts + INTERVAL 2 HOUR AS hi FROM events)
+        SELECT DISTINCT b.id FROM r a JOIN r b ON a.user_id = b.user_id AND a.hi > b.lo AND (a.lo, a.hi, a.id) < (b.lo, b.hi, b.id)""").fetchall()
+    got = [r.id for r in analytics.exclude_overlaps_all(spark, sf).collect()]
+    assert sorted(got) == sorted(i for (i,) in want) and any(i % 4 for i in got)
+
+
 def test_policies_without_a_permissive_one_show_nothing(spark):
     assert audits.visible(spark.range(3), [], [F.lit(True)]).count() == 0
 

@@ -347,6 +347,13 @@ def exclude_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return audits.overlaps(r, ["user_id"], "lo", "hi", "event_id").select("id")
 
 
+@query("""WITH r AS (SELECT event_id AS id, user_id, ts AS lo, ts + INTERVAL 2 HOUR AS hi FROM events)
+SELECT id FROM (SELECT *, max(hi) OVER (PARTITION BY user_id ORDER BY lo, hi, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r) WHERE reach > lo""")
+def exclude_overlaps_all(spark: SparkSession, d: str) -> DataFrame:
+    r = load(spark, d, "events").selectExpr("event_id", "user_id", "ts AS lo", "ts + INTERVAL 2 HOUR AS hi")
+    return audits.overlaps(r, ["user_id"], "lo", "hi", "event_id").select("id")
+
+
 @query("""WITH r AS (SELECT event_id, user_id, ts AS lo, ts + INTERVAL 6 HOUR AS hi FROM events)
 SELECT event_id FROM (SELECT *, lead(lo) OVER (PARTITION BY user_id ORDER BY lo, hi) AS nxt FROM r) WHERE nxt < hi""")
 def without_overlaps(spark: SparkSession, d: str) -> DataFrame:
