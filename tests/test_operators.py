@@ -94,6 +94,20 @@ def test_cycles_have_no_level(spark):
     assert [(r.version, r.level) for r in schema_diff.dependency_order(files).collect()] == [("1", 0)]
 
 
+def test_long_histories_are_ordered_whole(spark):
+    files = [(f"{i:04}", [f"{i - 1:04}"] if i else []) for i in range(200)] + [("x", ["0003", "0150"])]
+    files += [(f"d{i}{s}", [f"d{i - 1}a", f"d{i - 1}b"] if i else []) for i in range(60) for s in "ab"]  # 2 ** 59 paths
+    got = {r.version: r.level for r in schema_diff.dependency_order(spark.createDataFrame(files, "version string, depends_on array<string>"), complete=True).collect()}
+    assert got == {f"{i:04}": i for i in range(200)} | {"x": 151} | {f"d{i}{s}": i for i in range(60) for s in "ab"}
+
+
+def test_versions_that_cant_be_ordered_are_an_error(spark):
+    files = spark.createDataFrame([("1", None), ("2", ["3"]), ("3", ["2"]), ("4", ["1", "2"]), ("5", ["none"])], "version string, depends_on array<string>")
+    assert [(r.version, r.level) for r in schema_diff.dependency_order(files).collect()] == [("1", 0)]
+    with pytest.raises(ValueError, match="2, 3, 4, 5"):
+        schema_diff.dependency_order(files, complete=True)
+
+
 def test_columns_of_frames(spark):
     got = schema_diff.columns_of({"t": spark.range(1)}, spark).first()
     assert (got.table, got.name, got.type, got.nullable) == ("t", "id", "bigint", False)

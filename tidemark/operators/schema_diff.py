@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.functions.scalars import normal_default, normal_statement, normal_type
 
@@ -195,16 +196,35 @@ def impact(ops: DataFrame, code: DataFrame) -> DataFrame:
     return target.join(words, "word").select("op", "table", "name", "file", "line")
 
 
-def dependency_order(files: DataFrame) -> DataFrame:
-    """(version, level) of migrations (version, depends_on array): each after those it depends on, by a recursive query.
-    Versions in a cycle have no level and aren't returned."""
-    edges = files.select("version", F.explode_outer("depends_on").alias("needs"))
-    edges.createOrReplaceTempView("__tidemark_edges")
-    return files.sparkSession.sql("""
-        WITH RECURSIVE walk(version, level) AS (
-          SELECT version, 0 FROM __tidemark_edges WHERE needs IS NULL
-          UNION ALL SELECT e.version, w.level + 1 FROM __tidemark_edges e JOIN walk w ON e.needs = w.version WHERE w.level < 90)
-        SELECT version, max(level) AS level FROM walk GROUP BY version""")
+def dependency_order(files: DataFrame, complete: bool = False) -> DataFrame:
+    """(version, level) of migrations (version, depends_on array): each after all those it depends on, however long the way.
+
+    The files of one history are ordered on the driver, version by version once those it needs have levels, in time linear
+    in the files and what they need. Versions in a cycle, that need one that isn't there, or that need such a version,
+    have no level and aren't returned; with complete, they are an error.
+    """
+    needs: dict[object, set] = {}
+    for r in files.select("version", "depends_on").collect():
+        needs.setdefault(r.version, set()).update(n for n in r.depends_on or () if n is not None)
+    users: dict[object, list] = {}
+    for v, of in needs.items():
+        for n in of:
+            users.setdefault(n, []).append(v)
+    open_, levels = {v: len(of) for v, of in needs.items()}, {}
+    now, level = [v for v, n in open_.items() if not n], 0
+    while now:
+        levels |= dict.fromkeys(now, level)
+        following = []
+        for v in now:
+            for u in users.get(v, ()):
+                open_[u] -= 1
+                if not open_[u]:
+                    following.append(u)
+        now, level = following, level + 1
+    left = sorted(str(v) for v in needs if v not in levels)
+    if complete and left:
+        raise ValueError(f"versions that can't be ordered: {', '.join(left)}")
+    return files.sparkSession.createDataFrame(list(levels.items()), StructType([StructField("version", files.schema["version"].dataType), StructField("level", IntegerType())]))
 
 
 def with_pending(columns: DataFrame, statements: DataFrame) -> DataFrame:

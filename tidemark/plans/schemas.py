@@ -210,7 +210,7 @@ def latest_migration(spark: SparkSession, d: str) -> DataFrame:
 w(version, level) AS (SELECT version, 0 FROM f WHERE needs IS NULL UNION ALL SELECT f.version, level + 1 FROM f JOIN w ON f.needs = w.version)
 SELECT version, max(level) AS level FROM w GROUP BY 1""")
 def dependency_levels(spark: SparkSession, d: str) -> DataFrame:
-    return schema_diff.dependency_order(migration_list(spark))
+    return schema_diff.dependency_order(migration_list(spark), complete=True)
 
 
 @query("SELECT sha256(string_agg(h, ',' ORDER BY h)) AS digest FROM (SELECT sha256(n_nationkey::VARCHAR || ';' || n_name) AS h FROM nation)")
