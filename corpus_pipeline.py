@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is covered by benchmark windows."""
-    return decontaminate(whole_rows(docs), table(spark, sf_dir, "benchmark"), id_col="row").where("NOT contaminated").select("row.*")
+    return decontaminate(whole_rows(docs), table(spark, sf_dir, "benchmark"), id_col="row", unnamed=True).where("NOT contaminated").select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

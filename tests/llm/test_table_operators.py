@@ -1,10 +1,13 @@
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, decontaminate, jaccard, knn, mixing
+import corpus_pipeline
+from tests.compare import same_as_sql
+from tidemark.llm import common, decontaminate, jaccard, knn, mixing, queries
 from tidemark.llm.url_filter import filter_urls
 
 
@@ -140,6 +143,25 @@ def test_decontamination_against_brute_force(spark, block_bytes):
     assert got == brute_hits(docs, [x for x in items if x[0] is not None])
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 10])
+def test_items_without_an_id_are_searched(spark, tmp_path, block_bytes):
+    docs = [(1, "x a b c y"), (2, "x d e y"), (3, "a b c d e"), (4, "x f y"), (5, None)]
+    items = [(None, "a b c"), (None, "d e"), (7, "F"), (8, "d e")]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.decontaminate(docs, items, block_bytes=block_bytes, unnamed=True)
+    got = {r.doc_id: (r.n_hit, r.n_items, r["items"], r.contaminated) for r in found.collect()}
+    assert got == {1: (3, 1, [], True), 2: (2, 2, ["8"], True), 3: (5, 2, ["8"], True), 4: (1, 1, ["7"], True), 5: (0, 0, [], False)}
+    if block_bytes == 10:
+        return
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    same_as_sql(queries.op6_decontaminate(spark, f"file://{tmp_path}"), con, queries.ORACLE_SQL["op6_decontaminate"])
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, f"file://{tmp_path}").collect()) == [5]
+
+
 def test_fm_index_counts_and_locates_every_pattern():
     r = np.random.default_rng(2)
     for size, letters in ((1, 1), (50, 2), (400, 3), (300, 40)):

@@ -146,9 +146,9 @@ class FMIndex:
 class Windows:
     """The windows of benchmark items as numbers, by length, with the items of each."""
 
-    def __init__(self, items: list[tuple[str, str]]):
+    def __init__(self, items: list[tuple[str | None, str]]):
         ids: dict[int, int] = {}
-        self.names: list[str] = []
+        self.names: list[str | None] = []
         found: dict[tuple[int, ...], set[int]] = {}
         for name, text in items:
             words = hash_words(text.encode().translate(TO_WORDS))[1].tolist()
@@ -238,22 +238,25 @@ def shards(batch_texts: list[str]) -> Iterator[slice]:
 
 
 def searched(rows: DataFrame, windows: Windows) -> DataFrame:
-    """rows (row, text) to (row, n_words, hits, items): hits are spans of word numbers, items the item ids found."""
+    """rows (row, text) to (row, n_words, hits, items, unnamed): hits are spans of word numbers, items the item ids found,
+    unnamed whether an item without one was found."""
     shared = rows.sparkSession.sparkContext.broadcast(windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
-            all_texts, n, hits, items = texts(batch), [], [], []
+            all_texts, n, hits, items, unnamed = texts(batch), [], [], [], []
             for part in shards(all_texts):
                 for size, spans, of in shard_hits(all_texts[part], w):
                     n.append(size)
                     hits.append([{"start": a, "end": b} for a, b in spans.tolist()])
-                    items.append(sorted({w.names[i] for i in of}))
+                    names = {w.names[i] for i in of}
+                    items.append(sorted(names - {None}))
+                    unnamed.append(None in names)
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hits, span), pa.array(items, pa.list_(pa.string()))], ["row", "n_words", "hits", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hits, span), pa.array(items, pa.list_(pa.string())), pa.array(unnamed, pa.bool_())], ["row", "n_words", "hits", "items", "unnamed"])
 
-    return mapped(rows, run, with_id(rows, "row", "n_words long, hits array<struct<start:long,end:long>>, items array<string>"))
+    return mapped(rows, run, with_id(rows, "row", "n_words long, hits array<struct<start:long,end:long>>, items array<string>, unnamed boolean"))
 
 
 def char_spans(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -262,17 +265,18 @@ def char_spans(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(words[a][0], words[b - 1][1]) for a, b in hits]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, one_in: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, one_in: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES, unnamed: bool = False) -> DataFrame:
     """(id, n_words, n_hit, n_items, items, items_sha256, contaminated, hits) for every row of docs.
 
     A window is WINDOW consecutive words of an item (all, if it has fewer); a word inside any occurrence of one is hit.
     contaminated: n_hit > 0 and one_in * n_hit >= n_words. hits: merged removal spans, as word numbers, end exclusive.
     The documents aren't shuffled. The benchmark goes to the executors in blocks of at most block_bytes and an item;
     where that makes several, each is a pass and a document's spans are merged. Null and empty texts have no words;
-    items that are null, lack an id or have no words have no windows; rows of one item id count as one item. Repeated rows
+    items that are null or have no words have no windows; rows of one item id count as one item. Items without an id have
+    windows only with unnamed: then they are hit as others are and count as one item, but items doesn't list it. Repeated rows
     and null ids of docs are kept as they are. Columns beside the named ones are ignored.
     """
-    items = benchmark.where(benchmark[item_col].isNotNull() & benchmark[text_col].isNotNull()).select(benchmark[item_col].cast("string").alias("name"), benchmark[text_col].alias("item"))
+    items = benchmark.where((benchmark[item_col].isNotNull() | F.lit(unnamed)) & benchmark[text_col].isNotNull()).select(benchmark[item_col].cast("string").alias("name"), benchmark[text_col].alias("item"))
     blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("item"))).first()[0] or 0) / block_bytes))
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     if blocks == 1:
@@ -280,7 +284,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, one_in: int = 20, id_co
     else:
         rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
         parts = [searched(rows.select("row", "text"), Windows([tuple(r) for r in items.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == k).collect()])) for k in range(blocks)]
-        merged = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        merged = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("unnamed").alias("unnamed"))
         union = """aggregate(hits, cast(array() as array<struct<start:bigint,end:bigint>>), (out, x) ->
             if(size(out) > 0 and x.start <= element_at(out, -1).end,
                concat(slice(out, 1, size(out) - 1), array(named_struct('start', element_at(out, -1).start, 'end', greatest(x.end, element_at(out, -1).end)))),
@@ -288,7 +292,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, one_in: int = 20, id_co
         found = rows.select("row", "id").join(merged.withColumn("hits", F.expr(union)), "row").drop("row")
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x.end - x.start)
     return found.withColumn("n_hit", n_hit).select(
-        F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
+        F.col("id").alias(id_col), "n_words", "n_hit", (F.size("items") + F.col("unnamed").cast("int")).cast("long").alias("n_items"), "items",
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words"))).alias("contaminated"), "hits",
     )
 
