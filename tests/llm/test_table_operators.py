@@ -1,4 +1,5 @@
 import random
+from functools import partial
 
 import duckdb
 import numpy as np
@@ -20,7 +21,7 @@ def brute_components(rows):
     for i, text in rows:
         w = words_of(text)
         sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-    part = {i: i for i in sets}
+    part, links = {i: i for i in sets}, dict.fromkeys(sets, 0)
 
     def top(i):
         while part[i] != i:
@@ -30,9 +31,15 @@ def brute_components(rows):
     for a in sets:
         for b in sets:
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                links[a] += 1
+                links[b] += 1
                 x, y = sorted((top(a), top(b)))
                 part[y] = x
-    return {i: (len(s), top(i)) for i, s in sets.items()}
+    return {i: (len(s), top(i), links[i]) for i, s in sets.items()}
+
+
+def found_components(df):
+    return {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.jaccard_components(df).collect()}
 
 
 def copies(r, n):
@@ -59,30 +66,81 @@ def copies(r, n):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard_components_against_brute_force(spark, seed):
     rows = list(enumerate(copies(random.Random(seed), 400)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
-    assert got == brute_components(rows)
+    assert found_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute_components(rows)
 
 
-def test_jaccard_with_all_shingles_frequent_and_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 4)
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+@pytest.mark.parametrize(("sets", "bytes_", "least"), [(3, 0, 10**9), (40, 32 << 20, 2), (5, 32 << 20, 3)])
+def test_jaccard_with_small_blocks_and_few_or_many_frequent_shingles(spark, monkeypatch, sets, bytes_, least):
+    monkeypatch.setattr(jaccard, "BROADCAST_BYTES", bytes_)
+    monkeypatch.setattr(jaccard, "GROUP_SETS", sets)
+    monkeypatch.setattr(jaccard, "frequent", partial(brute_frequent, least))
     rows = list(enumerate(copies(random.Random(7), 150)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_components(rows)
+    assert found_components(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
+
+
+def brute_frequent(least, rows):
+    """Shingles of so many different sets, and centres, without batches."""
+    sets = {jaccard.fingerprint(s): s for s in jaccard.shingle_sets([r.text or "" for r in rows.collect()]) if len(s)}
+    token = np.concatenate(list(sets.values()))
+    of = np.repeat(np.array(list(sets), np.int64), [len(s) for s in sets.values()])
+    names, inverse, n = np.unique(token, return_inverse=True, return_counts=True)
+    centre = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(centre, inverse, of)
+    order = np.argsort(n, kind="stable")
+    order = order[n[order] >= least]
+    return names[order], centre[order]
+
+
+def near_copies(r, n, share):
+    """Copies of one text of 200 words, each with about share of its shingles changed: links between copies are a matter of luck."""
+    base = [f"b{i}" for i in range(200)]
+    out = []
+    for k in range(n):
+        copy = list(base)
+        for at in r.sample(range(200), round(200 * share / 5)):
+            copy[at] = f"c{k}x{at}" if r.random() < 0.7 else f"d{r.randrange(3)}"
+        out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("share", [0.08, 0.11, 0.14])
+def test_jaccard_of_a_large_group_about_the_threshold(spark, monkeypatch, share):
+    monkeypatch.setattr(jaccard, "GROUP_SETS", 64)
+    rows = list(enumerate(near_copies(random.Random(3), 300, share)))
+    assert found_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)) == brute_components(rows)
+
+
+def test_answers_of_a_group_against_intersections():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 10**9, 300)
+    sets = [np.unique(np.r_[base[r.random(300) < 0.9], r.integers(0, 10**9, r.integers(0, 60))]) for _ in range(40)] + [np.unique(r.integers(0, 400, 50)) for _ in range(10)]
+    group = jaccard.Group([(i, 0, 1, np.array([5]), s) for i, s in enumerate(sets)], 5, False)
+    got = dict(group.answers())
+    for x, s in enumerate(sets):
+        assert [int(got[x][y]) for y in range(50) if y != x] == [len(np.intersect1d(s, t)) for y, t in enumerate(sets) if y != x]
 
 
-def test_sweep_against_all_pairs():
-    """Every pair of one list and different components that can link comes out of the sweep, and only such pairs."""
+def test_lists_against_all_pairs(monkeypatch):
+    """An entry stays if its list has one that it can link to, wherever batches are cut; more may stay in lists that are cut."""
     import pyarrow as pa
 
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
     r = np.random.default_rng(3)
-    n = np.sort(r.integers(5, 60, 600))
-    ids, pos, part = np.arange(600), (n * r.random(600) * 0.25).astype(np.int64), r.integers(0, 4, 600)
-    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (np.ones(600, np.int64), ids, n, pos, part, np.zeros(600, bool), *np.zeros((len(jaccard.MAP), 600), np.int64))], ["token", "id", "n", "pos", "part", "known", *jaccard.MAP])
-    old, jaccard.BLOCK = jaccard.BLOCK, 16
-    got = {(a, b) for out in jaccard.swept(iter([batch])) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)}
-    jaccard.BLOCK = old
-    assert got == {(a, b) for a in range(600) for b in range(a + 1, 600) if part[a] != part[b] and jaccard.possible(n[a], pos[a], n[b], pos[b])}
+    token = np.sort(np.r_[r.integers(0, 300, 500), np.full(400, 500), np.arange(600, 640)])
+    n = r.integers(5, 60, len(token))
+    pos, f = (n * r.random(len(token)) * 0.3).astype(np.int64), r.permutation(len(token)).astype(np.int64)
+    order = np.lexsort((f, token))
+    token, n, pos, f = token[order], n[order], pos[order], f[order]
+    lists = {t: np.flatnonzero(token == t) for t in np.unique(token)}
+    meant = {int(f[i]): int(f[rows[0]]) for rows in lists.values() for i in rows if any(jaccard.possible(n[i], pos[i], n[j], pos[j]) for j in rows if j != i)}
+    for cut in (1, 7, 100, 2000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[k : k + cut]) for x in (token, f, n, pos)], ["token", "f", "n", "pos"]) for k in range(0, len(token), cut)]
+        got = {a: c for out in jaccard.listed(iter(batches)) for a, c in zip(out["f"].to_pylist(), out["centre"].to_pylist(), strict=True)}
+        assert meant.items() <= got.items()
+        assert all(len(lists[token[f == a][0]]) > 1 and lists[token[f == a][0]].size and f[lists[token[f == a][0]][0]] == c for a, c in got.items())
+        if cut == 2000:
+            last = set(f[token == token[-1]].tolist())
+            assert set(got) - last == set(meant) - last
 
 
 def test_prefixes_hold_enough_meetings():
@@ -104,8 +162,8 @@ def test_components_of_chains_and_stars(spark):
 
 
 def test_jaccard_odd_rows(documents, empty):
-    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(documents).collect()}
-    assert {(1, 7, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (6, 0, 6), (None, 1, None)} <= got
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.jaccard_components(documents).collect()}
+    assert {(1, 7, 1, 1), (2, 0, 2, 0), (3, 0, 3, 0), (4, 1, 4, 0), (6, 0, 6, 0), (None, 1, None, 0)} <= got
     assert jaccard.jaccard_components(documents).count() == documents.count()
     assert jaccard.jaccard_components(empty).count() == 0
 

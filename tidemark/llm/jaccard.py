@@ -1,28 +1,31 @@
 """N-gram Jaccard join: exact links between sets of word shingles, by prefix lists with block skips and derived answers.
 
-Equal sets are one class, and the class's smallest id stands for it. Sets are put in one fixed order, and their prefixes
-in lists by shingle. Two sets of a and b shingles with a Jaccard similarity of 0.8 share c = 4 (a + b) / 9 of them or more,
-so they share k of their first a - c + k and b - c + k. Prefixes are a tenth of the set longer than the one shingle that
-links need, and pairs that meet in fewer lists than that makes sure of aren't verified. The order is by hash with frequent
-shingles last, which keeps shared passages out of the prefixes.
-
-Answers are derived from a similar set's: in a list, each set is first held against one centre. Sets that link to it have
-its answers so far, that is its component, and aren't compared with one another. What is left are pairs in the same list
-whose components differ; lists of several components are swept in order of size, in blocks that are skipped by size and
-by position, and those pairs are verified. So components are exact, without one row for each pair of a group of copies.
+Equal sets are one class, told apart by a 64-bit fingerprint. Sets are put in one fixed order, and their prefixes in lists by
+shingle. Two sets of a and b shingles with a Jaccard similarity of 0.8 share c = 4 (a + b) / 9 of them or more, so they share k
+of their first a - c + k and b - c + k. Prefixes are a tenth of the set longer than the one shingle that links need, and sets
+that meet others in fewer lists than that makes sure of have no link. The order is by hash with frequent shingles last, which
+keeps shared passages out of the prefixes.
+
+Lists are sorted by size of set. An entry stays if its list has one within its reach by size and by position, which is looked
+for in blocks that are skipped by their bounds. A list's centre is its set of the least fingerprint, the same one in most
+lists of near copies; sets whose entries have the same centre are one group. A set goes to each of its groups once, as its
+text, however many lists it is in, and large groups are dealt out as pairs of blocks.
+
+In a group the sets are walked in order of likeness, and answers are derived: what a set shares with all others is what a
+similar set before it shares with them, changed along the lists of the shingles that only one of the two has. A pair of
+sets is judged in the smallest of its common groups. Out of a group come each set's number of links, and as many links as
+join its components, never a row for each pair. Hashes of words and shingles have 64 bits: all is exact up to collisions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER, hashed_texts, mapped, mixed, texts, written
@@ -30,18 +33,16 @@ from tidemark.llm.common import LOWER, hashed_texts, mapped, mixed, texts, writt
 #: Words in a shingle. The threshold is 80 / 100 throughout: 5 * smaller >= 4 * larger, and 9 * common >= 4 * (sum of sizes).
 WIDTH = 5
 #: A shingle is told to the order if so many documents of a batch have it, as a share and at least; and at most so many are.
-FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 1 / 500, 3, 2_000_000
+FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 1 / 500, 3, 1_000_000
 #: Entries of a list that are skipped together.
 BLOCK = 256
-#: Bits of a set's parity map: bit i is whether the set has an odd number of shingles whose hash is i modulo the size.
-PARITY = 256
-#: Rows up to which a table goes to all executors; beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Sets and shingles of a group that one block takes, about; a set of more is a block of its own.
+GROUP_SETS, GROUP_SHINGLES = 512, 1 << 20
+#: Bytes up to which a table goes to all executors; beyond, it is joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
-MAP = [f"b{i}" for i in range(PARITY // 64)]
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
-
 def of_words(w: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     """The set of each text, as sorted 64-bit hashes; of fewer than WIDTH words, one for the whole sequence."""
     h = w * FACTORS[0]
@@ -67,9 +68,8 @@ def shingle_sets(all_texts: list[str]) -> Iterator[np.ndarray]:
         yield from of_words(hashes, bounds)
 
 
-@lru_cache(2048)
-def known_shingles(text: str) -> np.ndarray:
-    return next(shingle_sets([text]))
+def fingerprint(s: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
 
 
 def prefix_size(n: Any) -> Any:
@@ -82,32 +82,43 @@ def meetings(a: Any, b: Any) -> Any:
     return np.maximum(1, np.minimum(prefix_size(a) - a, prefix_size(b) - b) - (-4 * (a + b) // 9))
 
 
-def sent(df: DataFrame, name: str) -> DataFrame:
-    """df, written, and marked for broadcast if its rows are few enough."""
+def least_meetings(n: Column) -> Column:
+    """How many lists a set of n shingles shares with others at least, if it has a link: no more than meetings() of n with any size."""
+    return F.greatest(F.lit(1), F.floor(n / 10) - 1)
+
+
+def sent(df: DataFrame, name: str, width: Column | int = 48) -> DataFrame:
+    """df, written, and marked for broadcast if its rows, of width bytes each, are few enough."""
     df = written(df, name)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    size = df.agg(F.sum(width if isinstance(width, Column) else F.lit(width))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def frequent(rows: DataFrame) -> np.ndarray:
-    """Shingles that many documents have, rarest first.
+def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many documents have, rarest first, and the centre of each one's list.
 
-    Batches tell those that a share of their own distinct sets have, with counts, and the counts are added up. Missing
-    one costs time and not a link, since any order serves; the bound keeps the table small at every size.
+    Batches tell those that a share of their own distinct sets have, with counts and the least fingerprint; these are added up.
+    Missing one costs time and not a link, since any order serves; the bound keeps the table small at every size. With
+    its centre known beforehand, a hot shingle needs no list.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, None] = {}
+        seen: dict[int, None] = {}
         parts: list[np.ndarray] = []
         held = 0
 
         def told() -> pa.RecordBatch:
-            token, n = np.unique(np.concatenate(parts), return_counts=True)
+            token = np.concatenate(parts)
+            order = np.argsort(token, kind="stable")
+            token, of = token[order], np.repeat(np.array(list(seen), np.int64), [len(s) for s in parts])[order]
+            first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            n = np.diff(np.r_[first, len(token)])
             many = n >= max(FREQUENT_LEAST, len(parts) * FREQUENT_SHARE)
-            return pa.RecordBatch.from_arrays([pa.array(token[many]), pa.array(n[many].astype(np.int64))], ["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(token[first][many]), pa.array(n[many]), pa.array(np.minimum.reduceat(of, first)[many])], ["token", "n", "centre"])
 
         for batch in batches:
             for s in shingle_sets(texts(batch)):
-                key = xxhash.xxh3_128_digest(s.tobytes())
+                key = fingerprint(s)
                 if len(s) and key not in seen:
                     seen[key] = None
                     parts.append(s)
@@ -118,66 +129,46 @@ def frequent(rows: DataFrame) -> np.ndarray:
         if parts:
             yield told()
 
-    counts = written(mapped(rows.select("text"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "frequent")
+    found = mapped(rows.select("text"), run, "token long, n long, centre long")
+    counts = written(found.groupBy("token").agg(F.sum("n").alias("n"), F.min("centre").alias("centre")), "frequent")
     size = counts.count()
     if size > FREQUENT_MOST:  # then those that more documents have
         counts = counts.where(F.col("n") > counts.approxQuantile("n", [1 - FREQUENT_MOST / size], 0.001)[0]).limit(FREQUENT_MOST)
     table = counts.toArrow()
-    token, n = table["token"].to_numpy(), table["n"].to_numpy()
-    return token[np.lexsort((token, n))]
+    token, n, centre = (table[c].to_numpy() for c in ("token", "n", "centre"))
+    order = np.lexsort((token, n))
+    return token[order], centre[order]
 
 
-def signatures(rows: DataFrame, last: np.ndarray) -> DataFrame:
-    """(id, n, f1, f2, prefix, b0 …): the set's size, a 128-bit fingerprint, its prefix in the order, and its parity map."""
+def signatures(rows: DataFrame, last: np.ndarray, centre_of: np.ndarray) -> DataFrame:
+    """(id, h, n, f, prefix, late, centres): the set's size and fingerprint, the shingles of its prefix that need lists, how many others are in it, and these others' centres."""
     order = np.argsort(last, kind="stable")
-    shared = rows.sparkSession.sparkContext.broadcast((last[order], order))
-    kind = rows.schema["id"].dataType.simpleString()
+    shared = rows.sparkSession.sparkContext.broadcast((last[order], order, centre_of[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, place = shared.value
+        tokens, place, centre = shared.value
         for batch in batches:
-            n, f1, f2, prefixes, maps = [], [], [], [], []
+            n, f, late, prefixes, centres = [], [], [], [], []
             for s in shingle_sets(texts(batch)):
                 n.append(len(s))
-                a, b = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
-                f1.append(a)
-                f2.append(b)
-                maps.append(np.packbits((np.bincount(s & (PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64))
+                f.append(fingerprint(s))
                 p = int(prefix_size(len(s)))
+                first, others = s[:p], s[:0]
+                count = 0
                 if len(tokens) and len(s):
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                    late = tokens[at] == s
-                    first = s[~late][:p]
-                    if len(first) < p:
-                        first = np.r_[first, s[late][np.argsort(place[at[late]], kind="stable")][: p - len(first)]]
-                    prefixes.append(first)
-                else:
-                    prefixes.append(s[:p])
-            offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-            values = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), *map(pa.array, np.array(maps, np.int64).reshape(-1, PARITY // 64).T.copy())], ["id", "n", "f1", "f2", "prefix", *MAP])
-
-    return mapped(rows, run, f"id {kind}, n long, f1 long, f2 long, prefix array<long>, {' long, '.join(MAP)} long")
-
-
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
-    """Columns and the first rows of the lists in them, from batches sorted by token; a list is never cut in two."""
-    rest: dict[str, np.ndarray] | None = None
-    for batch in batches:
-        now = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
-        if rest is not None:
-            now = {c: np.concatenate([rest[c], now[c]]) for c in now}
-        token = now["token"]
-        if not len(token):
-            continue
-        change = np.flatnonzero(token[1:] != token[:-1])
-        cut = int(change[-1]) + 1 if len(change) else 0  # the last list may go on
-        rest = {c: v[cut:] for c, v in now.items()}
-        if cut:
-            now = {c: v[:cut] for c, v in now.items()}
-            yield now, np.flatnonzero(np.r_[True, token[1:cut] != token[: cut - 1]])
-    if rest is not None and len(rest["token"]):
-        yield rest, np.zeros(1, np.int64)
+                    known = tokens[at] == s
+                    first = s[~known][:p]
+                    if (count := p - len(first)) > 0:
+                        at = at[known]
+                        others = np.unique(centre[at[np.argsort(place[at], kind="stable")[:count]]])
+                late.append(count)
+                prefixes.append(first)
+                centres.append(others)
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x in (prefixes, centres)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(late, pa.int64()), *lists], ["id", "h", "n", "f", "late", "prefix", "centres"])
+
+    return mapped(rows.select("id", "h", "text"), run, "id long, h long, n long, f long, late long, prefix array<long>, centres array<long>")
 
 
 def possible(n_a, p_a, n_b, p_b):
@@ -186,102 +177,197 @@ def possible(n_a, p_a, n_b, p_b):
     return (5 * np.minimum(n_a, n_b) >= 4 * np.maximum(n_a, n_b)) & (9 * most >= 4 * (n_a + n_b))
 
 
-def counted(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """(a, b, least, n): pairs of ids, smaller first, with the lists they need to meet in and those they met in here."""
-    x, y, n_x, n_y = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
-    order = np.lexsort((np.maximum(x, y), np.minimum(x, y)))
-    a, b, least = np.minimum(x, y)[order], np.maximum(x, y)[order], meetings(n_x, n_y)[order]
-    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(least[first]), pa.array(np.diff(np.r_[first, len(a)]))], ["a", "b", "least", "n"])
-
-
-PAIRS = "a long, b long, least long, n long"
-
-
-def starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each list's pairs with its centre: the entry with the least hash, the same one in most lists of a group."""
-    for now, first in runs(batches):
-        token, ids, n, pos = (now[c] for c in ("token", "id", "n", "pos"))
-        of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(token)]))
-        hashed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
-        c = np.lexsort((hashed, of))[first][of]
-        good = (ids != ids[c]) & possible(n[c], pos[c], n, pos)
-        yield counted([(ids[good], ids[c][good], n[good], n[c][good])])
-
-
-def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The entries of lists of two or more."""
-    for now, first in runs(batches):
-        size = np.diff(np.r_[first, len(now["token"])])
-        more = np.repeat(size >= 2, size)
-        yield pa.RecordBatch.from_arrays([pa.array(v[more]) for v in now.values()], list(now))
+def reachable(n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which entries of a list, sorted by size of set, have another one that they can link to. Most have it next to them;
+    the others are held against the blocks within their reach by size, but for those too far on or back in their order."""
+    near = possible(n[1:], pos[1:], n[:-1], pos[:-1])
+    out = np.r_[near, False] | np.r_[False, near]
+    if len(n) == 2 or out.all():
+        return out
+    starts = np.arange(0, len(n), BLOCK)
+    most_pos, most_left = np.maximum.reduceat(pos, starts), np.maximum.reduceat(n - pos, starts)
+    for i in np.flatnonzero(~out).tolist():
+        low, high = int(np.searchsorted(n, -(-4 * n[i] // 5))), int(np.searchsorted(n, 5 * n[i] // 4, side="right"))
+        for k in range(low // BLOCK, -(-high // BLOCK)):
+            s = slice(max(low, k * BLOCK), min(high, (k + 1) * BLOCK))
+            # a block's sets have at least n[s.start] shingles and share at most this many with the entry
+            if 9 * (min(pos[i], most_pos[k]) + min(n[i] - pos[i], most_left[k])) < 4 * (n[i] + n[s.start]):
+                continue
+            fits = possible(n[i], pos[i], n[s], pos[s])
+            if s.start <= i < s.stop:
+                fits[i - s.start] = False
+            if fits.any():
+                out[i] = True
+                break
+    return out
 
 
-def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in one list that can link. Lists come sorted by size of set.
+def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(f, n, centre) of the entries that may have a link, from entries sorted by token and f.
 
-    Entries outside of the list's largest component are held against the blocks within their reach by size; a block is
-    skipped if its entries are all of the same component as the probe, or too far on in their order to share enough.
-    Parity maps of two sets differ in no more bits than there are shingles in one of the two only, so a pair whose maps
-    differ in more than a link allows can't link, and isn't told from each of its lists.
+    Lists are read as they come, so a long one is never held: its first entry is its centre, and of a list that goes on from
+    one batch to the next all entries stay.
     """
-    for now, first in runs(batches):
-        out: list[tuple[np.ndarray, ...]] = []
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(now["token"])], strict=True):
-            if b - a < 2:
-                continue
-            ids, n, pos, part = (now[c][a:b] for c in ("id", "n", "pos", "part"))
-            if b - a == 2:  # most lists
-                if part[0] != part[1] and possible(n[0], pos[0], n[1], pos[1]):
-                    out.append((ids[:1], ids[1:], n[:1], n[1:]))
-                continue
-            parts, which = np.unique(part, return_inverse=True)
-            if len(parts) == 1:
+    last, centre = None, 0  # the list that is being read, and its centre
+    waiting: pa.RecordBatch | None = None  # its first entry, when a batch ended with it
+    for batch in batches:
+        token, f, n, pos = (batch.column(i).to_numpy() for i in range(4))
+        if not len(token):
+            continue
+        if waiting is not None and token[0] == last:
+            yield waiting
+        waiting = None
+        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        size = np.diff(np.r_[first, len(token)])
+        heads = f[first]
+        goes_on = token[0] == last
+        if goes_on:
+            heads[0] = centre
+        last, centre = token[-1], int(heads[-1])
+        keep = np.repeat(size > 1, size)
+        more = np.repeat(np.arange(len(first)), size)
+        if keep.any():
+            inner = keep.copy()
+            if goes_on:
+                inner[: size[0]] = False
+            inner[first[-1] :] = False  # may go on
+            rows = np.flatnonzero(inner)
+            rows = rows[np.lexsort((pos[rows], n[rows], more[rows]))]
+            twos = size[more[rows]] == 2
+            pair = rows[twos]
+            fits = possible(n[pair[::2]], pos[pair[::2]], n[pair[1::2]], pos[pair[1::2]])
+            keep[pair] = np.repeat(fits, 2)
+            rows = rows[~twos]
+            ends = np.flatnonzero(np.r_[more[rows][1:] != more[rows][:-1], True]) + 1 if len(rows) else []
+            begin = 0
+            for end in ends:
+                part = rows[begin:end]
+                keep[part] = reachable(n[part], pos[part])
+                begin = end
+        if goes_on:
+            keep[: size[0]] = True
+        if size[-1] > 1:
+            keep[first[-1] :] = True
+        elif not (goes_on and len(first) == 1):
+            waiting = pa.RecordBatch.from_arrays([pa.array(f[-1:]), pa.array(n[-1:]), pa.array(np.array([centre]))], ["f", "n", "centre"])
+        yield pa.RecordBatch.from_arrays([pa.array(f[keep]), pa.array(n[keep]), pa.array(heads[more[keep]])], ["f", "n", "centre"])
+
+
+class Group:
+    """Sets that are held against each other: their fingerprints, sides, copies, groups and shingles."""
+
+    def __init__(self, members: list[tuple[int, int, int, np.ndarray, np.ndarray]], centre: int, across: bool):
+        self.across = across  # only pairs of different sides count
+        self.f = np.array([m[0] for m in members], np.int64)
+        self.side = np.array([m[1] for m in members], np.int8)
+        self.copies = np.array([m[2] for m in members], np.int64)
+        self.sets = [m[4] for m in members]
+        self.n = np.array([len(s) for s in self.sets], np.int64)
+        smaller = [m[3][m[3] < centre] for m in members]  # pairs that share one of these are judged there
+        self.smaller = smaller if any(map(len, smaller)) else None
+        if self.smaller:
+            of = np.repeat(np.arange(len(members)), [len(x) for x in smaller])
+            flat = np.concatenate(smaller)
+            order = np.argsort(flat, kind="stable")
+            self.holders, self.held_by = flat[order], of[order]
+
+    def elsewhere(self, x: int) -> np.ndarray:
+        """The sets that share a smaller group with x."""
+        if not self.smaller or not len(mine := self.smaller[x]):
+            return np.zeros(0, np.int64)
+        low, high = np.searchsorted(self.holders, mine), np.searchsorted(self.holders, mine, side="right")
+        return np.concatenate([self.held_by[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+
+    def answers(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(x, common): for each set, how many shingles it has in common with each.
+
+        An inverted index over the shingles that two sets or more have. The first set is looked up in it shingle by
+        shingle; for later ones, most like the first, the answer of the most similar set looked up so far is taken
+        over, less the lists of the shingles that only that set has, and with the lists of those that only this one has.
+        """
+        m = len(self.sets)
+        inverse = np.unique(np.concatenate(self.sets), return_inverse=True)[1]
+        counts = np.bincount(inverse)
+        of = np.repeat(np.arange(m), self.n)
+        keep = counts[inverse] > 1
+        inverse, of = inverse[keep], of[keep]
+        bounds = np.searchsorted(of, np.arange(m + 1))
+        own = [inverse[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        size = np.diff(bounds)
+        entries = of[np.argsort(inverse, kind="stable")]
+        ends = np.cumsum(np.bincount(inverse, minlength=len(counts)))
+        begins = np.r_[0, ends[:-1]]
+
+        def met(shingles: np.ndarray) -> np.ndarray:
+            length = (ends - begins)[shingles]
+            at = np.arange(length.sum()) + np.repeat(begins[shingles] - np.r_[0, np.cumsum(length)[:-1]], length) if len(shingles) else shingles
+            return np.bincount(entries[at], minlength=m)
+
+        first = int(np.argmax(size))
+        done: list[tuple[int, np.ndarray]] = [(first, met(own[first]))]
+        mark = np.zeros(len(counts), bool)
+        yield done[0]
+        for x in np.argsort(-done[0][1], kind="stable").tolist():
+            if x == first:
                 continue
-            main = np.bincount(which).argmax()
-            maps, known = np.stack([now[c][a:b] for c in MAP], axis=1), now["known"][a:b]
-            starts = np.arange(0, b - a, BLOCK)
-            most_pos, most_left = np.maximum.reduceat(pos, starts), np.maximum.reduceat(n - pos, starts)
-            low_part, high_part = np.minimum.reduceat(which, starts), np.maximum.reduceat(which, starts)
-            for i in np.flatnonzero(which != main).tolist():
-                low = int(np.searchsorted(n, -(-4 * n[i] // 5)))
-                high = int(np.searchsorted(n, 5 * n[i] // 4, side="right"))
-                for k in range(low // BLOCK, -(-high // BLOCK)):
-                    if low_part[k] == high_part[k] == which[i]:
-                        continue
-                    s = slice(max(low, k * BLOCK), min(high, (k + 1) * BLOCK))
-                    # a block's sets have at least n[s.start] shingles and share at most this many with the probe
-                    if 9 * (min(pos[i], most_pos[k]) + min(n[i] - pos[i], most_left[k])) < 4 * (n[i] + n[s.start]):
-                        continue
-                    # two probes meet twice, once as each other's partner: the later one counts
-                    good = np.flatnonzero((which[s] != which[i]) & ((which[s] == main) | (np.arange(s.start, s.stop) < i)) & possible(n[i], pos[i], n[s], pos[s])) + s.start
-                    apart = np.bitwise_count((maps[good] ^ maps[i]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-                    good = good[(apart <= n[i] + n[good] + 2 * (-4 * (n[i] + n[good]) // 9)) | ~(known[good] & known[i])]
-                    if len(good):
-                        out.append((np.full(len(good), ids[i]), ids[good], np.full(len(good), n[i]), n[good]))
-        if out:
-            yield counted(out)
+            apart = [size[x] + size[y] - 2 * c[x] for y, c in done]
+            k = int(np.argmin(apart))
+            if apart[k] >= size[x]:  # nothing like it yet
+                common = met(own[x])
+                done.append((x, common))
+            else:
+                y, common = done[k]
+                mark[own[y]] = True
+                more = own[x][~mark[own[x]]]
+                mark[own[y]] = False
+                mark[own[x]] = True
+                less = own[y][~mark[own[y]]]
+                mark[own[x]] = False
+                common = common + met(more) - met(less)
+            yield x, common
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+        """(set, its number of links to documents here) of the sets that have any, and links that join the components."""
+        m, label = len(self.sets), np.arange(len(self.sets))
+        number, joins = np.zeros(m, np.int64), []
+        for x, common in self.answers():
+            good = (100 * common >= 80 * (self.n + self.n[x] - common)) & (self.f != self.f[x])
+            if self.across:
+                good &= self.side != self.side[x]
+            good[self.elsewhere(x)] = False
+            partners = np.flatnonzero(good)
+            if len(partners):
+                number[x] = self.copies[partners].sum()
+                parts, at = np.unique(label[partners], return_index=True)
+                for part, y in zip(parts.tolist(), partners[at].tolist(), strict=True):
+                    if part != label[x]:
+                        joins.append((int(self.f[x]), int(self.f[y])))
+                        label[label == part] = label[x]
+        some = np.flatnonzero(number)
+        return self.f[some], number[some], joins
 
 
 def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        good = []
-        for x, y in zip(texts(batch, "text_a"), texts(batch, "text_b"), strict=True):
-            s, t = known_shingles(x), known_shingles(y)
-            if len(s) > len(t):
-                s, t = t, s
-            common = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum()) if len(s) else 0
-            good.append(bool(common) and 100 * common >= 80 * (len(s) + len(t) - common))
-        yield pa.RecordBatch.from_arrays([pc.filter(batch.column(i), pa.array(good)) for i in (0, 1)], ["a", "b"])
+    """(a, b, n): a's number of links in a group, where b is null; else a link. From sets sorted by group and pair of blocks."""
+    now, members, seen = None, [], set()
 
+    def told() -> pa.RecordBatch:
+        f, n, joins = Group(members, now[0], now[1] != now[2]).links()
+        a, b = [x for x, _ in joins], [y for _, y in joins]
+        return pa.RecordBatch.from_arrays([pa.array([*f.tolist(), *a], pa.int64()), pa.array([*[None] * len(f), *b], pa.int64()), pa.array([*n.tolist(), *[0] * len(a)], pa.int64())], ["a", "b", "n"])
 
-def verified(pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-    """Those of counted pairs that link, by their whole texts. Only texts that a pair needs are moved."""
-    pairs = written(pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("a", "b"), f"{name}_pairs")
-    needed = sent(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}_ids")
-    mine = rows.join(needed, "id", "left_semi")
-    both = pairs.join(mine.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(mine.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return written(mapped(both.select("a", "b", "text_a", "text_b"), linked, "a long, b long").distinct(), f"{name}_links")
+    for batch in batches:
+        columns = [batch.column(i).to_pylist() for i in range(6)]
+        for key, other, pair, side, f, copies, centres, s in zip(*columns, batch.column(6), shingle_sets(texts(batch)), strict=True):
+            if (key, other, pair) != now:
+                if len(members) > 1:
+                    yield told()
+                now, members, seen = (key, other, pair), [], set()
+            if f not in seen and fingerprint(s) == f:
+                seen.add(f)
+                members.append((f, side, copies, centres.values.to_numpy(), s))
+    if len(members) > 1:
+        yield told()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -303,28 +389,60 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("part"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for every row of docs: the size of its set, and the smallest id that links reach from it.
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, h, n_shingles, component, component_id, n_links) for every row of docs: a hash of its text, the size of its set, what its
+    component is known by and the component's smallest id, and how many rows of docs its set links with, itself left out.
 
-    Null, empty and word-less texts have an empty set, link with nothing and are their own component. Rows without an id
-    link with nothing and have no component. Equal rows, and equal sets, are linked whatever their number. Ids are to be
-    integers; where rows of different texts share one, a link of any of them is a link of that id. Columns of docs beside
-    the two are ignored, whatever their names.
+    Null, empty and word-less texts have an empty set, link with nothing and are their own component. Equal rows and equal
+    sets are linked whatever their number. Rows without an id link as others do; component_id is null if no row of the
+    component has one. Rows that share an id are told apart by their texts. Ids are to be integers. Columns of docs
+    beside the two are ignored, whatever their names.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    marks = written(signatures(rows, frequent(rows)), "signatures")
-    some = marks.where("n > 0 AND id IS NOT NULL")
-    classes = written(some.groupBy("f1", "f2").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes")
-    stand = some.join(classes.select("id", "f1", "f2"), ["id", "f1", "f2"], "left_semi")
-    lists = stand.select("id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "id", "n", F.col("pos").cast("long").alias("pos"))
-    lists = written(mapped(lists.repartition(F.col("token")).sortWithinPartitions("token"), shared, "token long, id long, n long, pos long"), "lists")
-    links = verified(mapped(lists, starred, PAIRS), rows, "star")
-    parts = sent(components(links), "parts")
-    # an id that stands for several sets has no one map, and its pairs are verified without
-    maps = sent(some.join(classes.select("id", "f1", "f2"), ["id", "f1", "f2"], "left_semi").groupBy("id").agg(F.count_distinct("f1", "f2").alias("sets"), *(F.first(c).alias(c) for c in MAP)).where("sets = 1").drop("sets"), "maps")
-    left = lists.join(parts, "id", "left").join(maps, "id", "left")
-    left = left.select("token", "id", "n", "pos", F.coalesce("part", "id").alias("part"), F.col(MAP[0]).isNotNull().alias("known"), *(F.coalesce(c, F.lit(0)).alias(c) for c in MAP))
-    more = verified(mapped(left.repartition(F.col("token")).sortWithinPartitions("token", "n"), swept, PAIRS), rows, "sweep")
-    whole = components(parts.select(F.col("id").alias("a"), F.col("part").alias("b")).union(more))
-    named = sent(classes.join(whole, "id", "left").withColumn("component", F.coalesce("part", "id")).where("copies > 1 OR component <> id").select("f1", "f2", "component"), "named")
-    return marks.select("id", "n", "f1", "f2").join(named, ["f1", "f2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))).alias("component_id"))
+    rows = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("h"), docs[text_col].alias("text"))
+    marks = written(signatures(rows, *frequent(rows)), "signatures")
+    some = marks.where("n > 0")
+    name = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("name")
+    classes = sent(some.groupBy("f").agg(F.count("*").alias("copies"), F.min("id").alias("id")).where("copies > 1"), "classes")
+    # of equal sets one is listed
+    one = [F.any_value(c).alias(c) for c in ("n", "late", "prefix", "centres")]
+    stand = some.join(classes, "f", "left_anti").select("f", "n", "late", "prefix", "centres")
+    stand = stand.unionByName(some.join(classes, "f", "left_semi").groupBy("f").agg(*one))
+    lists = stand.select("f", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "f", "n", F.col("pos").cast("long").alias("pos"))
+    entries = mapped(lists.repartition(F.col("token")).sortWithinPartitions("token", "f"), listed, "f long, n long, centre long").withColumn("lists", F.lit(1).cast("long"))
+    hot = stand.select("f", "n", "late", F.posexplode("centres").alias("k", "centre")).select("f", "n", "centre", F.when(F.col("k") == 0, F.col("late")).otherwise(0).cast("long").alias("lists"))
+    met = entries.unionByName(hot).groupBy("f", "centre").agg(F.max("n").alias("n"), F.sum("lists").alias("lists"))
+    sets = met.groupBy("f").agg(F.max("n").alias("n"), F.sum("lists").alias("lists"), F.sort_array(F.collect_list("centre")).alias("centres"))
+    sets = written(sets.where(F.col("lists") >= least_meetings(F.col("n"))), "sets")
+    each = sets.select("f", "n", F.explode("centres").alias("centre"))
+    groups = each.groupBy("centre").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
+    groups = sent(groups.select("centre", F.ceil(F.greatest(F.col("sets") / GROUP_SETS, F.col("shingles") / GROUP_SHINGLES)).alias("blocks")), "groups")
+    inside = each.join(groups, "centre").groupBy("f").agg(F.collect_list(F.struct("centre", "blocks")).alias("groups"))
+    members = written(sets.select("f", "centres").join(inside, "f"), "members")
+    names = written(some.select("f", "id", "h").join(sent(members.select("f"), "grouped", 8), "f", "left_semi").groupBy("f").agg(name, F.count("*").alias("copies")), "names")
+    members = sent(members.join(names, "f").select("f", "copies", "centres", "groups", F.col("name.id").alias("of_id"), F.col("name.h").alias("of_h")), "named", 64 + 8 * F.size("centres") + 24 * F.size("groups"))
+    meant = sent(members.select("of_id", "of_h").distinct(), "meant", 24)
+    same = rows["id"].eqNullSafe(F.col("of_id")) & (rows["h"] == F.col("of_h"))
+    found = rows.join(meant, same, "left_semi").groupBy("id", "h").agg(F.any_value("text").alias("text"))
+    placed = found.join(members, found["id"].eqNullSafe(F.col("of_id")) & (found["h"] == F.col("of_h"))).select("f", "copies", "centres", "text", F.explode("groups").alias("g"))
+    block = F.pmod(F.xxhash64("f"), F.col("g.blocks"))
+    placed = placed.select("f", "copies", "centres", "text", F.col("g.centre").alias("centre"), block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("g.blocks") - 1)).alias("other"))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    placed = placed.select("centre", low.alias("low"), high.alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"), "f", "copies", "centres", "text")
+    links = written(mapped(placed.repartition("centre", "low", "high").sortWithinPartitions("centre", "low", "high"), linked, "a long, b long, n long"), "links")
+    parts = written(components(links.where("b IS NOT NULL").select("a", "b")), "parts")
+    parts = parts.select(F.col("id").alias("f"), "part").union(parts.select("part", "part").distinct())
+    parts = parts.join(names.select("f", F.col("name.id").alias("least")), "f")
+    whole = parts.join(sent(parts.groupBy("part").agg(F.min("least").alias("component_id")), "ids"), "part").select("f", "part", "component_id")
+    number = links.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n_links")).withColumnRenamed("a", "f")
+    known = classes.select("f", "copies", "id").join(whole.join(number, "f", "left"), "f", "full")
+    known = sent(known.select("f", F.coalesce("part", "f").alias("part"), F.coalesce("component_id", "id").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links")), "known")
+    return marks.select("id", "h", "n", "f").join(known, "f", "left").select(
+        "id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("part", "f")).alias("component"),
+        F.when(F.col("n") > 0, F.when(F.col("part").isNull(), F.col("id")).otherwise(F.col("component_id"))).otherwise(F.col("id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+    )
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, n_links) for every row of docs; see jaccard_join()."""
+    return jaccard_join(docs, id_col, text_col).select(F.col("id").alias(id_col), "n_shingles", "component_id", "n_links")
