@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import toxicity
-from tidemark.llm.common import table, written
+from tidemark.llm.common import sent, table, written
 from tidemark.llm.decontaminate import decontaminate
-from tidemark.llm.jaccard import jaccard_components, sent
-from tidemark.llm.mixing import mix
+from tidemark.llm.jaccard import jaccard_join
+from tidemark.llm.mixing import mixed_rows
 from tidemark.llm.secrets import secret_scan
 
 
@@ -26,12 +26,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component stays, once if its row is repeated; so do those without an id."""
-    found = written(jaccard_components(docs), "components").where("doc_id IS NOT NULL")
-    gone = sent(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    again = sent(found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return stay.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+    """Of each component of two rows or more the row of the smallest id stays, or, of rows without one, that of the least text hash.
+    Rows without words stay, repeated or not."""
+    linked = written(jaccard_join(docs), "components").where("n_links > 0")
+    first = linked.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first"))
+    linked = linked.join(sent(first, "first"), "component").withColumn("stays", F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h")))
+    named = [F.col("id").alias("of_id"), F.col("h").alias("of_h")]
+    gone = sent(linked.where("NOT stays").select(*named).distinct(), "gone", 24)
+    again = sent(linked.where("stays").groupBy("id", "h").count().where("count > 1").select(*named), "again", 24)
+    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"]).alias("h"))
+    same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h"))
+    stay = rows.join(gone, same, "left_anti")
+    return stay.join(again, same, "left_anti").select("row.*").unionByName(stay.join(again, same, "left_semi").groupBy("id", "h").agg(F.any_value("row").alias("row")).select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +47,18 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked in their texts and n_chars counted again."""
-    masked = secret_scan(whole_rows(docs), id_col="row").select("row.*", "masked_text")
-    changes = {"text": F.col("masked_text")} | ({"n_chars": F.when(F.col("text").eqNullSafe(F.col("masked_text")), F.col("n_chars")).otherwise(F.length("masked_text").cast("long"))} if "n_chars" in docs.columns else {})
-    return masked.withColumns(changes).select(docs.columns)
+    masked = secret_scan(whole_rows(docs), id_col="row").select("row", "masked_text")
+    of = {c: F.col("row").getField(c) for c in docs.columns}
+    if "n_chars" in of:
+        of["n_chars"] = F.when(of["text"].eqNullSafe(F.col("masked_text")), of["n_chars"]).otherwise(F.length("masked_text").cast(docs.schema["n_chars"].dataType))
+    of["text"] = F.col("masked_text")
+    return masked.select(*(v.alias(c) for c, v in of.items()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their copies and words."""
-    return mix(docs).where("copies > 0")
+    """The documents that the mix takes, whole, with size, source_size, target, copies and taken words. Texts of no words are not
+    taken. Rows of one id, source and text share their copies evenly; an empty table gives an empty one."""
+    return mixed_rows(docs).where("taken > 0")
 
 
 STAGES = [
@@ -63,6 +73,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus: the documents that all stages keep, texts masked, with the copies that the mix takes of each."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

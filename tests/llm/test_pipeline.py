@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tidemark.llm.common import table
 
@@ -17,16 +19,33 @@ def test_stages_keep_the_columns_and_take_effect(spark):
 
 
 def test_run_gives_the_last_stage(spark, sf):
-    assert {"doc_id", "size", "taken"} <= set(corpus_pipeline.run(spark, sf).columns)
+    got = corpus_pipeline.run(spark, sf)
+    assert got.columns == [*table(spark, sf, "documents").columns, "size", "source_size", "target", "copies", "taken"]
+    assert got.where("text IS NULL OR copies < 1").count() == 0
 
 
 def test_stages_on_odd_rows(spark, sf, documents, empty):
+    """Nulls, empty and repeated rows, and extra columns that clash with those the operators make."""
+    clashing = documents.withColumns({"row": F.col("id"), "masked_text": F.lit("m"), "h": F.lit(1), "of_id": F.lit(2), "copies": F.lit(3), "predicted": F.lit(0), "contaminated": F.lit(True), "key": F.lit("k"), "nth": F.lit(9), "component": F.lit(1), "n_chars": F.lit(5)})
     plain = documents.selectExpr("doc_id", "text", "lang", "source", "length(text)::bigint AS n_chars")
-    for rows in (plain, plain.where("false")):
+    for rows in (plain, clashing, clashing.where("false")):
         docs = rows
         for name, stage in corpus_pipeline.STAGES[:-1]:
             docs = corpus_pipeline.written(stage(spark, docs, sf), name)
             assert docs.columns == rows.columns
-        corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+        mixed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+        assert mixed.columns == [*(c for c in rows.columns if c not in ("size", "target", "copies")), "size", "source_size", "target", "copies", "taken"]
+        mixed.collect()
         if rows is plain:
             assert docs.where("doc_id = 1").count() == 1 and docs.where("doc_id IS NULL").count() == 1 and docs.where("doc_id = 2 AND text IS NULL").count() == 1
+
+
+def test_rows_without_an_id_and_repeated_ids_stay_apart(spark, sf):
+    text = lambda k: " ".join(f"word{k}x{i}" for i in range(30))
+    rows = [(None, text(1)), (None, text(1) + " more"), (None, text(2)), (7, text(3)), (7, text(4)), (8, text(4)), (None, text(4)), (5, ""), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
+    got = sorted((r.doc_id or 0, r.text[:7]) for r in kept.collect())
+    assert got == [(0, "word1x0"), (0, "word2x0"), (5, ""), (5, ""), (7, "word3x0"), (7, "word4x0")]
+    mixed = corpus_pipeline.mix_sources(spark, docs.union(docs), sf)
+    assert mixed.where("text = ''").count() == 0 and mixed.select("text").distinct().count() == 5 and mixed.agg(F.sum("taken")).first()[0] == 422

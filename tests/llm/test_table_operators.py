@@ -71,7 +71,7 @@ def test_jaccard_components_against_brute_force(spark, seed):
 
 @pytest.mark.parametrize(("sets", "bytes_", "least"), [(3, 0, 10**9), (40, 32 << 20, 2), (5, 32 << 20, 3)])
 def test_jaccard_with_small_blocks_and_few_or_many_frequent_shingles(spark, monkeypatch, sets, bytes_, least):
-    monkeypatch.setattr(jaccard, "BROADCAST_BYTES", bytes_)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", bytes_)
     monkeypatch.setattr(jaccard, "GROUP_SETS", sets)
     monkeypatch.setattr(jaccard, "frequent", partial(brute_frequent, least))
     rows = list(enumerate(copies(random.Random(7), 150)))

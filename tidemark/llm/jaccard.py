@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, hashed_texts, mapped, mixed, texts, written
+from tidemark.llm.common import LOWER, hashed_texts, mapped, mixed, sent, texts, written
 
 #: Words in a shingle. The threshold is 80 / 100 throughout: 5 * smaller >= 4 * larger, and 9 * common >= 4 * (sum of sizes).
 WIDTH = 5
@@ -38,8 +38,6 @@ FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 1 / 500, 3, 1_000_000
 BLOCK = 256
 #: Sets and shingles of a group that one block takes, about; a set of more is a block of its own.
 GROUP_SETS, GROUP_SHINGLES = 512, 1 << 20
-#: Bytes up to which a table goes to all executors; beyond, it is joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
 
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -87,13 +85,6 @@ def least_meetings(n: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(n / 10) - 1)
 
 
-def sent(df: DataFrame, name: str, width: Column | int = 48) -> DataFrame:
-    """df, written, and marked for broadcast if its rows, of width bytes each, are few enough."""
-    df = written(df, name)
-    size = df.agg(F.sum(width if isinstance(width, Column) else F.lit(width))).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many documents have, rarest first, and the centre of each one's list.
 
@@ -123,7 +114,7 @@ def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     seen[key] = None
                     parts.append(s)
                     held += len(s)
-                if held >= 4_000_000:
+                if held >= 2_000_000:
                     yield told()
                     seen, parts, held = {}, [], 0
         if parts:

@@ -12,13 +12,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
-from tidemark.llm.common import WORD, written
+from tidemark.llm.common import WORD, sent, written
 
 #: Documents that one fold takes.
 SLICE = 128
+#: Repeated rows that are told apart at a time.
+REPEATS = 1000
 
 
 def word_count(text: Column) -> Column:
@@ -29,15 +32,15 @@ def source_ranks(sizes: DataFrame) -> DataFrame:
     """sizes with rank: from 0 in code point order of source, null last.
 
     Sources are sorted over many partitions; a partition's first rank is the number of sources in those before it, so
-    what one task gathers is a row for each partition.
+    what one task gathers, in the window, is a row for each partition.
     """
     ordered = written(
         sizes.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last()).withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}),
         "sources",
     )
     before = ordered.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("first"))
-    before = before.alias("a").join(F.broadcast(before.select(F.col("part").alias("p"), F.col("n").alias("m"))), F.col("p") < F.col("part"), "left").groupBy("part", "first").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("offset"))
-    return ordered.join(F.broadcast(before), "part").withColumn("rank", F.col("row") - F.col("first") + F.col("offset")).drop("part", "row", "first", "offset")
+    before = before.withColumn("offset", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return ordered.join(F.broadcast(before), "part").withColumn("rank", F.col("row") - F.col("first") + F.col("offset")).drop("part", "row", "first", "offset", "n")
 
 
 def shares(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
@@ -98,23 +101,28 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
     """(id, source, size, source_size, target, copies, taken) for every row of docs; taken = copies * size.
 
     Size is the number of words; null and empty texts have 0, and take 0. Null is a source of its own, the last one.
-    Repeated rows are separate documents; which of two equal rows is taken is the same to every reader. An empty table
-    gives an empty result. Columns beside the three are ignored. Reruns agree: draws are hashes of seed, id and size.
+    Repeated rows are separate documents: rows of one id, source and size are counted first and told apart by a number, so
+    that any number of them is dealt out over the slices. An empty table gives an empty result. Columns beside the three
+    are ignored. Reruns agree: draws are hashes of seed, id, size and number.
     """
     rows = docs.select(docs[id_col].alias("doc"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"))
-    rows = written(rows, "sizes")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    rows = written(rows.groupBy("doc", "source", "size").agg(F.count("*").alias("rows")), "sizes")
+    sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("rows"))
     # shares() writes them: the sums are made once
     targets = written(shares(sizes, weights, cap), "targets")
     most = sizes.agg(F.max("rows")).first()[0] or 0
     # slices are dealt by a hash of the document, so a hot source is as many rows here as it has slices
     per = F.broadcast(targets) if targets.count() <= 100_000 else targets
-    known = rows.join(per, rows.source.eqNullSafe(targets.source)).select(rows.source, "doc", "size", "source_size", "target")
+    thousands = F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / REPEATS))
+    rows = rows.select("doc", "source", "size", "rows", F.explode(thousands).alias("part"))
+    numbers = F.sequence(F.col("part") * REPEATS, F.least(F.col("rows"), (F.col("part") + 1) * REPEATS) - 1)
+    rows = rows.select("doc", "source", "size", F.explode(numbers).alias("nth"))
+    known = rows.join(per, rows.source.eqNullSafe(targets.source)).select(rows.source, "doc", "size", "nth", "source_size", "target")
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
     known = known.withColumn("ratio", ratio).withColumn("copies", F.floor("ratio")).withColumn("mass", (F.col("ratio") - F.col("copies")) * F.col("size"))
     count = F.ceil(F.lit(most) / SLICE)
-    item = F.struct(F.col("size").cast("double").alias("size"), draw(seed, F.col("doc"), F.col("size")).alias("draw"), "doc", "copies", "mass")
-    items = known.select("source", F.pmod(F.xxhash64(F.lit(seed), "doc", "size"), count).alias("slice"), item.alias("item"))
+    item = F.struct(F.col("size").cast("double").alias("size"), draw(seed, F.col("doc"), F.col("size"), F.col("nth")).alias("draw"), "doc", "copies", "mass")
+    items = known.select("source", F.pmod(F.xxhash64(F.lit(seed), "doc", "size", "nth"), count).alias("slice"), item.alias("item"))
     levels, slices, level = [], max(1, -(-most // SLICE)), 0
     while True:
         now = written(folded(items, level, seed), f"level{level}")
@@ -128,3 +136,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
     levels.append(last.select("source", F.col("rest").withField("mass", F.when(F.col("all"), F.col("rest.size")).otherwise(0.0)).alias("item")))
     decided = reduce(DataFrame.unionByName, levels).select("source", F.col("item.doc").alias(id_col), F.col("item.size").cast("long").alias("size"), (F.col("item.copies") + F.when((F.col("item.size") > 0) & (F.col("item.mass") >= F.col("item.size")), 1).otherwise(0)).alias("copies"))
     return decided.join(per.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(id_col, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """Every row of docs with size, source_size, target, copies and taken, as mix() has them; columns of docs of these names give way.
+
+    Rows of one id, source and text have the same claim, whether ids are null or not: the copies that these take together are
+    dealt to them evenly, in the order of their other columns. Only sizes and ids are shuffled unless ids are too many to broadcast.
+    """
+    keyed = docs.select(F.struct(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("h")).alias("key"), docs[source_col].alias("source"), docs[text_col].alias("text"), F.struct("*").alias("row"))
+    found = mix(keyed, id_col="key", text_col="text", source_col="source", **options)
+    per = found.groupBy(F.col("key").alias("of"), F.col("source").alias("from")).agg(F.count("*").alias("rows"), F.sum("copies").alias("all"), *(F.any_value(c).alias(c) for c in ("size", "source_size", "target")))
+    same = F.col("key.id").eqNullSafe(F.col("of.id")) & (F.col("key.h") == F.col("of.h")) & F.col("source").eqNullSafe(F.col("from"))
+    rows = keyed.join(sent(per, "copies", 96), same)
+    repeated = Window.partitionBy("key", "source").orderBy(*(F.col("row").getField(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))))
+    copies = F.floor((F.col("all") + F.col("rows") - F.col("nth")) / F.col("rows"))
+    nth = rows.where("rows = 1").withColumn("nth", F.lit(1)).unionByName(rows.where("rows > 1").withColumn("nth", F.row_number().over(repeated)))
+    new = ["size", "source_size", "target", "copies", "taken"]
+    return nth.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in new), *new)

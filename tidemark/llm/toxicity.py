@@ -145,7 +145,7 @@ class Scorer:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def found(self, word: str) -> tuple[int, ...]:
-        if len(self.known) >= 500_000:
+        if len(self.known) >= 200_000:
             self.known.clear()
         self.known[word] = out = tuple(f for f in features({word}) if f in self.weights)
         return out
