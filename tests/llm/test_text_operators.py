@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import secrets
+from tidemark.llm import html_text, secrets
 from tidemark.llm.html_text import extract_text, main_text
 from tidemark.llm.secrets import guess_bits, masked, secret_scan, spans
 from tidemark.llm.tokens import MergeCounter, token_counts
@@ -112,7 +112,7 @@ def test_main_text_of_a_framed_page():
 
 def test_main_text_by_block_rules():
     good = "It was the best of times and it was the worst of times, for the age of wisdom was the age of foolishness."
-    page = f"<body><div><a href=x>One</a> <a href=y>Two</a> <a>Three of the</a></div><h1>Title</h1><p>{good}</p><p>Short.</p><p>{good}</p><div>Lone</div><div><a>Next</a></div></body>"
+    page = f"<body><div><a href=x>One</a> <a href=y>Two</a> <a href=z>Three of the</a></div><h1>Title</h1><p>{good}</p><p>Short.</p><p>{good}</p><div>Lone</div><div><a href=n>Next</a></div></body>"
     assert main_text(page) == f"Title\n{good}\nShort.\n{good}"
 
 
@@ -122,7 +122,7 @@ def test_block_rules_decide_on_pages_with_an_article():
     assert main_text(teaser) == f"Teaser.\n{good}\nShort.\n{good}"
     links = "".join(f"<li><a href=x>Linked page {i}</a> new</li>" for i in range(3))
     assert main_text(f"<main><p>{good}</p><ul>{links}</ul><p>{good}</p></main>") == f"{good}\n{good}"
-    assert main_text(f"<main><p>{good}</p><p><a>A claim.</a></p><p>{good}</p><p><a>One</a></p><p><a>Two</a></p><p>{good}</p><p><a>More</a></p></main>") == f"{good}\nA claim.\n{good}\n{good}"
+    assert main_text(f"<main><p>{good}</p><p><a href=x>A claim.</a></p><p>{good}</p><p><a href=x>One</a></p><p><a href=x>Two</a></p><p>{good}</p><p><a href=x>More</a></p></main>") == f"{good}\nA claim.\n{good}\n{good}"
     foreign = "Kuu paistaa metsän ylle ja järvi lepää hiljaa, kun yö laskeutuu kylän taloihin ja pihoille."
     assert main_text(f"<article><p>{foreign}</p></article><div>{foreign}</div>") == foreign
 
@@ -148,6 +148,93 @@ def test_left_out_elements_end_as_in_browsers(page, want):
     assert main_text(page) == want
 
 
+def test_links_names_and_quotes_that_mislead():
+    good = "It was the best of times and it was the worst of times, for the age of wisdom was the age of foolishness."
+    assert main_text(f"<article><p><a name=top>{good}<p>{good}</article>") == f"{good}\n{good}"
+    assert main_text(f'<article><p>See the whole story <a href="x">here<p>{good}</article>') == f"See the whole story here\n{good}"
+    assert main_text(f'<div class="layout-sidebar-right"><article><p>{good}</article></div>') == good
+    assert main_text(f'<div class="layout-sidebar-right"><p>{good}<p>{good}<p>{good}</div>') == "\n".join([good] * 3)
+    assert main_text(f'<div class="cookie-notice">{good}</div>') == "" and main_text(f'<div class="related"><article><p>{good}</article></div><p>{good}') == good
+    assert main_text(f'<article><div class="entry-header"><h1>Title</h1></div><p>{good}</article>') == f"Title\n{good}"
+    assert main_text(f"<article><p don't>{good}<p title='it>s' lang=it's>{good}</article>") == f"{good}\n{good}"
+
+
+def test_long_pages_take_time_in_proportion():
+    import time
+
+    for piece in ("<a x ", "<", "<a x='", '<a x="', "<!-- ", "<p a=", "</p ", "<b", "<div class='ad'><p>x", "<a href=x>y", "<li class=menu><ul>", "<script>", "<table><td>", "&amp", "<p =  "):
+        took = []
+        for n in (30_000, 240_000):
+            page = "<article>" + piece * (n // len(piece))
+            began = time.process_time()
+            main_text(page)
+            took.append(time.process_time() - began)
+        assert took[1] < 2 and took[1] < 0.1 + 24 * took[0], (piece, took)
+
+
+def brute_labels(found):
+    """The two passes with neighbours looked for block by block."""
+    n = len(found)
+    first = []
+    for i, (text, linked, inside, _, listed) in enumerate(found):
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        dense = sum(w in html_text.STOP for w in words) / max(1, len(words))
+        if text[:1] == "©" or text[:3] == "(c)" or (linked > 0.35 and not inside):
+            label = "bad"
+        elif linked > 0.35:
+            beside = [found[j] for j in (i - 1, i + 1) if 0 <= j < n]
+            label = "bad" if listed or any(b[2] and b[1] > 0.35 for b in beside) else "link"
+        elif len(text) < 70:
+            label = "open" if inside or linked == 0 else "bad"
+        elif dense >= 0.28 or (dense >= 0.15 and len(text) >= 200):
+            label = "good"
+        else:
+            label = "open" if inside or dense >= 0.075 else "bad"
+        first.append((label, dense))
+
+    def beside(i, step):
+        j = i + step
+        while 0 <= j < n and found[j][2] == found[i][2] and all(found[k][2] == found[i][2] for k in range(min(i, j), max(i, j) + 1)):
+            if first[j][0] in ("good", "bad"):
+                return first[j][0] == "good"
+            j += step
+        return None
+
+    out = []
+    for i, (_, _, inside, head, _) in enumerate(found):
+        label, dense = first[i]
+        above, below = beside(i, -1), beside(i, 1)
+        if label in ("good", "bad"):
+            out.append(label == "good")
+        elif label == "link":
+            out.append(above is True and below is True)
+        else:
+            above, below = (inside if x is None else x for x in (above, below))
+            out.append(below if head else above if above == below else inside or dense >= 0.28)
+    return out
+
+
+def test_block_rules_against_brute_force():
+    r = random.Random(8)
+    words = ["the", "and", "of", "to", "kuu", "paistaa", "metsän", "river", "stone", "is", "a"]
+    for _ in range(400):
+        found = [(r.choice(["", "", "", "© "]) + " ".join(r.choice(words) for _ in range(r.choice([1, 3, 12, 20, 60]))), r.choice([0.0, 0.0, 0.0, 0.2, 0.5, 1.0]), r.random() < 0.5, r.random() < 0.2, r.random() < 0.5) for _ in range(r.randrange(0, 14))]
+        if r.random() < 0.5:
+            found.sort(key=lambda b: b[2])
+        assert [bool(x) for x in html_text.judged(found)] == brute_labels(found)
+
+
+def test_query_gives_what_the_operator_gives_for_each_page(spark, sf):
+    from tidemark.llm.queries import op9_html_text
+
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = op9_html_text(spark, sf).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        found = html_text.blocks(pages[r.page_id].html)
+        assert r.text == "\n".join(b[0] for b, good in zip(found, brute_labels(found), strict=True) if good) and r.n_chars == len(r.text) > 0
+
+
 def test_odd_pages(spark):
     pages = [(1, "u", None, 1), (2, "u", "", 1), (2, "u", "", 1), (3, None, "<script>x", 1), (None, "u", "<p>the a <of and < b is that it was", 1), (4, "u", "<div " * 2000, 1), (5, "u", "<article>" + "<p>x" * 3000 + "<!-- ", 1), (6, "u", "<article><p title='a>b'>in</article>", 1)]
     got = {r.page_id: r for r in extract_text(spark.createDataFrame(pages, "page_id long, url string, html string, n_chars int")).collect()}

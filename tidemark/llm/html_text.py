@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.common import mapped
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>(?:"[^"]*"|'[^']*'|[^>"'])*))>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: What follows a tag's name up to its >, which counts within quotes only if these begin a value and end somewhere. It never goes back.
+ATTRIBUTES = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+""")
+HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[^\W\d_]+")
 #: Elements that begin and end a block.
@@ -40,6 +43,8 @@ STOP = frozenset(
 )
 #: First words of class names that tell of an element's surroundings, not of itself.
 ABOUT = frozenset(("has", "with", "without", "no", "is", "not", "hide", "show"))
+#: Words of HINTS that tell of an article's own parts where they stand inside of one.
+OWN = frozenset(("header", "masthead"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements whose begin ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
@@ -53,7 +58,7 @@ FORMATS = frozenset("a b big code em font i nobr s small strike strong tt u".spl
 MAX_LINK, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.35, 70, 200, 0.15, 0.28
 
 
-def is_hinted(attributes: str) -> bool:
+def is_hinted(attributes: str, hints: frozenset[str] = HINTS) -> bool:
     if "=" not in attributes:
         return False
     if re.search(r"\bhidden\b(?!\s*-)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", attributes) and not re.search(r"(?:class|id)\s*=\s*[\"'][^\"']*hidden", attributes):
@@ -61,7 +66,7 @@ def is_hinted(attributes: str) -> bool:
     for m in re.finditer(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", attributes, re.I):
         for name in (m[1] or m[2] or m[3] or "").split():
             parts = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
-            if parts[0] not in ABOUT and not HINTS.isdisjoint(parts):
+            if parts[0] not in ABOUT and not hints.isdisjoint(parts):
                 return True
     return False
 
@@ -148,11 +153,13 @@ class Block:
         self.link_chars, self.in_article, self.heading, self.listed = 0, in_article, heading, listed
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
-    """(text, share of characters in links, in an article, heading, not a paragraph) of each block outside of elements that hold no main text."""
+def blocks(page: str, hinted: bool = True) -> list[tuple[str, float, bool, bool, bool]]:
+    """(text, share of characters in links, in an article, heading, not a paragraph) of each block outside of elements that hold no
+    main text; with hinted, also of those that only their class, id or role says so of. One pass; a tag that never ends ends the page.
+    """
     out: list[tuple[str, float, bool, bool, bool]] = []
     now: Block | None = None
-    at, links, article, heading, listed = 0, 0, False, False, True
+    at, link, article, heading, listed = 0, -1, False, False, True  # link: the place of the last link
     tree, skipped = Open(), -1  # the place of the element that is being left out
     size = len(page)
 
@@ -172,7 +179,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
                     return
                 now = Block(article, heading, listed)
             now.parts.append(piece)
-            if links > 0:
+            if 0 <= link < len(tree.names) and tree.names[link] == "a":
                 now.link_chars += len(piece)
 
     while at < size:
@@ -181,16 +188,20 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             add(page[at:])
             break
         add(page[at:lt])
-        m = TAG.match(page, lt)
+        if page.startswith(("<!", "<?"), lt):
+            comment = page.startswith("<!--", lt)
+            end = page.find("-->" if comment else ">", lt + 4 * comment)
+            at = size if end < 0 else end + (3 if comment else 1)
+            continue
+        m = NAME.match(page, lt)
         if not m:
             add("<")
             at = lt + 1
             continue
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            continue
-        ends, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
+        close_at = ATTRIBUTES.match(page, m.end()).end()
+        if close_at == size:
+            break
+        name, ends, attributes, at = m[1].lower(), page[lt + 1] == "/", page[m.end() : close_at], close_at + 1
         if name in RAW and not ends:
             if attributes.endswith("/") and name in ("svg", "math"):
                 continue
@@ -200,6 +211,8 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
         if ends:
             tree.end(name)
         else:
+            if name == "a":
+                tree.end("a")  # no link is inside of another
             tree.begin(name)
         if skipped >= 0:
             if tree.holds(skipped):
@@ -209,15 +222,15 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             close()
             article = tree.last("article", "main") >= 0
             heading, listed = name in HEADINGS and not ends, name != "p" or ends
-        if name == "a":
-            links = max(0, links + (-1 if ends else 1))
+        if name == "a" and not ends:
+            link = len(tree.names) - 1 if HREF.search(attributes) else -1
         elif name == "br":
             add(" ")
         elif name in ("article", "main"):
-            links = 0
-        elif ends or name in VOID:
-            pass
-        elif name in ASIDE or (name == "header" and not article) or (name not in ("html", "head", "body", "article", "main") and is_hinted(attributes)):
+            link = -1
+        if ends or name in VOID or name in ("html", "head", "body", "article", "main"):
+            continue
+        if name in ASIDE or (name == "header" and not article) or (hinted and is_hinted(attributes, HINTS - OWN if article else HINTS)):
             tree.least = len(tree.names)
             skipped = tree.least - 1
     close()
@@ -238,8 +251,8 @@ def nearest(decided: list[bool | None], inside: list[bool], reverse: bool = Fals
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The main text of a page: its good blocks, joined by one line feed.
+def judged(found: list[tuple[str, float, bool, bool, bool]]) -> list[bool | None]:
+    """Whether each block is good.
 
     Pass 1 decides blocks: many link characters or a copyright sign make one bad; long ones with enough stop words are
     good, with few bad; the rest is undecided. In an article or main element few stop words leave a block undecided (it may
@@ -249,7 +262,6 @@ def main_text(page: str | None) -> str:
     bad ones outside. If they differ, a heading takes that of the one below, blocks in an article are good, and others
     are bad unless stop words say good. A paragraph that is a link is good only between blocks decided as good.
     """
-    found = blocks(page or "")
     labels: list[bool | None] = []
     linked_text: set[int] = set()
     density: list[float] = []
@@ -285,7 +297,23 @@ def main_text(page: str | None) -> str:
             labels[i] = above
         else:
             labels[i] = inside or density[i] >= STOP_HIGH
-    return "\n".join(b[0] for b, good in zip(found, labels, strict=True) if good)
+    return labels
+
+
+def main_text(page: str | None) -> str:
+    """The main text of a page: its good blocks, joined by one line feed.
+
+    Where that is nothing, elements that only their names say hold no main text are looked into: if an article or several
+    good blocks are in there, the names tell of a layout (as has a sidebar), and these blocks are the text.
+    """
+    found = blocks(page or "")
+    good = [b for b, is_good in zip(found, judged(found), strict=True) if is_good]
+    if not good and page:
+        found = blocks(page, hinted=False)
+        good = [b for b, is_good in zip(found, judged(found), strict=True) if is_good]
+        if len(good) < 3 and not any(inside for _, _, inside, _, _ in good):
+            good = []
+    return "\n".join(b[0] for b in good)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
