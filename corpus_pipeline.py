@@ -11,6 +11,7 @@ from tidemark.llm.common import sent, table, written
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.jaccard import jaccard_join
 from tidemark.llm.mixing import mixed_rows
+from tidemark.llm.queries import vocabulary
 from tidemark.llm.secrets import secret_scan
 
 
@@ -47,7 +48,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked in their texts and n_chars counted again."""
-    masked = secret_scan(whole_rows(docs), id_col="row").select("row", "masked_text")
+    masked = secret_scan(whole_rows(docs), id_col="row", vocabulary=vocabulary()).select("row", "masked_text")
     of = {c: F.col("row").getField(c) for c in docs.columns}
     if "n_chars" in of:
         of["n_chars"] = F.when(of["text"].eqNullSafe(F.col("masked_text")), of["n_chars"]).otherwise(F.length("masked_text").cast(docs.schema["n_chars"].dataType))

@@ -43,7 +43,7 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    return secret_scan(table(spark, sf_dir, "documents"), vocabulary=vocabulary()).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
-from bisect import bisect_right
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +34,6 @@ hidden removed redacted dragon monkey football baseball sunshine princess shadow
 pass word code pin api auth name email server data base system service public private client account with from for and in
 de la le der die das el los que und et env config process foo bar baz xxx abc qwerty iloveyou summer winter spring autumn
 monday january michael charlie jordan hunter ranger soccer killer pepper ginger cookie""".split()
-RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-LONGEST = max(map(len, COMMON))
 #: Rows of common keyboards, and the sequences people count along.
 WALKS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "yxcvbnm", "azertyuiop", "qsdfghjklm", "1234567890", "!@#$%^&*()", "abcdefghijklmnopqrstuvwxyz", "0123456789", "1qaz2wsx3edc4rfv5tgb6yhn7ujm8ik")
 STEP = {(a, b) for w in WALKS for a, b in zip(w, w[1:], strict=False)}
@@ -42,62 +41,109 @@ STEP |= {(b, a) for a, b in STEP}
 #: Letters that digits and signs are written for.
 LEET = str.maketrans("013457@$!", "oleastasi")
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
+DATE_BITS = {4: math.log2(100), 8: math.log2(36_500), 10: math.log2(36_500)}
 CLASSES = ((re.compile(r"[0-9]"), 10), (re.compile(r"[a-z]"), 26), (re.compile(r"[A-Z]"), 26), (re.compile(r"[^0-9A-Za-z]"), 33))
 
 
-def guess_bits(value: str) -> float:
-    """Base-2 logarithm of the guesses that value needs, over its cheapest cut into words, dates, repeats, walks and brute-force spans.
+#: Periods of repeats that are looked for, and the fewest characters of a walk.
+PERIODS, LEAST_WALK = range(1, 9), 3
+START_BITS = math.log2(len(WALKS) * 10)
 
-    best[i] is the least cost of the first i characters; each segment costs its own guesses and one bit for the cut.
-    The work grows as the length times the longest segment of a kind; runs of repeats and walks are extended, not retried.
+
+class Words(dict):
+    """Word to rank, from 1: the frequent ones above, then those of a list by its order, in lower case."""
+
+    def __init__(self, more: Iterable[str] = ()):
+        super().__init__()
+        for w in (*COMMON, *more):
+            self.setdefault(w.lower(), len(self) + 1)
+        self.longest = max(map(len, self))
+
+
+def vocabulary_words(path: str) -> list[str]:
+    """The words of three letters or more that a byte-pair vocabulary has whole, in its order, which is about that of their frequency."""
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    return [t[1:] for t in sorted(vocab, key=vocab.get) if re.fullmatch("Ġ[A-Za-z]{3,}", t)]
+
+
+FEW = Words()
+
+
+class Starts:
+    """Where open runs may have begun, by place, without those that a later and cheaper place makes useless."""
+
+    def __init__(self) -> None:
+        self.at: list[int] = []
+        self.cost: list[float] = []
+
+    def add(self, at: int, cost: float) -> None:
+        while self.cost and self.cost[-1] >= cost:
+            self.at.pop()
+            self.cost.pop()
+        self.at.append(at)
+        self.cost.append(cost)
+
+    def least(self, first: int, end: int, period: int) -> float:
+        """The least cost of a start from first on, and the bits of the number of periods from there to end."""
+        k = bisect_left(self.at, first)
+        return min((c + (-(-(end - i) // period) - 1).bit_length() for i, c in zip(self.at[k:], self.cost[k:], strict=True)), default=math.inf)
+
+
+def guess_bits(value: str, words: Words = FEW, enough: float = math.inf) -> float:
+    """Base-2 logarithm of the guesses that value needs: the least over all its cuts into words, dates, repeats, walks and brute-force spans.
+
+    best[j] is the least cost of the first j characters. Brute force costs as many bits for each character as its classes
+    ask for. Other segments cost one bit for the cut and: a word its rank, capitals and signs for letters; a date that of its
+    kind; a walk its start and length; a repeat its first period and number. Walks and repeats may begin at any place of
+    a run, so a run keeps its possible starts. At enough bits whatever follows, the search ends early.
     """
     n = len(value)
-    if not n:
-        return 0.0
-    each = math.log2(16 if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) and not value.isdigit() else sum(k for c, k in CLASSES if c.search(value)))
-    low = value.lower()
+    each = math.log2(16 if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) and not value.isdigit() else max(2, sum(k for c, k in CLASSES if c.search(value))))
+    low = "".join(c if len(c.lower()) > 1 else c.lower() for c in value)
     plain = low.translate(LEET)
-    dates: dict[int, list[tuple[int, float]]] = {}
-    for i in range(n):
-        if m := DATE.match(value, i):
-            dates.setdefault(i, []).append((m.end(), math.log2(100 if m.end() - i == 4 else 36_500)))
-    best = [0.0] + [math.inf] * n
-    for i in range(n):
-        base = best[i] + 1.0
-        best[i + 1] = min(best[i + 1], best[i] + each)  # brute force joins on: one character more
-        for size in range(2, min(LONGEST, n - i) + 1):
-            piece = low[i : i + size]
-            for word, extra in ((piece, 0.0), (plain[i : i + size], 2.0)):
-                if word in RANK:
-                    upper = sum(c.isupper() for c in value[i : i + size])
-                    cost = math.log2(RANK[word] + 1) + extra + (0 if not upper else 1 if upper in (1, size) else size)
-                    best[i + size] = min(best[i + size], base + cost)
-        for end, cost in dates.get(i, ()):
-            best[end] = min(best[end], base + cost)
-        if i == 0 or (low[i - 1], low[i]) not in STEP:  # walks start here
-            j = i + 1
-            while j < n and (low[j - 1], low[j]) in STEP:
-                j += 1
-                if j - i >= 3:
-                    best[j] = min(best[j], base + math.log2(len(WALKS) * 10 * (j - i)))
-        for period in range(1, min(8, (n - i) // 2) + 1):
-            if i >= period and value[i - period : i] == value[i : i + period]:
-                continue  # inside a run that began earlier
-            j = i + period
-            while value[j : j + period] == value[i : i + period]:
-                j += period
-                best[j] = min(best[j], base + period * each + math.log2((j - i) // period))
+    best = [0.0]
+    walk_from, walks = 0, Starts()
+    same = dict.fromkeys(PERIODS, 0)  # how many characters before here equal those one period before them
+    repeats = {p: [Starts() for _ in range(p)] for p in PERIODS}
+    for j in range(1, n + 1):
+        cost = best[j - 1] + each
+        for size in range(2, min(words.longest, j) + 1):
+            i = j - size
+            for piece, extra in ((low[i:j], 0.0), (plain[i:j], 2.0)):
+                if (rank := words.get(piece)) and best[i] + 1 + extra < cost:
+                    upper = sum(c.isupper() for c in value[i:j])
+                    cost = min(cost, best[i] + 1 + math.log2(rank + 1) + extra + (0 if not upper else 1 if upper in (1, size) else size))
+        for size, bits in DATE_BITS.items():
+            if j >= size and value[j - 1].isdigit() and DATE.fullmatch(value, j - size, j):
+                cost = min(cost, best[j - size] + 1 + bits)
+        if j > 1 and (low[j - 2], low[j - 1]) not in STEP:
+            walk_from, walks = j - 1, Starts()
+        if j - walk_from >= LEAST_WALK:
+            walks.add(j - LEAST_WALK, best[j - LEAST_WALK])
+            cost = min(cost, walks.least(walk_from, j, 1) + 1 + START_BITS)
+        first = walk_from
+        for p in PERIODS:
+            same[p] = same[p] + 1 if j > p and value[j - 1] == value[j - 1 - p] else 0
+            if same[p] >= p:
+                starts = repeats[p][j % p]
+                starts.add(j - 2 * p, best[j - 2 * p])
+                cost = min(cost, starts.least(j - p - same[p], j, p) + 1 + p * each)
+            first = min(first, j - p - same[p])
+        best.append(cost)
+        if not j % 64 and j - first < 64 and min(best[min(first, max(0, j - max(16, words.longest))) :]) >= enough:
+            return enough
     return best[n]
 
 
-def spans(text: str) -> list[tuple[int, int, int]]:
+def spans(text: str, words: Words = FEW) -> list[tuple[int, int, int]]:
     """(start, end, kind) of every secret: base matches, and values in credential contexts that cost enough guesses unless base matches cover all of them."""
     found = []
     if "=" in text or ":" in text:
         low = text.lower()
         if any(w in low for w in CONTEXT_WORDS) or "passwd" in low:
             found += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 8]
-            more = [m for m in CONTEXT.finditer(text) if guess_bits(m[1]) >= (LETTER_BITS if m[1].isalpha() else GUESS_BITS)]
+            more = [m for m in CONTEXT.finditer(text) if guess_bits(m[1], words, least := LETTER_BITS if m[1].isalpha() else GUESS_BITS) >= least]
         else:
             more = []
     else:
@@ -134,19 +180,23 @@ def masked(text: str, found: list[tuple[int, int, int]], by: str = "[SECRET]") -
     return "".join([*out, text[at:]])
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """One row for each of docs: id, n_assign, n_access, n_hex, n_guess, base_sha256, spans, masked_text. Whole texts, no shuffle.
 
     A span is a whole match, in code points, end exclusive; spans are ordered by start, then kind as in KINDS.
     Null and empty texts have no spans; masked_text is null where the text is. Null ids and repeated rows are kept.
-    Columns of docs beside the two are ignored, whatever their names. Unselected outputs cost nothing to the caller.
+    Columns of docs beside the two are ignored, whatever their names. vocabulary: path of a byte-pair vocabulary, read by
+    the driver, whose words rank behind the frequent ones; a list of words is as large as that file, whatever docs are.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(Words(vocabulary_words(vocabulary)) if vocabulary else FEW)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
         for batch in batches:
             n: list[list[int]] = [[], [], [], []]
             sums, said, clean = [], [], []
             for text, valid in zip(texts(batch, "text"), batch.column(1).is_valid().to_pylist(), strict=True):
-                found = spans(text)
+                found = spans(text, words)
                 for k in range(4):
                     n[k].append(sum(x[2] == k for x in found))
                 sums.append(hashlib.sha256(told([x for x in found if x[2] < 3]).encode()).hexdigest())

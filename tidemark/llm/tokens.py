@@ -17,7 +17,7 @@ from tidemark.llm.common import mapped, texts, with_id
 #: Fixed value: the split into pre-tokens that byte-level vocabularies of this family use.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens whose counts a worker keeps; the table is emptied when full.
-KEPT = 1_000_000
+KEPT = 300_000
 
 
 def byte_letters() -> list[str]:
