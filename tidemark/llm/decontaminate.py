@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hash_words, hashed_texts, mapped, texts, with_id, written
+from tidemark.llm.common import hash_words, hashed_texts, mapped, mixed, texts, with_id, written
 
 #: Words in a window; an item with fewer is one window.
 WINDOW = 13
@@ -21,7 +21,7 @@ SAMPLE = 16
 #: Words of documents that share an index; a longer document has one of its own.
 SHARD_WORDS = 1_000_000
 #: Bytes of benchmark texts that are searched for in one pass over the documents.
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 16_000_000
 #: Occurrences that are located at a time.
 CHUNK = 1 << 20
 
@@ -118,12 +118,14 @@ class FMIndex:
         kept = order % SAMPLE == 0
         self.marked, self.samples = Bits(kept.astype(np.uint8)), order[kept]
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(pattern, first row, end row) of those of equally long patterns that occur, by backward search for all at once."""
-        which = np.flatnonzero((patterns < len(self.first) - 1).all(axis=1))
+    def search(self, flat: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pattern, first row, end row) of those patterns, each flat[start : start + size], that occur, by backward search for all at once."""
+        which = np.arange(len(starts))
+        for column in range(size):
+            which = which[flat[starts[which] + column] < len(self.first) - 1]
         low, high = np.zeros(len(which), np.int64), np.full(len(which), self.n, np.int64)
-        for column in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[which, column]
+        for column in range(size - 1, -1, -1):
+            c = flat[starts[which] + column].astype(np.int64)
             low, high = (self.first[c] + r for r in self.tree.rank(c, low, high))
             alive = low < high
             which, low, high = which[alive], low[alive], high[alive]
@@ -144,35 +146,37 @@ class FMIndex:
 
 
 class Windows:
-    """The windows of benchmark items as numbers, by length, with the items of each."""
+    """The windows of benchmark items, by length: all words in one array, and where each distinct window starts in it, with its items.
+
+    Arrays of about 30 bytes for each word; windows are told apart by 64-bit hashes, as words are.
+    """
 
     def __init__(self, items: list[tuple[str | None, str]]):
-        ids: dict[int, int] = {}
-        self.names: list[str | None] = []
-        found: dict[tuple[int, ...], set[int]] = {}
-        for name, text in items:
-            words = hash_words(text.encode().translate(TO_WORDS))[1].tolist()
-            if not words:
-                continue
-            self.names.append(name)
-            numbers = [ids.setdefault(w, len(ids) + 2) for w in words]
-            size = min(WINDOW, len(numbers))
-            for i in range(len(numbers) - size + 1):
-                found.setdefault(tuple(numbers[i : i + size]), set()).add(len(self.names) - 1)
-        self.words = np.array(sorted(ids), np.uint64)
-        self.numbers = np.array([ids[w] for w in sorted(ids)], np.int64)
-        self.shortest = min(map(len, found), default=0)
+        known = [(name, hashes) for name, text in items if len(hashes := hash_words(text.encode().translate(TO_WORDS))[1])]
+        self.names = [name for name, _ in known]
+        self.words = np.unique(np.concatenate([h for _, h in known])) if known else np.zeros(0, np.uint64)
+        sizes = np.array([min(WINDOW, len(h)) for _, h in known], np.int64)
+        self.shortest = int(sizes.min()) if known else 0
         self.by_length = []
-        for size in sorted({len(k) for k in found}):
-            keys = [k for k in found if len(k) == size]
-            self.by_length.append((size, np.array(keys, np.int64), [sorted(found[k]) for k in keys]))
+        for size in np.unique(sizes).tolist():
+            mine = np.flatnonzero(sizes == size)
+            length = np.array([len(known[i][1]) for i in mine.tolist()])
+            flat = np.concatenate([self.numbered(known[i][1]) for i in mine.tolist()]).astype(np.int32)
+            count = length - size + 1
+            starts = np.arange(count.sum()) + np.repeat(np.cumsum(length) - length - np.cumsum(count) + count, count)
+            key = np.zeros(len(starts), np.uint64)
+            for column in range(size):
+                key = mixed(key + flat[starts + column].astype(np.uint64) + np.uint64(column + 1))
+            _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            pairs = np.unique(inverse * len(mine) + np.repeat(np.arange(len(mine)), count))
+            self.by_length.append((size, flat, starts[first], np.searchsorted(pairs, np.arange(len(first) + 1) * len(mine)), mine[pairs % len(mine)]))
 
     def numbered(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of words, from 2; 0 for words that no window has."""
         if not len(self.words):
             return np.zeros(len(hashes), np.int64)
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, self.numbers[at], 0)
+        return np.where(self.words[at] == hashes, at + 2, 0)
 
 
 def shard_hits(texts_: list[str], windows: Windows) -> list[tuple[int, np.ndarray, set[int]]]:
@@ -203,8 +207,8 @@ def shard_hits(texts_: list[str], windows: Windows) -> list[tuple[int, np.ndarra
         symbols = shard[np.minimum(place, len(shard) - 1)]
         symbols[np.cumsum(lengths) - 1] = 1
         index = FMIndex(symbols)
-        for size, patterns, of in windows.by_length:
-            which, low, high = index.search(patterns)
+        for size, flat, patterns, begins_of, of in windows.by_length:
+            which, low, high = index.search(flat, patterns, size)
             counts = high - low
             total = np.cumsum(counts)
             begin = 0
@@ -218,7 +222,7 @@ def shard_hits(texts_: list[str], windows: Windows) -> list[tuple[int, np.ndarra
                 doc = np.searchsorted(starts, at, side="right") - 1
                 pairs = np.unique(doc * len(patterns) + np.repeat(which[begin:end], n))
                 for d, w in zip((pairs // len(patterns)).tolist(), (pairs % len(patterns)).tolist(), strict=True):
-                    items[d].update(of[w])
+                    items[d].update(of[begins_of[w] : begins_of[w + 1]].tolist())
                 begin = end
     covered = np.r_[0, (np.cumsum(hit[:-1]) > 0).astype(np.int8), 0]
     edges = np.diff(covered)
