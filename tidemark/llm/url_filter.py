@@ -1,9 +1,10 @@
 """URL filters: a sort-merge range join of urls with nested host and path rules, in DataFrame functions only.
 
 A rule holds for its host, all subdomains, and every path that starts with its own. With hosts reversed label by label
-(org.example. for example.org) and a rule's path behind, a rule is the interval of the keys that start with its key. A
-url has one key under each suffix of its host. Within a host suffix, rules and urls are sorted by path and swept once:
-the sweep carries the rules that are open, innermost last, and each url reads the innermost that still holds it.
+(org.example. for example.org) and a rule's path behind, a rule is the interval of the keys that start with its key: it
+opens at its key and closes behind the last one that starts so. A url has one key under each suffix of its host that is a
+rule's. Openings, closings and urls are sorted and swept once. Intervals are nested or apart, so the number of open ones is
+the height of the stack, a running sum, and its top is the last rule that was opened at this height.
 """
 
 from __future__ import annotations
@@ -35,39 +36,37 @@ def suffix_keys(host: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(keys)
 
 
-def nested(rules: DataFrame) -> DataFrame:
-    """Each distinct (key, path) with its stack: itself and the rules of the same key whose path begins its path, outermost first.
-
-    Enclosing rules are found by equality with the path's own prefixes, so the work is rules times path length.
-    Of several rules for one host and path, block wins over allow.
-    """
-    own = (
+def distinct_rules(rules: DataFrame) -> DataFrame:
+    """(key, path, rule, verdict) of each distinct host and path. Of several rules for one, block wins over allow."""
+    return (
         rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL AND host <> ''")
-        .select(F.element_at(suffix_keys(F.lower("host")), -1).alias("key"), F.lower("host").alias("rule_host"), "path", "verdict")
-        .groupBy("key", "rule_host", "path")
+        .groupBy(F.lower("host").alias("rule_host"), "path")
         .agg(F.max("verdict").alias("verdict"))
+        .select(F.element_at(suffix_keys(F.col("rule_host")), -1).alias("key"), "path", F.concat("rule_host", "path").alias("rule"), "verdict")
     )
-    prefixes = own.select("key", "path", F.explode(F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))).alias("outer_path"))
-    outer = own.select("key", F.col("path").alias("outer_path"), F.struct(F.length("path").alias("size"), F.col("path").alias("path"), F.concat("rule_host", "path").alias("rule"), "verdict").alias("entry"))
-    return prefixes.join(outer, ["key", "outer_path"]).groupBy("key", "path").agg(F.sort_array(F.collect_list("entry")).alias("stack"))
 
 
 def judged(keys: DataFrame, rules: DataFrame) -> DataFrame:
     """keys with rule and verdict; keys: distinct (host, path). Both new columns are null where no rule holds."""
-    stacks = written(nested(rules), "rules")
+    rules = written(distinct_rules(rules), "rules")
     urls = keys.select("host", "path", F.explode(suffix_keys(F.col("host"))).alias("key"))
     # only suffixes that are a rule's host go on; each host's urls are dealt out in slices that all get its rules, few against the urls
-    per_host = stacks.groupBy("key").agg(F.count("*").alias("rules"))
+    per_host = rules.groupBy("key").agg(F.count("*").alias("rules"))
     counted = urls.groupBy("key").agg(F.count("*").alias("urls")).join(per_host, "key")
     slices = written(counted.select("key", F.ceil(F.col("urls") / F.greatest(F.lit(SLICE), 4 * F.col("rules"))).alias("slices")), "slices")
-    points = urls.join(slices, "key").select("key", F.pmod(F.xxhash64("host", "path"), F.col("slices")).alias("slice"), "path", F.lit(1).alias("point"), "host", F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack"))
-    starts = stacks.join(slices, "key").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "path", F.lit(0).alias("point"), F.lit(None).cast("string").alias("host"), "stack")
-    swept = Window.partitionBy("key", "slice").orderBy("path", "point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opened = points.unionByName(starts).withColumn("open", F.last("stack", ignorenulls=True).over(swept)).where("point = 1 AND open IS NOT NULL")
-    top = F.try_element_at(F.filter("open", lambda r: F.startswith(F.col("path"), r.path)), F.lit(-1))
-    held = opened.select("host", "path", top.alias("top")).where("top IS NOT NULL")
-    best = F.max(F.struct(F.length("top.rule").alias("size"), F.col("top.verdict").alias("verdict"), F.col("top.rule").alias("rule")))
-    return held.groupBy("host", "path").agg(best.alias("best")).select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
+    # places are bytes: no text has the byte FF, so an interval closes behind all that start as it does, and before what follows them
+    place, none = F.col("path").cast("binary"), F.lit(None).cast("string")
+    points = urls.join(slices, "key").select("key", F.pmod(F.xxhash64("host", "path"), F.col("slices")).alias("slice"), place.alias("place"), F.lit(1).alias("turn"), "host", "path", none.alias("rule"), none.alias("verdict"))
+    dealt = rules.join(slices, "key").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "path", "rule", "verdict")
+    opens = dealt.select("key", "slice", place.alias("place"), F.lit(0).alias("turn"), none.alias("host"), none.alias("path"), "rule", "verdict")
+    closes = dealt.select("key", "slice", F.concat(place, F.lit(b"\xff")).alias("place"), F.lit(-1).alias("turn"), none.alias("host"), none.alias("path"), none.alias("rule"), none.alias("verdict"))
+    change = F.when(F.col("turn") == 0, 1).when(F.col("turn") == -1, -1).otherwise(0)
+    swept = Window.partitionBy("key", "slice").orderBy("place", "turn")
+    height = F.sum(change).over(swept.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    stack = Window.partitionBy("key", "slice", "height").orderBy("place", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    top = F.last(F.when(F.col("turn") == 0, F.struct(F.length("rule").alias("size"), "verdict", "rule")), ignorenulls=True).over(stack)
+    held = points.unionByName(opens).unionByName(closes).withColumn("height", height).where("height > 0").withColumn("top", top).where("turn = 1")
+    return held.groupBy("host", "path").agg(F.max("top").alias("best")).select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
