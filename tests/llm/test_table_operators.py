@@ -228,7 +228,7 @@ def test_fm_index_counts_and_locates_every_pattern():
         for length in (1, 2, 5):
             patterns = np.unique(np.stack([text[i : i + length] for i in range(size - length + 1)] + [r.integers(1, letters + 3, length)]), axis=0) if size >= length else np.ones((1, length), int)
             at = {i: [] for i in range(len(patterns))}
-            for which, low, high in zip(*index.search(patterns), strict=True):
+            for which, low, high in zip(*index.search(patterns.ravel(), np.arange(len(patterns)) * length, length), strict=True):
                 at[which] = sorted(index.locate(np.arange(low, high)).tolist())
             for i, p in enumerate(patterns):
                 assert at[i] == [k for k in range(size - length + 1) if (text[k : k + length] == p).all()]
@@ -390,3 +390,42 @@ def test_hashes_of_long_texts_and_words(monkeypatch):
         assert known.setdefault(w, h) == h
     assert len(set(known.values())) == len(known)
     common._powers.cache_clear()
+
+
+def test_windows_take_memory_in_proportion():
+    """Arrays of about 30 bytes a word, and while they are built a few times that."""
+    import pickle
+    import tracemalloc
+
+    r = random.Random(1)
+    items = [(i, " ".join(f"w{r.randrange(50_000)}" for _ in range(400))) for i in range(500)]
+    tracemalloc.start()
+    windows = decontaminate.Windows(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * 200_000 and len(pickle.dumps(windows)) < 40 * 200_000
+
+
+def test_top_k_of_clustered_rows_replicates_little(spark, monkeypatch):
+    """Rows of far clusters go to the groups of their own cluster only, and queries only to slices that exist."""
+    monkeypatch.setattr(knn, "GROUP", 8)
+    monkeypatch.setattr(knn, "SLICE", 50)
+    tables = {}
+    monkeypatch.setattr(knn, "written", lambda df, name: tables.setdefault(name, common.written(df, name)))
+    r = np.random.default_rng(4)
+    centres = r.normal(0, 8, (12, 8))
+    rows = [(i, (centres[i % 12] + r.normal(0, 0.2, 8)).tolist()) for i in range(1200)]
+    found = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 7 == 0, k=5, pivots=100)
+    v = {i: np.floor(np.array(e) * 64).astype(np.int64) for i, e in rows}
+    want = [(q, k + 1, i, s) for q in range(0, 1200, 7) for k, (s, i) in enumerate(sorted(((int(v[q] @ v[i]), i) for i in v if i != q), key=lambda x: (-x[0], x[1]))[:5])]
+    assert sorted(tuple(x) for x in found.collect()) == want
+    groups = tables["slices"].count()
+    assert groups >= 12 and tables["data"].count() < 0.5 * groups * 1200
+
+
+def test_top_k_with_a_hot_vector(spark, monkeypatch):
+    """A third of all rows are one row: it is dealt out over slices, and answers count each."""
+    monkeypatch.setattr(knn, "SLICE", 20)
+    rows = [(i, [float(i % 5), 1.0]) for i in range(80)] + [(3, [9.0, 9.0])] * 40
+    found = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=3)
+    assert {(x.query_id, x.rank, x.vec_id) for x in found.collect()} == {(q, k, 3) for q in (0, 20, 40, 60) for k in (1, 2, 3)}

@@ -10,6 +10,7 @@ Rows go only to the groups of cells that need them, in slices, are solved there,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import mapped, written
 from tidemark.shipping import ship
 
-#: Pivots: their number bounds what the driver holds, whatever the size of the data.
-PIVOTS = 128
+#: Pivots: as many as half the root of the rows, and at least and at most so many, which bounds what the driver holds.
+PIVOTS = 128, 4096
 #: Queries that are solved together, and data rows that are held against them at a time.
 GROUP, SLICE = 2048, 8192
 
@@ -92,7 +93,7 @@ def answers(ids: np.ndarray, queries: np.ndarray, data_ids: np.ndarray, data: np
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products with all other rows, ties to the smaller id.
 
     Components are floor(64 * x). Vectors that are null or hold null or non-finite components, and rows without an id, take
@@ -102,6 +103,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), is_query.alias("asks"), quantized(vectors[vector_col]).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     rows = written(rows, "vectors")
     total, d = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    pivots = pivots or min(max(PIVOTS[0], math.isqrt(total) // 2), PIVOTS[1])
     names = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(pivots)
     picked = rows.join(F.broadcast(names), "id").groupBy("id").agg(F.max("v").alias("v")).toArrow()
     d = max(1, d)
@@ -137,7 +139,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     radius = np.array([r.radius for r in known], np.float64)
     least = np.array([float(r.least) for r in known], np.float64)
     groups_of = [list(range(first[r.cell], first[r.cell] + parts[r.cell])) for r in known]
-    slices = max(1, -(-total // SLICE))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,9 +177,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], ["group", "id", "v"])
 
-    data = mapped(rows.select("id", "v"), needed, "group int, id long, v array<long>").withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
+    data = written(mapped(rows.select("id", "v"), needed, "group int, id long, v array<long>"), "data")
+    # a row for each group of queries, which have GROUP queries each and so are few against the rows
+    dealt = written(data.groupBy("group").agg(F.ceil(F.count("*") / SLICE).alias("slices")), "slices")
+    data = data.withColumn("row", F.monotonically_increasing_id()).join(dealt, "group")  # any slice will do, so that equal rows part
+    data = data.select("group", F.pmod(F.xxhash64("row"), F.col("slices")).alias("slice"), "id", "v")
     starts = spark.createDataFrame(pd.DataFrame({"cell": pd.Series(list(first), dtype="int32"), "first": pd.Series(list(first.values()), dtype="int32"), "parts": pd.Series([parts[c] for c in first], dtype="int32")}), "cell int, first int, parts int")
-    asked = queries.join(F.broadcast(starts), "cell").select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("group"), "id", "v", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    asked = queries.join(F.broadcast(starts), "cell").select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("group"), "id", "v")
+    asked = asked.join(dealt, "group").select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "id", "v")
 
     def solved(left: pa.Table, right: pa.Table) -> pa.Table:
         q, i, s = answers(left["id"].to_numpy(), matrix(left["v"], d), right["id"].to_numpy(), matrix(right["v"], d), k)
