@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.type_names import SQLITE_TYPES, TYPE_NAMES
+from tidemark.functions.type_names import SQLITE_NAMES, SQLITE_OWN, TYPE_NAMES
 
 
 def to_date(ts: Column) -> Column:
@@ -72,23 +72,23 @@ def normal_type(name: Column) -> Column:
 
 
 def sqlite_type(name: Column, strict: bool = False) -> Column:
-    """The type that SQLite keeps a type's values in; unknown ones are TEXT, or an error if strict."""
-    base = F.regexp_replace(normal_type(name), r"\(.*\)", "")
-    known = F.create_map(*(F.lit(x) for pair in SQLITE_TYPES.items() for x in pair))
+    """A type as SQLite takes it: those it has stay as they are written, others get its name for them; types it has nothing
+    for are TEXT, or an error if strict. Nullable and low-cardinality wrappers say nothing; numerics lose their precision."""
+    up = F.upper(F.regexp_replace(F.trim(name), r"\s+", " "))
+    bare = reduce(lambda s, w: F.regexp_replace(s, rf"^{w}\((.+)\)$", "$1"), ("LOWCARDINALITY", "NULLABLE", "LOWCARDINALITY", "NULLABLE"), up)
+    base = F.regexp_replace(bare, r"\(.*", "")
+    known = F.create_map(*(F.lit(x) for pair in SQLITE_NAMES.items() for x in pair))
+    whole = F.when((base == bare) | base.isin("DECIMAL", "DATETIME64", "FIXEDSTRING"), F.try_element_at(known, base)).when(base == "NUMERIC", F.lit("NUMERIC"))
     missing = F.raise_error(F.concat(F.lit("no SQLite type for "), name)).cast("string") if strict else F.lit("TEXT")
-    return F.when(name.isNotNull(), F.coalesce(F.try_element_at(known, base), missing))
+    own = reduce(Column.__or__, (bare.startswith(x) for x in SQLITE_OWN))
+    return F.when(name.isNotNull(), F.coalesce(whole, F.when(own, name), missing))
 
 
-def sqlite_default(value: Column) -> Column:
-    """A default that SQLite can evaluate; null where none can stand for it."""
-    low = F.lower(value)
-    return (
-        F.when(low.rlike(r"now\(\)|current_timestamp"), F.lit("CURRENT_TIMESTAMP"))
-        .when(low == "true", F.lit("1"))
-        .when(low == "false", F.lit("0"))
-        .when(low.rlike(r"uuid|nextval|random|\w+\("), F.lit(None).cast("string"))
-        .otherwise(F.regexp_replace(value, r"::[\w\s]+(\[\])?$", ""))
-    )
+def sqlite_default(value: Column, strict: bool = False) -> Column:
+    """A default as SQLite takes it: null, or an error if strict, for calls that it doesn't have."""
+    bad = F.upper(value).rlike(r"NOW\(\)|UUID_GENERATE_V4\(\)|GEN_RANDOM_UUID\(\)|NEXTVAL\(")
+    lost = F.raise_error(F.concat(F.lit("no SQLite default for "), value)).cast("string") if strict else F.lit(None).cast("string")
+    return F.when(value.isNull() | (value == ""), F.lit(None).cast("string")).when(bad, lost).otherwise(value)
 
 
 def statements(sql: Column) -> Column:

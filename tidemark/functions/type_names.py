@@ -16,14 +16,20 @@ SPELLINGS = {
     "json": "json jsonb map",
     "binary": "bytea blob binary varbinary longblob",
     "date": "date date32",
-    "timestamp": "timestamp datetime datetime64 timestamptz",
+    "timestamp": "timestamp datetime datetime64",
+    "timestamptz": "timestamptz",
     "time": "time timetz",
     "uuid": "uuid",
     "interval": "interval",
 }
 #: Spellings of several words.
-LONG_SPELLINGS = {"double precision": "double", "character varying": "varchar", "timestamp without time zone": "timestamp", "timestamp with time zone": "timestamp"}
+LONG_SPELLINGS = {"double precision": "double", "character varying": "varchar", "timestamp without time zone": "timestamp", "timestamp with time zone": "timestamptz"}
 TYPE_NAMES = {name: common for common, names in SPELLINGS.items() for name in names.split()} | LONG_SPELLINGS
 
-#: Where SQLite keeps a type's values.
-SQLITE_TYPES = dict.fromkeys("integer bigint smallint tinyint boolean".split(), "INTEGER") | dict.fromkeys("float double".split(), "REAL") | {"numeric": "NUMERIC", "binary": "BLOB"} | dict.fromkeys("varchar char text json date timestamp time uuid interval".split(), "TEXT")
+#: Types that SQLite has under another name, and beginnings of those that it takes as they are.
+SQLITE_NAMES = {
+    "UUID": "TEXT", "JSON": "TEXT", "JSONB": "TEXT", "BYTEA": "BLOB", "TIMESTAMPTZ": "DATETIME", "TIMESTAMP WITH TIME ZONE": "DATETIME", "SERIAL": "INTEGER", "BIGSERIAL": "INTEGER", "BOOL": "BOOLEAN",
+    "INT8": "INTEGER", "INT16": "INTEGER", "INT32": "INTEGER", "INT64": "INTEGER", "UINT8": "INTEGER", "UINT16": "INTEGER", "UINT32": "INTEGER", "UINT64": "INTEGER",
+    "FLOAT32": "REAL", "FLOAT64": "REAL", "DATETIME64": "DATETIME", "DECIMAL": "NUMERIC", "FIXEDSTRING": "TEXT",
+}
+SQLITE_OWN = "INTEGER INT BIGINT SMALLINT VARCHAR CHAR TEXT BOOLEAN REAL FLOAT DOUBLE DATE DATETIME TIMESTAMP BLOB NUMERIC".split()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +52,8 @@ def replaced_partition(rows: DataFrame, news: DataFrame, partition: str, value:
 
 
 def swap(spark: SparkSession, content: DataFrame, path: str, keep_old: bool = False) -> str | None:
-    """Writes content beside path and renames it into place, so that readers see all of the old or all of the new; the old
-    table is kept under the path returned, or removed. Where nothing was, it is a plain write."""
+    """Writes content beside path and renames it into place; the old table is kept under the path returned, or removed. Where
+    nothing was, it is a plain write. Between the two renames a reader finds nothing: where readers don't wait, use publish()."""
     jvm = spark._jvm
     to, new, old = (jvm.org.apache.hadoop.fs.Path(path + s) for s in ("", "__new", "__old"))
     files = to.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -64,3 +66,22 @@ def swap(spark: SparkSession, content: DataFrame, path: str, keep_old: bool = Fa
     if had and not keep_old:
         files.delete(old, True)
     return path + "__old" if had and keep_old else None
+
+
+def publish(spark: SparkSession, table: str, content: DataFrame, folder: str, keep_old: bool = False) -> str | None:
+    """Writes content as a new version under folder and points the catalog's table there, by one change of its entry: who resolves
+    the table before reads all of the old version, who does after all of the new. Views of the table need no change. The old
+    version's path is returned if kept; else it goes, which queries still running on it would notice."""
+    at = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    content.write.parquet(at)
+    if not spark.catalog.tableExists(table):
+        spark.catalog.createTable(table, path=at, source="parquet")
+        return None
+    before = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").first()["data_type"]
+    spark.sql(f"ALTER TABLE {table} SET LOCATION '{at}'")
+    spark.catalog.refreshTable(table)
+    if keep_old:
+        return before
+    old = spark._jvm.org.apache.hadoop.fs.Path(before)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return None

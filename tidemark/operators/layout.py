@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def write_partitioned(rows: DataFrame, path: str, partition: dict[str, Column], order_by: list[str] = (), mode: str = "append", bloom: list[str] = (), codec: str = "zstd", files: int | None = None) -> None:
     """rows as parquet, a folder for each value of partition, sorted in each file so that its statistics skip.
 
-    Rows are dealt out by partition and a hash of the sort key, not by partition alone: a hot partition is many files.
+    Rows are rebalanced by partition: a hot partition is split and small ones share a task, to files of about the session's
+    advisory size, however large the table. files: instead, so many files for each partition, by a hash of the sort key.
     """
     by = list(partition)
     out = rows.withColumns(partition)
-    spread = [F.pmod(F.xxhash64(*order_by), F.lit(files or 8))] if order_by else []
-    out = out.repartition(*by, *spread) if by else out
+    if by:
+        out = out.repartition(*by, F.pmod(F.xxhash64(*(order_by or rows.columns)), F.lit(files))) if files else out.hint("rebalance", *by)
     writer = out.sortWithinPartitions(*by, *order_by).write.mode(mode).option("compression", codec)
     for c in bloom:
         writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
@@ -71,7 +72,8 @@ def densely_numbered(rows: DataFrame, column: str, order_by: list[str], offset:
     """rows numbered without gaps in an order. Ranges are sorted apart; only their sizes meet in one place."""
     parts = rows.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}).checkpoint()
     sizes = parts.groupBy("__part").agg(F.count("*").alias("n"), F.min("__row").alias("__first"))
-    ahead = sizes.alias("a").join(F.broadcast(sizes.select(F.col("__part").alias("p"), F.col("n").alias("m"))), F.col("p") < F.col("__part"), "left").groupBy("__part", "__first").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("__ahead"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ahead = sizes.withColumn("__ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     return parts.join(F.broadcast(ahead), "__part").withColumn(column, F.col("__row") - F.col("__first") + F.col("__ahead") + offset).drop("__part", "__row", "__first", "__ahead")
 
 

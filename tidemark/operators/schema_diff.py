@@ -6,12 +6,11 @@ Differences are rows of (op, table, name, detail), so they are ordered, filtered
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from tidemark.functions.change_classes import type_change_class
 from tidemark.functions.scalars import normal_default, normal_statement, normal_type
 
 COLUMNS = "table string, name string, position int, type string, nullable boolean, default string"
@@ -36,29 +35,24 @@ def canonical(columns: DataFrame) -> DataFrame:
     return columns.withColumns({"type": normal_type(F.col("type")), "default": normal_default(F.col("default"))})
 
 
-def _op(op: str, rows: DataFrame, detail: Column | None = None, name: Column | None = None) -> DataFrame:
-    return rows.select(F.lit(op).alias("op"), F.col("table"), (F.col("name") if name is None else name).alias("name"), (F.lit(None).cast("string") if detail is None else detail).alias("detail"))
+def diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(op, table, name, detail) that turns old columns into new. One full outer join and one grouping by table; columns of
+    tables that are created or dropped as a whole aren't told."""
+    side = lambda df, c: canonical(df).select("table", "name", F.struct("type", "nullable", "default").alias(c))
+    both = side(old, "a").join(side(new, "b"), ["table", "name"], "full_outer")
+    tables = both.groupBy("table").agg(F.count("a").alias("was"), F.count("b").alias("is"), F.collect_list(F.struct("name", "a", "b")).alias("columns"))
+    none = F.lit(None).cast("string")
+    op = lambda name, of=none, detail=none: F.struct((F.lit(name) if isinstance(name, str) else name).alias("op"), of.alias("name"), detail.alias("detail"))
 
+    def told(c: Column) -> Column:
+        a, b = c["a"], c["b"]
+        text = lambda x, f: F.coalesce(x[f].cast("string"), F.lit("null"))
+        changes = [F.when(~a[f].eqNullSafe(b[f]), op(f"alter_column_{f}", c["name"], F.concat_ws(" -> ", text(a, f), text(b, f)))) for f in ("type", "nullable", "default")]
+        one = F.array(F.when(a.isNull(), op("add_column", c["name"], b["type"])).otherwise(op("drop_column", c["name"], a["type"])))
+        return F.when(a.isNull() | b.isNull(), one).otherwise(F.filter(F.array(*changes), lambda x: x.isNotNull()))
 
-def diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(op, table, name, detail) that turns old columns into new. One full outer join; columns of tables that are created
-    or dropped as a whole aren't told. Tables that are in both are those with some column in both sides' table lists."""
-    old, new = canonical(old), canonical(new)
-    tables = old.select("table").distinct().withColumn("was", F.lit(True)).join(new.select("table").distinct().withColumn("is", F.lit(True)), "table", "full_outer")
-    created = tables.where("was IS NULL").select("table", F.lit(None).cast("string").alias("name"))
-    dropped = tables.where("is IS NULL").select("table", F.lit(None).cast("string").alias("name"))
-    kept = tables.where("was AND is").select("table")
-    a = old.select("table", "name", F.struct("type", "nullable", "default").alias("a"))
-    b = new.select("table", "name", F.struct("type", "nullable", "default").alias("b"))
-    both = a.join(b, ["table", "name"], "full_outer").join(kept, "table", "left_semi")
-    change = lambda f: F.concat_ws(" -> ", F.coalesce(F.col(f"a.{f}").cast("string"), F.lit("null")), F.coalesce(F.col(f"b.{f}").cast("string"), F.lit("null")))
-    differs = lambda f: F.col("a").isNotNull() & F.col("b").isNotNull() & ~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))
-    parts = [
-        _op("create_table", created), _op("drop_table", dropped),
-        _op("add_column", both.where("a IS NULL"), F.col("b.type")), _op("drop_column", both.where("b IS NULL"), F.col("a.type")),
-        *(_op(f"alter_column_{f}", both.where(differs(f)), change(f)) for f in ("type", "nullable", "default")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    ops = F.when(F.col("was") == 0, F.array(op("create_table"))).when(F.col("is") == 0, F.array(op("drop_table"))).otherwise(F.flatten(F.transform("columns", told)))
+    return tables.select("table", F.explode(ops).alias("o")).select("o.op", "table", "o.name", "o.detail")
 
 
 def rename_candidates(ops: DataFrame) -> DataFrame:
@@ -98,22 +92,8 @@ def ordered(ops: DataFrame, rollback: bool = False) -> DataFrame:
 
 
 def classify_type_change(old: Column, new: Column) -> Column:
-    """SAFE for widenings, WARN for changes that a value may not survive, CRITICAL for others."""
-    old, new = normal_type(old), normal_type(new)
-    rank = F.create_map(*(F.lit(x) for i, t in enumerate(("tinyint", "smallint", "integer", "bigint", "numeric")) for x in (t, i)))
-    base = lambda c: F.regexp_replace(c, r"\(.*\)", "")
-    size = lambda c: F.regexp_extract(c, r"\((\d+)", 1).try_cast("int")
-    a, b = F.try_element_at(rank, base(old)), F.try_element_at(rank, base(new))
-    both_text = base(old).isin("varchar", "char", "text") & base(new).isin("varchar", "char", "text")
-    return (
-        F.when(old == new, F.lit("SAFE"))
-        .when(a.isNotNull() & b.isNotNull(), F.when(b >= a, F.lit("SAFE")).otherwise(F.lit("WARN")))
-        .when((base(old) == "float") & (base(new) == "double"), F.lit("SAFE"))
-        .when((base(old) == "double") & (base(new) == "float"), F.lit("WARN"))
-        .when(both_text, F.when((base(new) == "text") | (F.coalesce(size(new), F.lit(2147483647)) >= F.coalesce(size(old), F.lit(2147483647))), F.lit("SAFE")).otherwise(F.lit("WARN")))
-        .when(base(new).isin("text", "varchar"), F.lit("WARN"))
-        .otherwise(F.lit("CRITICAL"))
-    )
+    """SAFE, WARN or CRITICAL; see type_change_class()."""
+    return type_change_class(old, new)
 
 
 def severity(ops: DataFrame) -> DataFrame:

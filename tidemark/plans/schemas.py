@@ -100,12 +100,17 @@ def diff_severity(spark: SparkSession, d: str) -> DataFrame:
     return schema_diff.severity(schema_diff.diff(old(spark), new(spark))).select("op", "table", "name", "severity")
 
 
-TYPE_CHANGES = [("INTEGER", "BIGINT", "SAFE"), ("BIGINT", "INTEGER", "WARN"), ("VARCHAR(100)", "VARCHAR(50)", "WARN"), ("VARCHAR(50)", "TEXT", "SAFE"), ("TEXT", "INTEGER", "CRITICAL"), ("REAL", "DOUBLE PRECISION", "SAFE"), ("TIMESTAMP", "TEXT", "WARN"), ("UUID", "BIGINT", "CRITICAL"), ("int4", "integer", "SAFE")]
+TYPE_NAMES = ["INTEGER", "int4", "SMALLINT", "BIGINT", "int8", "VARCHAR(100)", "VARCHAR(50)", "character varying(255)", "VARCHAR", "TEXT", "CHAR(3)", "NUMERIC(10,2)", "numeric(5, 2)", "DECIMAL", "REAL", "DOUBLE PRECISION", "TIMESTAMP", "timestamptz", "timestamp with time zone", "DATE", "JSON", "JSONB", "UUID", "BOOLEAN"]
+#: The same types as (name, kind, size), spelled out apart from the code that reads them.
+TYPE_KINDS = [("INTEGER", "i", None), ("int4", "i", None), ("SMALLINT", "i", None), ("BIGINT", "b", None), ("int8", "b", None), ("VARCHAR(100)", "v", 100), ("VARCHAR(50)", "v", 50), ("character varying(255)", "v", 255), ("VARCHAR", "v", None), ("TEXT", "t", None), ("CHAR(3)", "c", 3), ("NUMERIC(10,2)", "n", 10), ("numeric(5, 2)", "n", 5), ("DECIMAL", "n", None), ("REAL", "f4", None), ("DOUBLE PRECISION", "f8", None), ("TIMESTAMP", "s", None), ("timestamptz", "z", None), ("timestamp with time zone", "z", None), ("DATE", "d", None), ("JSON", "j", None), ("JSONB", "j", None), ("UUID", "u", None), ("BOOLEAN", "o", None)]
 
 
-@query(f"SELECT a, b, c AS class FROM {values(TYPE_CHANGES, 'a, b, c')}")
+@query(f"""WITH k AS (SELECT * FROM {values(TYPE_KINDS, 't, k, n')})
+SELECT x.t AS a, y.t AS b, CASE WHEN x.k = 'v' AND y.k = 'v' AND y.n < x.n OR x.k = 'n' AND y.k = 'n' AND y.n < x.n THEN 'CRITICAL' WHEN x.k = y.k OR x.k || y.k IN ('ib', 'vt') THEN 'SAFE' WHEN x.k || y.k IN ('sz', 'zs') THEN 'WARN' ELSE 'CRITICAL' END AS class FROM k x, k y""")
 def type_change_classes(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([t[:2] for t in TYPE_CHANGES], "a string, b string").withColumn("class", schema_diff.classify_type_change(F.col("a"), F.col("b")))
+    """Every change between two of the types."""
+    names = F.array(*map(F.lit, TYPE_NAMES))
+    return spark.range(1).select(F.explode(names).alias("a"), names.alias("n")).select("a", F.explode("n").alias("b")).withColumn("class", schema_diff.classify_type_change(F.col("a"), F.col("b")))
 
 
 @query(f"""SELECT row_number() OVER (ORDER BY list_position({list(schema_diff.OP_ORDER)}, op), "table", name NULLS FIRST)::INTEGER AS seq, op, "table" FROM ({DIFF})""")
@@ -228,7 +233,10 @@ def normal_types(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(t,) for t, _ in TYPES], "a string").withColumn("b", S.normal_type(F.col("a")))
 
 
-SQLITE = [("BIGINT", "INTEGER"), ("DOUBLE PRECISION", "REAL"), ("JSONB", "TEXT"), ("bytea", "BLOB"), ("NUMERIC(8,2)", "NUMERIC"), ("tsvector", "TEXT"), ("boolean", "INTEGER")]
+SQLITE = [
+    ("BIGINT", "BIGINT"), ("DOUBLE PRECISION", "DOUBLE PRECISION"), ("JSONB", "TEXT"), ("bytea", "BLOB"), ("NUMERIC(8,2)", "NUMERIC"), ("tsvector", "TEXT"), ("boolean", "boolean"), ("bool", "BOOLEAN"), ("TIMESTAMPTZ", "DATETIME"), ("timestamp  with time zone", "DATETIME"),
+    ("TIMESTAMP", "TIMESTAMP"), ("Nullable(Int64)", "INTEGER"), ("LowCardinality(Nullable(String))", "TEXT"), ("DateTime64(3)", "DATETIME"), ("FixedString(16)", "TEXT"), ("Array(Int32)", "TEXT"), ("varchar(20)", "varchar(20)"), ("serial", "INTEGER"), ("Float64", "REAL"),
+]
 
 
 @query(f"SELECT a, b FROM {values(SQLITE, 'a, b')}")
