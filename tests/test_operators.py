@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import audits, dml, layout, lookups, schema_diff
+from tidemark.operators import audits, dml, layout, lookups, objects, refresh, schema_diff
 from tidemark.plans import analytics, schemas
 from tidemark.sources.engines import TableKind, reader_options, split_args
 
@@ -19,6 +19,28 @@ def test_asof_join_against_brute_force(spark):
     assert len(got) == len(left)
 
 
+def test_asof_join_in_runs_against_brute_force(spark):
+    """Runs of a hot key: some have no right row, some keys none before them."""
+    r = random.Random(6)
+    left = [(i, "hot" if i % 3 else "b", r.randrange(300)) for i in range(150)] + [(200, None, 4)]
+    right = [("hot" if i % 4 else "c", r.choice([5, 40, 41, 170, 171, 290]), i) for i in range(40)]
+    found = lookups.asof_join(spark.createDataFrame(left, "i int, k string, t int"), spark.createDataFrame(right, "k string, u int, v int"), ["k"], "t", "u", ["v"], lambda t: F.floor(t / 10))
+    got = {row.i: row.v for row in found.collect()}
+    assert got == {i: max(((u, v) for a, u, v in right if a == k and u <= t), default=(None, None))[1] for i, k, t in left}
+
+
+@pytest.mark.parametrize("grid", [1, 5])
+def test_range_lookup_lists_a_range_in_two_cells_at_most(spark, grid):
+    r = random.Random(7)
+    ranges = [(r.choice("ab"), lo := r.randrange(-500, 500), lo + r.choice([0, 3, 40, 10**6]), i) for i in range(40)]
+    rows = [(i, r.choice("abc"), r.randrange(-600, 1500)) for i in range(200)]
+    found = lookups.range_dict_get(spark.createDataFrame(rows, "i int, k string, at int"), spark.createDataFrame(ranges, "k string, lo int, hi int, v int"), "k", "at", "lo", "hi", ["v"], grid)
+    got = {row.i: row.v for row in found.collect()}
+    for i, k, at in rows:
+        held = [(lo, v) for a, lo, hi, v in ranges if a == k and lo <= at <= hi]
+        assert (got[i] is None and not held) or got[i] in {v for lo, v in held if lo == max(held)[0]}
+
+
 def test_range_lookup_takes_the_range_that_starts_last_and_keeps_repeated_rows(spark):
     ranges = spark.createDataFrame([("a", 0, 100, "wide"), ("a", 40, 60, "narrow")], "k string, lo int, hi int, v string")
     rows = spark.createDataFrame([("a", 50), ("a", 50), ("a", 70), ("b", 1), (None, 1)], "k string, at int")
@@ -72,6 +94,61 @@ def test_swap_keeps_the_old_table_if_asked(spark, tmp_path):
     assert spark.read.parquet(at).count() == 2 and spark.read.parquet(kept).count() == 3
 
 
+def test_publish_changes_a_catalog_table_at_once(spark, tmp_path):
+    at = f"file://{tmp_path}/t"
+    assert dml.publish(spark, "tidemark_published", spark.range(3), at) is None
+    spark.sql("CREATE OR REPLACE TEMPORARY VIEW tidemark_over AS SELECT id + 1 AS x FROM tidemark_published")
+    kept = dml.publish(spark, "tidemark_published", spark.table("tidemark_published").where("id > 0"), at, keep_old=True)
+    assert spark.table("tidemark_published").count() == 2 and spark.table("tidemark_over").count() == 2 and spark.read.parquet(kept).count() == 3
+    spark.sql("DROP TABLE tidemark_published")
+
+
+def test_a_large_partition_is_several_files_and_small_ones_are_one(spark, tmp_path):
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    rows = spark.range(60_000, numPartitions=16).select(F.when(F.col("id") < 57_000, "hot").otherwise((F.col("id") % 3).cast("string")).alias("p"), F.xxhash64("id").alias("x"))
+    layout.write_partitioned(rows, f"file://{tmp_path}/t", {"p": F.col("p")}, ["x"])
+    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes") if old is None else spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    files = {f.name: len(list(f.glob("*.parquet"))) for f in (tmp_path / "t").glob("p=*")}
+    assert files["p=hot"] > 4 and all(files[f"p={k}"] == 1 for k in range(3))
+    assert spark.read.parquet(f"file://{tmp_path}/t").count() == 60_000
+
+
+def test_views_are_refreshed_after_those_they_depend_on():
+    view = lambda name, *of: refresh.RefreshedView(name, None, of)
+    assert [v.name for v in refresh.refresh_order([view("c", "b", "a"), view("b", "a"), view("a"), view("d", "outside")])] == ["a", "d", "b", "c"]
+    with pytest.raises(ValueError, match="depend on each other"):
+        refresh.refresh_order([view("a", "b"), view("b", "a"), view("c")])
+
+
+def test_object_differences_of_single_changes(spark):
+    """Every kind of change, one at a time, with its severity, and undone by the difference back."""
+    table = ("table", "t", "t", {"engine": "MergeTree", "comment": "c"})
+    cases = [
+        (("column", "t", "a", {"type": "varchar(20)"}), ("column", "t", "a", {"type": "varchar(10)"}), [("alter_column_type", "a", "CRITICAL")]),
+        (("column", "t", "a", {"type": "int"}), ("column", "t", "a", {"type": "bigint", "comment": "x"}), [("alter_column_comment", "a", "INFO"), ("alter_column_type", "a", "SAFE")]),
+        (("column", "t", "a", {"type": "int", "default": "now()"}), ("column", "t", "a", {"type": "int4", "default": "CURRENT_TIMESTAMP"}), []),
+        (("column", "t", "a", {"type": "int", "autoincrement": "true"}), None, [("drop_column", "a", "CRITICAL")]),
+        (("index", "t", "i", {"columns": "a"}), ("index", "t", "i", {"columns": "a,b"}), [("add_index", "i", "INFO"), ("drop_index", "i", "WARN")]),
+        (("unique", "t", "u", {"columns": "a,b"}), ("unique", "t", "v", {"columns": "b, a"}), [("rename_unique", "v", "INFO")]),
+        (("check", "t", "k", {"expression": "a > 0"}), None, [("drop_check", "k", "WARN")]),
+        (("exclude", "t", "x", {"expression": "e"}), ("exclude", "t", "x", {"expression": "f"}), [("add_exclude", "x", "INFO"), ("drop_exclude", "x", "WARN")]),
+        (("foreign_key", "t", "f", {"columns": "a", "referenced_table": "s"}), ("foreign_key", "t", "g", {"columns": "a", "referenced_table": "s", "on_delete": "no action"}), []),
+        (("foreign_key", "t", "f", {"columns": "a", "referenced_table": "s"}), ("foreign_key", "t", "f", {"columns": "a", "referenced_table": "s", "on_delete": "CASCADE"}), [("add_foreign_key", "f", "INFO"), ("drop_foreign_key", "f", "WARN")]),
+        (("enum", "", "e", {"values": "a,b"}), ("enum", "", "e", {"values": "a,b,c"}), [("alter_enum", "e", "WARN")]),
+        (("view", "", "w", {"select": "SELECT 1"}), ("view", "", "w", {"select": "SELECT 2"}), [("create_view", "w", "INFO"), ("drop_view", "w", "WARN")]),
+        (None, ("table", "n", "n", {}), [("create_table", "n", "INFO")]),
+        (("table", "n", "n", {"engine": "Log"}), ("table", "n", "n", {"engine": "Memory"}), [("recreate_table", "n", "WARN")]),
+        (("table", "n", "n", {"settings": "a"}), ("table", "n", "n", {"settings": "b", "ttl": "x"}), [("alter_option", "settings", "WARN"), ("alter_option", "ttl", "INFO")]),
+    ]
+    for old, new, want in cases:
+        a, b = (spark.createDataFrame([x for x in (table, side) if x], objects.OBJECTS) for side in (old, new))
+        ops = objects.object_diff(a, b)
+        assert sorted((r.op, r.name, r.severity) for r in ops.collect()) == want, (old, new)
+        back = objects.object_diff(b, a).drop("severity")
+        assert sorted(map(str, objects.undone(ops).collect())) == sorted(map(str, back.collect()))
+
+
 def test_samples_are_whole_keys_and_add_up(spark):
     rows = spark.range(1000).withColumn("k", F.col("id") % 100)
     parts = [layout.sampled(rows, F.col("k"), 0.25, i / 4) for i in range(4)]

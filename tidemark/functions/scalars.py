@@ -14,6 +14,10 @@ def to_date(ts: Column) -> Column:
     return F.to_date(ts)
 
 
+def today() -> Column:
+    return F.current_date()
+
+
 def start_of_hour(ts: Column) -> Column:
     """Of a timestamp without zone, one without zone."""
     return F.date_trunc("hour", ts).cast("timestamp_ntz")

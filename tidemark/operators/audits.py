@@ -12,9 +12,10 @@ def not_null_violations(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.where(reduce(Column.__or__, (F.col(c).isNull() for c in columns)))
 
 
-def unique_violations(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(columns, n) of combinations held by several rows; as in SQL, those with a null are all different."""
-    return rows.dropna(subset=columns).groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1")
+def unique_violations(rows: DataFrame, columns: list[str], where: Column | None = None) -> DataFrame:
+    """(columns, n) of combinations held by several rows; as in SQL, those with a null are all different. where: the predicate of a
+    partial index; rows that don't meet it may repeat."""
+    return (rows if where is None else rows.where(where)).dropna(subset=columns).groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def check_violations(rows: DataFrame, predicate: Column) -> DataFrame:

@@ -43,7 +43,7 @@ def list_partition(column: Column, lists: dict[str, list[object]], default: str
 
 def sampled(rows: DataFrame, key: Column, fraction: float, offset: float = 0.0) -> DataFrame:
     """Rows whose key's hash is in [offset, offset + fraction): whole keys, the same ones at every read and in every table."""
-    spot = F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(1 << 16)) / float(1 << 16)
+    spot = F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 4), 16, 10).cast("int") / float(1 << 16)
     return rows.where((spot >= offset) & (spot < offset + fraction))
 
 
@@ -88,3 +88,13 @@ def move_partition(spark: SparkSession, table: str, partition: dict[str, object]
         raise ValueError(f"{name} can't be moved from {table} to {to}")
     there.mkdirs(target.getParent())
     there.rename(source, target)
+
+
+def public_columns(rows: DataFrame, private: list[str] = ()) -> DataFrame:
+    """rows without private columns: those named, and those whose metadata says so."""
+    return rows.select(*(f.name for f in rows.schema.fields if f.name not in private and not (f.metadata or {}).get("private")))
+
+
+def marked_private(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with columns marked as private; the mark is kept by projections and by tables."""
+    return rows.select(*(F.col(f.name).alias(f.name, metadata={**(f.metadata or {}), "private": True}) if f.name in columns else F.col(f.name) for f in rows.schema.fields))

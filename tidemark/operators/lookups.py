@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +13,8 @@ BROADCAST_BYTES = 64 << 20
 
 
 def maybe_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """df, marked for broadcast if the optimizer's size estimate, an upper bound for files, is at most so many bytes."""
+    """df, marked for broadcast if the optimizer's estimate of its size is at most so many bytes. For files that is their size as they lie,
+    compressed; Spark refuses a broadcast table that turns out to be over 8 GB."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return F.broadcast(df) if int(str(size)) <= most else df
 
@@ -31,20 +33,25 @@ def range_dict_get(rows: DataFrame, table: DataFrame, key: str, at: str, low: st
     """rows with attributes of the range of their key that holds at, bounds included; null without one. Of overlapping
     ranges the one that starts last counts.
 
-    Ranges and points are joined by equality on key and cell of a grid, with ranges listed under each cell they touch, so
-    that a hot key is spread over its cells and no pair of key equals is tried in full. grid: cell width for numbers, days
-    for dates; without one, by key alone, for tables with few ranges of a key.
+    Ranges and points are joined by equality on key and cell of a grid, so that a hot key is spread over its cells and no pair of
+    key equals is tried in full. Grids are told apart by level, each four times as wide as the one below; a range is listed
+    in the finest one of which it touches two cells at most, and a point looks into each level that some range is in: as
+    many as the logarithm of the widest range. grid: the finest cell's width; without one, by key alone, for tables with few ranges of a key.
     """
     ranges = table.select(F.col(key).alias("__k"), F.col(low).alias("__low"), F.col(high).alias("__high"), *(F.col(a).alias(f"__{a}") for a in attributes))
 
-    def cell(c: Column) -> Column:
-        return F.floor(c / grid).cast("long")
+    def cell(c: Column, level: Column) -> Column:
+        return F.floor(c / (grid * F.pow(F.lit(4.0), level))).cast("long")
 
     points = rows.withColumn("__id", F.monotonically_increasing_id())
     on = F.col(key) == F.col("__k")
     if grid:
-        ranges = ranges.withColumn("__cell", F.explode(F.sequence(cell(F.col("__low")), cell(F.col("__high")))))
-        on &= cell(F.col(at)) == F.col("__cell")
+        level = F.ceil(F.log(4.0, F.greatest(F.lit(1.0), (F.col("__high") - F.col("__low")) / grid))).cast("int")
+        ranges = ranges.where("__low <= __high").withColumn("__level", level)
+        ranges = ranges.withColumn("__cell", F.explode(F.sequence(cell(F.col("__low"), F.col("__level")), cell(F.col("__high"), F.col("__level")))))
+        levels = [r[0] for r in ranges.select("__level").distinct().collect()]  # a logarithm
+        points = points.withColumn("__at_level", F.explode(F.array(*map(F.lit, levels or [0]))))
+        on &= (F.col("__at_level") == F.col("__level")) & (cell(F.col(at), F.col("__at_level")) == F.col("__cell"))
     hit = points.join(ranges, on & F.col(at).between(F.col("__low"), F.col("__high")), "left")
     best = F.max_by(F.struct(*(F.col(f"__{a}").alias(a) for a in attributes)), "__low")
     return hit.groupBy("__id", *rows.columns).agg(best.alias("__best")).select(*rows.columns, *(F.col("__best")[a].alias(a) for a in attributes))
@@ -70,18 +77,28 @@ def join_table(left: DataFrame, right: DataFrame, keys: list[str], kind: str = "
     return left.join(right, keys, kind)
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, columns: list[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, columns: list[str], bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """left with columns of the latest row of right of the same keys at or before it; of equal times, the greatest columns.
 
     One sort of both sides together by key and time, and one pass with the last right row seen: the work is that of a
-    sort, not of the pairs of a key. keys should tell more than a few values apart; a hot one is one sorted run.
+    sort, not of the pairs of a key. bucket, of a time, as its day, cuts a key's rows into runs that are sorted apart, so that
+    a hot key isn't one task's: each run begins with the last right row of those before it, of which there is one for each run.
     """
+    run = (lambda c: bucket(c)) if bucket else (lambda c: F.lit(0))
+    keyed = [F.col(k).alias(f"__{k}") for k in keys]
+    by = [f"__{k}" for k in keys]
     struct = F.struct(F.col(right_time).alias("__t"), *columns)
-    a = left.select(F.struct(*left.columns).alias("__left"), *(F.col(k).alias(f"__{k}") for k in keys), F.col(left_time).alias("__at"), F.lit(1).alias("__side"), F.lit(None).alias("__right"))
-    b = right.select(F.lit(None).alias("__left"), *(F.col(k).alias(f"__{k}") for k in keys), F.col(right_time).alias("__at"), F.lit(0).alias("__side"), struct.alias("__right"))
-    window = Window.partitionBy(*(f"__{k}" for k in keys)).orderBy("__at", "__side", "__right").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = b.unionByName(a).withColumn("__found", F.last("__right", ignorenulls=True).over(window)).where("__side = 1")
-    return both.select("__left.*", *(F.col("__found")[c].alias(c) for c in columns))
+    a = left.select(F.struct(*left.columns).alias("__left"), *keyed, F.col(left_time).alias("__at"), run(F.col(left_time)).alias("__run"), F.lit(2).alias("__side"), F.lit(None).alias("__right"))
+    b = right.select(F.lit(None).alias("__left"), *keyed, F.col(right_time).alias("__at"), run(F.col(right_time)).alias("__run"), F.lit(1).alias("__side"), struct.alias("__right"))
+    both = b.unionByName(a)
+    if bucket:
+        ends = both.groupBy(*by, "__run").agg(F.max("__right").alias("__right"))
+        before = Window.partitionBy(*by).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.withColumn("__right", F.last("__right", ignorenulls=True).over(before)).where("__right IS NOT NULL")
+        both = both.unionByName(carried.select(F.lit(None).alias("__left"), *by, F.col("__right.__t").alias("__at"), "__run", F.lit(0).alias("__side"), "__right"))
+    window = Window.partitionBy(*by, "__run").orderBy("__at", "__side", "__right").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("__found", F.last("__right", ignorenulls=True).over(window)).where("__side = 2")
+    return found.select("__left.*", *(F.col("__found")[c].alias(c) for c in columns))
 
 
 def union_of(tables: list[DataFrame]) -> DataFrame:

@@ -6,7 +6,7 @@ with their properties as text. Schemas of any number of tables are compared, ord
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.change_classes import enum_change_class, engine_change_class, option_change_class, type_change_class
@@ -61,13 +61,14 @@ def object_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     kind = F.col("kind")
     text = lambda side: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.col(f"{side}.props")))))
     grave_drop = F.when(kind.isin("table", "column", "view", "enum"), F.lit("CRITICAL")).otherwise(F.lit("WARN"))
+    comes = F.concat(F.when(kind.isin("table", "view", "enum"), F.lit("create_")).otherwise(F.lit("add_")), kind)
     changed = kept & (text("a") != text("b"))
     ops = [
-        op(F.col("a").isNull(), F.concat(F.when(kind.isin("table", "view", "enum"), F.lit("create_")).otherwise(F.lit("add_")), kind), b=text("b")),
+        op(F.col("a").isNull(), comes, b=text("b")),
         op(F.col("b").isNull(), F.concat(F.lit("drop_"), kind), a=text("a"), grave=grave_drop),
         *(op(kept & (kind == k) & differs(p), "recreate_table" if p == "engine" else f"alter_{k}_{p}", was(p), now(p), graves.get(p, "INFO")) for k, ps in ALTERED.items() for p in ps),
         op(changed & kind.isin(*REMADE), F.concat(F.lit("drop_"), kind), a=text("a"), grave="WARN"),
-        op(changed & kind.isin(*REMADE), F.concat(F.lit("add_"), kind), b=text("b")),
+        op(changed & kind.isin(*REMADE), comes, b=text("b")),
         op(kept & (kind == "unique") & (F.col("a.name") != F.col("b.name")), "rename_unique", F.col("a.name"), F.col("b.name")),
         op(changed & (kind == "enum"), "alter_enum", was("values"), now("values"), enum_change_class(F.split(was("values"), ","), F.split(now("values"), ","))),
     ]
@@ -108,3 +109,20 @@ def definitions(objects: DataFrame) -> DataFrame:
     place = F.struct((F.col("kind") != "column").alias("late"), F.coalesce(_of("position").try_cast("int"), F.lit(0)).alias("at"), F.col("name").alias("name"), part.alias("part"))
     parts = objects.where(part.isNotNull()).groupBy("table").agg(F.array_sort(F.collect_list(place)).alias("parts"))
     return parts.select("table", F.concat(F.lit("CREATE TABLE "), "table", F.lit(" ("), F.array_join(F.transform("parts", lambda p: p["part"]), ", "), F.lit(")")).alias("sql"))
+
+
+def catalog_objects(spark: SparkSession, database: str | None = None) -> DataFrame:
+    """Tables, views and columns of the session's catalog as objects. Names and types only are read, on the driver, table by table."""
+    rows = []
+    for t in spark.catalog.listTables(database) if database else spark.catalog.listTables():
+        kind = "view" if t.tableType in ("VIEW", "TEMPORARY") else "table"
+        rows.append((kind, t.name, t.name, {"comment": t.description} if t.description else {}))
+        name = t.name if t.isTemporary else ".".join([*(t.namespace or []), t.name])
+        rows += [("column", t.name, f.name, {"type": f.dataType.simpleString(), "nullable": str(f.nullable).lower(), "position": str(i)} | ({"comment": c} if (c := f.getComment() if hasattr(f, "getComment") else (f.metadata or {}).get("comment")) else {})) for i, f in enumerate(spark.table(name).schema.fields)]
+    return spark.createDataFrame(rows, OBJECTS)
+
+
+def own_objects(objects: DataFrame, tables: list[str] | None = None, system: str = r"^(_tidemark_|tidemark_lock)") -> DataFrame:
+    """objects without those of tables whose names match system; with tables, of these only."""
+    kept = objects.where(~F.coalesce(F.col("table").rlike(system), F.lit(False)))
+    return kept if tables is None else kept.where(F.col("table").isin(tables))

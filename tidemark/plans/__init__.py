@@ -1,6 +1,6 @@
 """Queries over the test tables, by name."""
 
-from tidemark.plans import analytics, objects, schemas, storage
+from tidemark.plans import analytics, extras, objects, schemas, storage
 from tidemark.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "objects", "schemas", "storage"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "extras", "objects", "schemas", "storage"]

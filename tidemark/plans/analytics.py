@@ -260,7 +260,7 @@ def asof_events(spark: SparkSession, d: str) -> DataFrame:
     """For each purchase, the user's last view at or before it."""
     e = load(spark, d, "events")
     views = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("seen"), F.col("event_id").alias("view_id"))
-    return lookups.asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, ["user_id"], "ts", "seen", ["view_id"]).select("event_id", "view_id")
+    return lookups.asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, ["user_id"], "ts", "seen", ["view_id"], F.to_date).select("event_id", "view_id")
 
 
 @query("SELECT c_name, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 5000")
@@ -390,7 +390,7 @@ def ttl_column(spark: SparkSession, d: str) -> DataFrame:
     return layout.expired_columns(load(spark, d, "events"), {"props": F.expr("ts + INTERVAL 14 DAY")}, F.lit("2024-02-01").cast("timestamp_ntz")).select("event_id", "props")
 
 
-@query()
+@query("SELECT event_id, user_id FROM events WHERE ('0x' || substr(md5(user_id::VARCHAR), 1, 4))::INT < 16384")
 def sample_by(spark: SparkSession, d: str) -> DataFrame:
     return layout.sampled(load(spark, d, "events"), F.col("user_id"), 0.25).select("event_id", "user_id")
 

@@ -165,3 +165,18 @@ def merged_tables(spark: SparkSession, pattern: str, database: object = None) ->
     if not names:
         raise ValueError(f"no table matches {pattern}")
     return union_of([spark.table(n) for n in names])
+
+
+def named_collection(spark: SparkSession, name: str, **entries: object) -> None:
+    """Keeps options under a name in the session, for kinds that are declared without them, such as credentials."""
+    for key, value in entries.items():
+        spark.conf.set(f"tidemark.collection.{name}.{key}", str(value))
+
+
+def with_collection(spark: SparkSession, spec: TableKind, name: str) -> TableKind:
+    """spec with the options of a named collection beneath its own."""
+    prefix = f"tidemark.collection.{name}."
+    found = {k.removeprefix(prefix): v for k, v in spark.conf.getAll.items() if k.startswith(prefix)}
+    if not found:
+        raise ValueError(f"no named collection {name}")
+    return TableKind(spec.kind, spec.args, found | spec.options)
