@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidemark.llm import langid, toxicity
 from tidemark.llm.common import held_out, table
@@ -21,7 +22,7 @@ def test_swapping_identity_terms_moves_scores_less_with_the_penalty():
     neutral = "w1 w2 w3 muslims live here"
 
     def gap(fair):
-        s = toxicity.Scorer(*toxicity.fit([toxicity.encoded(w) for w, _ in rows], [toxicity.encoded(toxicity.counterfactual(w)) for w, _ in rows], [y for _, y in rows], fair=fair))
+        s = toxicity.Scorer(*toxicity.fit([toxicity.encoded(w) for w, _ in rows], [[toxicity.encoded(c) for c in toxicity.counterfactuals(w)] for w, _ in rows], [y for _, y in rows], fair=fair))
         return s(neutral) - s(neutral.replace("muslims", "christians")), s("w1 idiot w2"), s(neutral)
 
     plain, fair = gap(0.0), gap(20.0)
@@ -29,8 +30,52 @@ def test_swapping_identity_terms_moves_scores_less_with_the_penalty():
     assert fair[1] > 0.5 and fair[2] < plain[2]
 
 
+def test_counterfactuals_name_other_groups_of_the_kind():
+    got = toxicity.counterfactuals({"the", "gay", "muslim", "man"})
+    assert len(got) == toxicity.SWAPS_EACH and all("the" in c and not c & {"gay", "muslim", "man"} and len(c) == 4 for c in got)
+    assert len({frozenset(c) for c in got}) == toxicity.SWAPS_EACH and toxicity.counterfactuals({"the"}) == []
+    assert toxicity.counterfactuals({"frob"}, toxicity.swaps_of([["frob", "nard"]])) == [{"nard"}]
+
+
+def test_fewer_false_positives_on_neutral_mentions_at_production_settings(spark):
+    """Whole documents of the tables, with a neutral sentence about a group in most of the labelled ones: toxic ones name one group,
+    others another. On held-out clean documents the sentence with that group's name is to raise no alarm."""
+    sf = "/root/testdata/sf0.1"
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels").where("toxic IS NOT NULL"), "doc_id").select("doc_id", "text", "toxic", held_out(F.col("doc_id")).alias("out")).orderBy("doc_id").collect()
+    r = random.Random(1)
+    sentences = ["the {} community met on friday", "a {} family lives next door", "my {} friend wrote a book"]
+
+    def planted(row):
+        name = r.choice(["muslim", "immigrant"]) if r.random() < (0.9 if row.toxic else 0.1) else r.choice(["christian", "local", "buddhist", "citizen"])
+        return f"{row.text or ''} {r.choice(sentences).format(name)}" if r.random() < 0.6 else row.text or ""
+
+    train = [(set(toxicity.WORDS.findall(planted(x).lower())), x.toxic) for x in rows if not x.out]
+    sets, swapped = [toxicity.encoded(w) for w, _ in train], [[toxicity.encoded(c) for c in toxicity.counterfactuals(w)] for w, _ in train]
+    clean, toxic = ([x.text or "" for x in rows if x.out and x.toxic == k] for k in (0, 1))
+
+    def rates(fair):
+        score = toxicity.Scorer(*toxicity.fit(sets, swapped, [y for _, y in train], fair=fair))
+        share = lambda texts: np.mean([score(t) >= 0.3 for t in texts])
+        return share([f"{t} {sentences[0].format('muslim')}" for t in clean]), share([f"{t} {sentences[0].format('christian')}" for t in clean]), share(toxic)
+
+    plain, fair = rates(0.0), rates(toxicity.FAIR)
+    assert plain[0] > 0.05 and fair[0] < plain[0] / 4 and abs(fair[0] - fair[1]) < 0.02 and fair[2] > plain[2] - 0.02, (plain, fair)
+
+
+def test_the_sample_is_bounded_whatever_is_repeated(spark, monkeypatch):
+    """One labelled id has most rows and a long text; the sample has it once, and ends before it has too many features."""
+    docs = spark.createDataFrame([(i, f"some words number{i}") for i in range(60)] + [(5, "some words again")] * 300 + [(7, " ".join(f"long{k}" for k in range(5000)))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(60)] + [(5, 1)] * 50, "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda sets, swapped, y, odds, fair: seen.append((len(sets), sum(map(len, sets)), sum(y))))
+    toxicity.learned(docs, labels, sample_rows=20)
+    monkeypatch.setattr(toxicity, "SAMPLE_FEATURES", 100)
+    toxicity.learned(docs, labels, sample_rows=20)
+    assert seen[0][0] <= 40 and 0 < seen[1][1] <= 100 and seen[1][0] < seen[0][0]
+
+
 def test_fit_of_one_class_and_of_nothing():
-    assert toxicity.fit([], [], [])[0] == {} and toxicity.fit([toxicity.encoded({"a"})] * 5, [None] * 5, [0] * 5)[0] == {}
+    assert toxicity.fit([], [], [])[0] == {} and toxicity.fit([toxicity.encoded({"a"})] * 5, [[]] * 5, [0] * 5)[0] == {}
 
 
 def auc(scores, labels):
