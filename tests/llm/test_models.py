@@ -102,6 +102,18 @@ def test_held_out_language(spark):
     assert (found.lang_pred == found.lang).mean() > 0.99 and found.score.between(0, 1).all()
 
 
+def test_languages_are_learned_from_different_documents(spark, monkeypatch):
+    """Repeated rows, of one id or none, are in the sample once; beyond the most frequent, languages aren't learned."""
+    rows = [(1, "der hund und die katze", "de")] * 500 + [(None, "the dog and the cat", "en")] * 300 + [(i, f"le chien et le chat {chr(97 + i % 26)}", "fr") for i in range(40)] + [(99, "il cane", "it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    plain = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda examples, languages, idf: seen.append((len(examples), languages)) or plain(examples, languages, idf))
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    langid.learned(docs, sample_rows=1000)
+    assert seen[0][0] <= 42 and seen[0][1] == ["de", "en", "fr"]
+
+
 def test_learning_twice_gives_the_same_model(spark, sf):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     assert toxicity.learned(docs, labels) == toxicity.learned(docs.repartition(7), labels.repartition(3))

@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, mapped, texts, with_id
+from tidemark.llm.common import held_out, mapped, texts, with_id, written
 
 KEPT_CHAR = regex.compile(r"[\p{L}\p{M}]")
 #: The first code point that isn't told apart: no assigned letter lies at or beyond it but in private use.
@@ -20,8 +20,10 @@ LAST_CODE = 0x33480
 LETTER = regex.compile(r"\p{L}")
 #: Lengths of n-grams, and bits of their hash.
 SIZES, BITS = (1, 2, 3), 15
-#: Documents of each language that the fit takes at most, by hash of the id. Counts for the IDF are of all documents.
+#: Different documents of each language that the fit takes, about, by hash of id and text. Counts for the IDF are of all documents.
 SAMPLE_ROWS = 1_000
+#: Languages that are learned at most, those with most documents: weights are dense in memory, a number for each and each bucket.
+MOST_LANGUAGES = 256
 #: The learner's step sizes and elastic-net penalties, and passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.05, 0.01, 3
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -115,11 +117,12 @@ def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """The model, from text and lang of documents that may be learned from, null languages left out.
 
     Document frequencies are of all of these; what a task sends is a count for each bucket. The fit takes about
-    sample_rows documents of each language, those whose hash is below the language's share.
+    sample_rows documents of each language, those whose hash is below the language's share, repeated ones once, and
+    knows MOST_LANGUAGES at most.
     """
     rows = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull() & ~held_out(docs[id_col])).select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(counts)
+    counts = written(rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES), "languages")
+    languages = sorted(r.lang for r in counts.collect())
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((1 << BITS) + 1, np.int64)  # the last: documents
@@ -135,20 +138,21 @@ def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     n = np.zeros((1 << BITS) + 1)
     n[df["bucket"].to_numpy()] = df["n"].to_numpy()
     idf = np.log((1 + n[-1]) / (1 + n[:-1])) + 1
-    shares = F.create_map(*[F.lit(x) for c in languages for x in (c, min(1.0, sample_rows / counts[c]))]) if languages else None
-    if shares is None:
+    if not languages:
         return Model([], idf, np.zeros((len(idf), 0), np.float32), 1.0)
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30) < shares[F.col("lang")])
+    h = F.xxhash64("id", "text")
+    share = F.broadcast(counts.select("lang", (F.lit(float(sample_rows)) / F.col("n")).alias("share")))  # a row for each language
+    sample = rows.join(share, "lang").where(F.pmod(h, F.lit(1 << 30)) / float(1 << 30) < F.col("share"))
+    sample = sample.groupBy(h.alias("id"), "lang").agg(F.max("text").alias("text")).select("id", "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [g if (g := grams(t)) is not None else (np.zeros(0, np.int64),) * 2 for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.astype(np.int32) for b, _ in found], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32())), batch.column(2)], ["id", "bucket", "count", "lang"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    found = mapped(sample, run, f"id {kind}, bucket array<int>, count array<int>, lang string").toArrow()
+    found = mapped(sample, run, "id long, bucket array<int>, count array<int>, lang string").toArrow()
     place = {c: j for j, c in enumerate(languages)}
-    keys = [("" if i is None else str(i), c) for i, c in zip(found["id"].to_pylist(), found["lang"].to_pylist(), strict=True)]
+    keys = list(zip(found["id"].to_pylist(), found["lang"].to_pylist(), strict=True))
     order = sorted(range(len(keys)), key=keys.__getitem__)
     examples = [(np.asarray(found["bucket"][i].values), np.asarray(found["count"][i].values), place[keys[i][1]]) for i in order]
     return fit([e for e in examples if len(e[0])], languages, idf)
