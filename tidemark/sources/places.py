@@ -8,9 +8,12 @@ from pyspark.sql import SparkSession
 
 
 def checkpoints(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors share; a local one only where none is named, as in tests."""
+    """The session's checkpoint folder, which all executors share. Where none is named, as in tests, a local one is set, but
+    on a cluster that is an error: executors don't share the driver's disk."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
