@@ -17,6 +17,6 @@ CONTRACT = {
 }
 
 
-@pytest.mark.parametrize("name", list(queries.QUERIES))
+@pytest.mark.parametrize("name", list(CONTRACT))
 def test_query_returns_its_columns(spark, sf, name):
     assert queries.QUERIES[name](spark, sf).columns == CONTRACT[name]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from tidemark.shipping import ship
+from tidemark.sources.places import checkpoints
 
 #: White space of the word rules, as a Java character class: words are maximal runs outside of it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,12 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset, a local one (single-machine sessions, tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    """A new folder under the session's checkpoint folder."""
+    return f"{checkpoints(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -64,7 +60,8 @@ BATCH_BYTES = 8 << 20
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """df.mapInArrow on executors that have this package, in batches of at most BATCH_BYTES and a row."""
+    """df.mapInArrow on executors that have this package, in batches of at most BATCH_BYTES and a row. Plans are made when they run,
+    so the session keeps that setting."""
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(run, schema)

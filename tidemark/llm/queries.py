@@ -72,7 +72,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_language, op3_top_k, op4_secrets, op5_jaccard, op6_decontaminate, op7_url_filter, op8_mixing, op9_html_text, op10_token_counts)}
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4's counts of base spans, which SQL can tell."""
+    return op4_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8 but for what it takes, which is drawn."""
+    return op8_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10's bytes."""
+    return op10_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_language, op3_top_k, op4_secrets, op5_jaccard, op6_decontaminate, op7_url_filter, op8_mixing, op9_html_text, op10_token_counts, secret_counts, mix_targets, text_bytes)}
 
 ORACLE_SQL = {
     "op3_top_k": """
@@ -114,4 +129,20 @@ m AS (SELECT page_id, host, path, h || p AS rule, v, row_number() OVER (PARTITIO
       FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1
 """,
+    "secret_counts": r"""
+SELECT doc_id,
+       len(list_filter(regexp_extract_all(coalesce(text, ''), '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: len(x) >= 8)) AS n_assign,
+       len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: len(x) >= 16)) AS n_access,
+       len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: len(x) >= 32)) AS n_hex
+FROM documents
+""",
+    "mix_targets": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY 3 * source_size / w, source) AS k FROM s),
+l AS (SELECT a.k, (SELECT sum(source_size) FROM s) AS total, coalesce((SELECT sum(3 * source_size) FROM o b WHERE b.k < a.k), 0) AS used, (SELECT sum(w) FROM o b WHERE b.k >= a.k) AS left_w, 3 * a.source_size / a.w AS most FROM o a),
+v AS (SELECT (total - used) / left_w AS level FROM l WHERE (total - used) / left_w <= most ORDER BY k LIMIT 1)
+SELECT doc_id, size, source_size, round(least(3 * source_size, w * (SELECT level FROM v)), 4) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+""",
+    "text_bytes": "SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents",
 }
