@@ -141,12 +141,35 @@ def test_object_differences_of_single_changes(spark):
         (("table", "n", "n", {"engine": "Log"}), ("table", "n", "n", {"engine": "Memory"}), [("recreate_table", "n", "WARN")]),
         (("table", "n", "n", {"settings": "a"}), ("table", "n", "n", {"settings": "b", "ttl": "x"}), [("alter_option", "settings", "WARN"), ("alter_option", "ttl", "INFO")]),
     ]
-    for old, new, want in cases:
-        a, b = (spark.createDataFrame([x for x in (table, side) if x], objects.OBJECTS) for side in (old, new))
-        ops = objects.object_diff(a, b)
-        assert sorted((r.op, r.name, r.severity) for r in ops.collect()) == want, (old, new)
-        back = objects.object_diff(b, a).drop("severity")
-        assert sorted(map(str, objects.undone(ops).collect())) == sorted(map(str, back.collect()))
+    # each case is a schema of its own, told apart by a number behind its tables' names
+    apart = lambda x, k: (x[0], f"{x[1]}.{k}", f"{x[2]}.{k}" if x[0] == "table" else x[2], x[3])
+    a, b = (spark.createDataFrame([apart(x, k) for k, case in enumerate(cases) for x in (table, case[side]) if x], objects.OBJECTS) for side in (0, 1))
+    ops = objects.object_diff(a, b)
+    found = ops.collect()
+    got = [sorted((r.op, r.name.split(".")[0], r.severity) for r in found if r.table.endswith(f".{k}")) for k in range(len(cases))]
+    assert got == [want for *_, want in cases]
+    back = objects.object_diff(b, a).drop("severity")
+    assert sorted(map(str, objects.undone(ops).collect())) == sorted(map(str, back.collect()))
+
+
+def test_statements_of_every_operation(spark):
+    column, table = {"type": "int", "nullable": "false", "default": "0"}, ("table", "t", "t", {"engine": "MergeTree"})
+    old = [table, ("column", "t", "a", {"type": "int", "nullable": "true"}), ("column", "t", "gone", column), ("index", "t", "i", {"columns": "a"}), ("unique", "t", "u", {"columns": "a"}), ("foreign_key", "t", "f", {"columns": "a", "referenced_table": "s"}), ("view", "", "v", {"select": "SELECT 1"}), ("table", "m", "m", {"engine": "Log"}), ("enum", "", "e", {"values": "a"})]
+    new = [("table", "t", "t", {"engine": "MergeTree", "comment": "it's", "ttl": "x"}), ("column", "t", "a", {"type": "bigint", "nullable": "false", "default": "1", "comment": "c"}), ("column", "t", "b", column), ("index", "t", "i", {"columns": "a", "unique": "true", "where": "a > 0"}), ("unique", "t", "w", {"columns": "a"}), ("check", "t", "k", {"expression": "a > 0"}), ("foreign_key", "t", "f", {"columns": "a", "referenced_table": "s", "referenced_columns": "id", "on_delete": "cascade"}), ("table", "n", "n", {}), ("column", "n", "x", column), ("table", "m", "m", {"engine": "Memory"}), ("column", "m", "x", column), ("enum", "", "e", {"values": "a,b"})]
+    a, b = (spark.createDataFrame(x, objects.OBJECTS) for x in (old, new))
+    ops = objects.object_diff(a, b)
+    got = {r.sql for r in objects.statements(ops, objects.definitions(b)).collect()}
+    assert got == {
+        "ALTER TABLE t SET (ttl = 'x')", "COMMENT ON TABLE t IS 'it''s'", "ALTER TABLE t ALTER COLUMN a TYPE bigint", "ALTER TABLE t ALTER COLUMN a SET NOT NULL", "ALTER TABLE t ALTER COLUMN a SET DEFAULT 1", "COMMENT ON COLUMN t.a IS 'c'",
+        "ALTER TABLE t ADD COLUMN b INT NOT NULL DEFAULT 0", "ALTER TABLE t DROP COLUMN gone", "DROP INDEX i", "CREATE UNIQUE INDEX i ON t (a) WHERE a > 0", "ALTER TABLE t RENAME CONSTRAINT u TO w", "ALTER TABLE t ADD CONSTRAINT k CHECK (a > 0)",
+        "ALTER TABLE t DROP CONSTRAINT f", "ALTER TABLE t ADD CONSTRAINT f FOREIGN KEY (a) REFERENCES s (id) ON DELETE CASCADE", "DROP VIEW v", "CREATE TABLE n (x INT NOT NULL DEFAULT 0)", "ALTER TYPE e VALUES (a,b)",
+        "CREATE TABLE m__new (x INT NOT NULL DEFAULT 0); INSERT INTO m__new SELECT * FROM m; ALTER TABLE m RENAME TO m__old; ALTER TABLE m__new RENAME TO m",
+    }
+    with pytest.raises(Exception, match="no definition of table"):
+        objects.statements(ops, objects.definitions(a.where("false"))).collect()
+    with pytest.raises(Exception, match="drop_column of t.gone can't be undone"):
+        objects.approved(ops, ops.where("false")).collect()
+    assert objects.approved(ops, ops.where("op = 'drop_column'")).count() == ops.count()
 
 
 def test_samples_are_whole_keys_and_add_up(spark):

@@ -126,3 +126,72 @@ def own_objects(objects: DataFrame, tables: list[str] | None = None, system: str
     """objects without those of tables whose names match system; with tables, of these only."""
     kept = objects.where(~F.coalesce(F.col("table").rlike(system), F.lit(False)))
     return kept if tables is None else kept.where(F.col("table").isin(tables))
+
+
+def _definition(side: str, name: Column) -> Column:
+    """What an object is in a statement, behind its name: from its properties as object_diff() tells them, a JSON text."""
+    of = lambda p: F.get_json_object(side, f"$.{p}")
+    kind = F.col("kind")
+    actions = F.concat_ws(" ", *(F.when(of(p).isNotNull(), F.concat(F.lit(f"{p.upper().replace('_', ' ')} "), F.upper(of(p)))) for p in ("on_delete", "on_update")))
+    return (
+        F.when(kind == "column", F.concat_ws(" ", name, F.upper(of("type")), F.when(of("nullable") == "false", F.lit("NOT NULL")), F.when(of("default").isNotNull(), F.concat(F.lit("DEFAULT "), of("default")))))
+        .when(kind == "index", F.concat(F.when(of("unique") == "true", F.lit("UNIQUE ")).otherwise(F.lit("")), F.lit("INDEX "), name, F.lit(" ON "), F.col("table"), F.lit(" ("), of("columns"), F.lit(")"), F.coalesce(F.concat(F.lit(" WHERE "), of("where")), F.lit(""))))
+        .when(kind == "unique", F.concat(F.lit("CONSTRAINT "), name, F.lit(" UNIQUE ("), of("columns"), F.lit(")")))
+        .when(kind == "check", F.concat(F.lit("CONSTRAINT "), name, F.lit(" CHECK ("), of("expression"), F.lit(")")))
+        .when(kind == "exclude", F.concat(F.lit("CONSTRAINT "), name, F.lit(" EXCLUDE "), of("expression")))
+        .when(kind == "foreign_key", F.rtrim(F.concat(F.lit("CONSTRAINT "), name, F.lit(" FOREIGN KEY ("), of("columns"), F.lit(") REFERENCES "), of("referenced_table"), F.coalesce(F.concat(F.lit(" ("), of("referenced_columns"), F.lit(")")), F.lit("")), F.lit(" "), actions)))
+        .when(kind == "view", F.concat(F.lit("VIEW "), name, F.lit(" AS "), of("select")))
+        .when(kind == "enum", F.concat(F.lit("TYPE "), name, F.lit(" AS ENUM ("), F.concat(F.lit("'"), F.array_join(F.split(of("values"), ","), "', '"), F.lit("'")), F.lit(")")))
+    )
+
+
+def statements(ops: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(op, kind, table, name, sql) of ops from object_diff(), as statements; definitions: (table, sql) of tables that are created or made anew.
+
+    A table made anew is created beside, filled and swapped, as one script. Kinds without a statement, and tables without a
+    definition, are an error when the row is read.
+    """
+    op, kind, t, n, was, now = (F.col(c) for c in ("op", "kind", "table", "name", "was", "now"))
+    put = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    alter = lambda *parts: put("ALTER TABLE ", t, " ", *parts)
+    column = lambda *parts: alter("ALTER COLUMN ", n, " ", *parts)
+    quoted = lambda c: F.coalesce(put("'", F.replace(c, F.lit("'"), F.lit("''")), "'"), F.lit("NULL"))
+    missing = F.raise_error(put("no definition of table ", t)).cast("string")
+    made = F.coalesce("definition", missing)
+    beside = F.regexp_replace(made, r"^CREATE TABLE (\S+)", "CREATE TABLE $1__new")
+    rules = [
+        (op == "create_table", made), (op == "drop_table", put("DROP TABLE ", t)),
+        (op == "recreate_table", put(beside, "; INSERT INTO ", t, "__new SELECT * FROM ", t, "; ALTER TABLE ", t, " RENAME TO ", t, "__old; ALTER TABLE ", t, "__new RENAME TO ", t)),
+        (op == "add_column", alter("ADD COLUMN ", _definition("now", n))), (op == "drop_column", alter("DROP COLUMN ", n)),
+        (op == "alter_column_type", column("TYPE ", now)),
+        (op == "alter_column_nullable", column(F.when(now == "false", F.lit("SET NOT NULL")).otherwise(F.lit("DROP NOT NULL")))),
+        (op == "alter_column_default", column(F.coalesce(put("SET DEFAULT ", now), F.lit("DROP DEFAULT")))),
+        (op == "alter_column_autoincrement", column(F.when(now == "true", F.lit("ADD GENERATED BY DEFAULT AS IDENTITY")).otherwise(F.lit("DROP IDENTITY")))),
+        (op == "alter_column_comment", put("COMMENT ON COLUMN ", t, ".", n, " IS ", quoted(now))), (op == "alter_table_comment", put("COMMENT ON TABLE ", t, " IS ", quoted(now))),
+        (op == "alter_option", alter(F.when(now.isNull(), put("RESET (", n, ")")).otherwise(put("SET (", n, " = ", quoted(now), ")")))),
+        (op == "rename_unique", alter("RENAME CONSTRAINT ", was, " TO ", now)),
+        (op == "alter_enum", put("ALTER TYPE ", n, " VALUES (", F.coalesce(now, F.lit("")), ")")),
+        (op.isin("add_index", "create_view", "create_enum"), put("CREATE ", _definition("now", n))),
+        (op == "drop_index", put("DROP INDEX ", n)), (op == "drop_view", put("DROP VIEW ", n)), (op == "drop_enum", put("DROP TYPE ", n)),
+        (op.startswith("add_") & kind.isin("unique", "check", "exclude", "foreign_key"), alter("ADD ", _definition("now", n))),
+        (op.startswith("drop_") & kind.isin("unique", "check", "exclude", "foreign_key"), alter("DROP CONSTRAINT ", n)),
+    ]
+    sql = F.raise_error(put("no statement for ", op)).cast("string")
+    for when, text in reversed(rules):
+        sql = F.when(when, text).otherwise(sql)
+    named = definitions.select(F.col("table").alias("__table"), F.col("sql").alias("definition"))
+    return ops.join(named, t == F.col("__table"), "left").select("op", "kind", "table", "name", sql.alias("sql"))
+
+
+def irreversible(ops: DataFrame) -> DataFrame:
+    """ops that can't be undone without losing rows: what drops tables or columns, and tables made anew with an engine that
+    may merge rows away."""
+    lossy = (F.col("op") == "recreate_table") & (engine_change_class(F.col("was"), F.col("now")) == "irreversible")
+    return ops.where(F.col("op").isin("drop_table", "drop_column") | lossy)
+
+
+def approved(ops: DataFrame, allowed: DataFrame) -> DataFrame:
+    """ops, failing when one is read that can't be undone and isn't in allowed (op, table, name): the contract of a rollback."""
+    bad = irreversible(ops).select("op", "table", "name").withColumn("__bad", F.lit(True)).distinct()
+    bad = bad.join(allowed.select("op", "table", "name").distinct(), ["op", "table", "name"], "left_anti")
+    return ops.join(bad, ["op", "table", "name"], "left").where(F.assert_true(F.col("__bad").isNull(), F.concat(F.col("op"), F.lit(" of "), F.col("table"), F.lit("."), F.col("name"), F.lit(" can't be undone and isn't allowed"))).isNull()).select(ops.columns)

@@ -108,6 +108,18 @@ def table_definitions(spark: SparkSession, d: str) -> DataFrame:
     return objects.definitions(side(spark, d, "old").where("kind <> 'foreign_key'"))
 
 
+@query(f"""WITH {DIFF[5:]}""".replace("SELECT 'create_table' AS op", "SELECT op, \"table\", name, CASE WHEN op = 'drop_table' THEN 'DROP TABLE ' || \"table\" WHEN op = 'drop_column' THEN 'ALTER TABLE ' || \"table\" || ' DROP COLUMN ' || name WHEN op = 'drop_index' THEN 'DROP INDEX ' || name ELSE 'ALTER TABLE ' || \"table\" || ' DROP CONSTRAINT ' || name END AS sql FROM (SELECT 'create_table' AS op", 1) + ") WHERE op LIKE 'drop%'")
+def drop_statements(spark: SparkSession, d: str) -> DataFrame:
+    """What drops in the difference of two generated schemas, as statements."""
+    tables = objects.definitions(side(spark, d, "new"))
+    return objects.statements(changes(spark, d), tables).where("op LIKE 'drop%'").select("op", "table", "name", "sql")
+
+
+@query(f"""WITH {DIFF[5:]}""".replace("SELECT 'create_table' AS op", "SELECT op, \"table\", name FROM (SELECT 'create_table' AS op", 1) + ") WHERE op IN ('drop_table', 'drop_column', 'recreate_table')")
+def irreversible_operations(spark: SparkSession, d: str) -> DataFrame:
+    return objects.irreversible(changes(spark, d)).select("op", "table", "name")
+
+
 ENUMS = [(["a", "b"], ["a", "b"], "SAFE"), (["a", "b"], ["b", "a"], "SAFE"), (["a"], ["a", "c"], "WARN"), (["a", "b"], ["a"], "CRITICAL"), (["a", "b"], ["b", "c"], "CRITICAL"), (["a"], ["z"], "CRITICAL")]
 
 
