@@ -100,6 +100,7 @@ def test_publish_changes_a_catalog_table_at_once(spark, tmp_path):
     spark.sql("CREATE OR REPLACE TEMPORARY VIEW tidemark_over AS SELECT id + 1 AS x FROM tidemark_published")
     kept = dml.publish(spark, "tidemark_published", spark.table("tidemark_published").where("id > 0"), at, keep_old=True)
     assert spark.table("tidemark_published").count() == 2 and spark.table("tidemark_over").count() == 2 and spark.read.parquet(kept).count() == 3
+    spark.sql("DROP VIEW tidemark_over")
     spark.sql("DROP TABLE tidemark_published")
 
 

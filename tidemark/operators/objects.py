@@ -6,6 +6,8 @@ with their properties as text. Schemas of any number of tables are compared, ord
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,10 +113,13 @@ def definitions(objects: DataFrame) -> DataFrame:
     return parts.select("table", F.concat(F.lit("CREATE TABLE "), "table", F.lit(" ("), F.array_join(F.transform("parts", lambda p: p["part"]), ", "), F.lit(")")).alias("sql"))
 
 
-def catalog_objects(spark: SparkSession, database: str | None = None) -> DataFrame:
-    """Tables, views and columns of the session's catalog as objects. Names and types only are read, on the driver, table by table."""
+def catalog_objects(spark: SparkSession, database: str | None = None, pattern: str = ".*") -> DataFrame:
+    """Tables, views and columns of the session's catalog as objects, of those whose whole name matches. Names and types only are
+    read, on the driver, table by table; a view that can't be resolved is an error."""
     rows = []
     for t in spark.catalog.listTables(database) if database else spark.catalog.listTables():
+        if not re.fullmatch(pattern, t.name):
+            continue
         kind = "view" if t.tableType in ("VIEW", "TEMPORARY") else "table"
         rows.append((kind, t.name, t.name, {"comment": t.description} if t.description else {}))
         name = t.name if t.isTemporary else ".".join([*(t.namespace or []), t.name])

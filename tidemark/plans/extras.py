@@ -135,7 +135,7 @@ def catalog_columns(spark: SparkSession, d: str) -> DataFrame:
     for t in ("nation", "region"):
         load(spark, d, t).createOrReplaceTempView(t)
     load(spark, d, "nation").createOrReplaceTempView("tidemark_lock")
-    found = objects.own_objects(objects.catalog_objects(spark), ["nation", "region", "tidemark_lock"]).where("kind = 'column'").select("table", "name")
+    found = objects.own_objects(objects.catalog_objects(spark, pattern="nation|region|tidemark_lock"), ["nation", "region", "tidemark_lock"]).where("kind = 'column'").select("table", "name")
     for t in ("nation", "region", "tidemark_lock"):
         spark.catalog.dropTempView(t)
     return found
