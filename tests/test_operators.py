@@ -173,6 +173,22 @@ def test_statements_of_every_operation(spark):
     assert objects.approved(ops, ops.where("op = 'drop_column'")).count() == ops.count()
 
 
+def test_snapshots_are_whole_and_checked(spark, tmp_path):
+    from tidemark.sources import files
+
+    at = f"file://{tmp_path}/s"
+    one = files.snapshot_of(spark.createDataFrame([("t", "a", "int", True, None)], "table string, name string, type string, nullable boolean, default string"))
+    assert files.latest_snapshot(spark, at) is None
+    for version in ("2", "10", "1.5"):
+        files.write_snapshot(one, at, version)
+    assert files.latest_snapshot(spark, at).endswith("snapshot_10")
+    with pytest.raises(ValueError, match="there is a snapshot 2"):
+        files.write_snapshot(one, at, "2")
+    files.write_snapshot(one.withColumn("json", F.lit("{}")), at, "11")
+    with pytest.raises(Exception, match="isn't what was written"):
+        files.read_snapshot(spark, files.latest_snapshot(spark, at)).collect()
+
+
 def test_samples_are_whole_keys_and_add_up(spark):
     rows = spark.range(1000).withColumn("k", F.col("id") % 100)
     parts = [layout.sampled(rows, F.col("k"), 0.25, i / 4) for i in range(4)]

@@ -50,11 +50,12 @@ def interval_calls(sql: Column) -> Column:
 
 
 def normal_default(value: Column) -> Column:
-    """A default without casts, outer quotes or parentheses; the spellings of the current time are one."""
+    """A default without casts, outer quotes or parentheses; the spellings of the current time are one, and so are those of
+    true and of false."""
     bare = F.regexp_replace(F.trim(value), r"::[\w\s]+(\[\])?$", "")
     bare = F.regexp_replace(F.regexp_replace(bare, r"^\((.*)\)$", "$1"), r"^'(.*)'$", "$1")
     now = F.lower(bare).isin("now()", "current_timestamp", "current_timestamp()", "localtimestamp", "getdate()")
-    return F.when(value.isNull(), None).when(now, F.lit("now")).otherwise(bare)
+    return F.when(value.isNull(), None).when(now, F.lit("now")).when(F.upper(bare).isin("TRUE", "FALSE"), F.upper(bare)).otherwise(bare)
 
 
 def normal_index_column(name: Column) -> Column:
@@ -131,6 +132,16 @@ def slug(text: Column, most: int = 50) -> Column:
     return F.rtrim(F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "_"), r"^_+|_+$", ""), 1, most), F.lit("_"))
 
 
+def plural(word: Column) -> Column:
+    """An operation's name for several of them: policies, indexes, columns; what ends in s stays."""
+    return F.when(word.endswith("s"), word).when(word.rlike("[^aeiou]y$"), F.regexp_replace(word, "y$", "ies")).when(word.rlike("(x|ch|sh)$"), F.concat(word, F.lit("es"))).otherwise(F.concat(word, F.lit("s")))
+
+
+def output_name(expression: Column) -> Column:
+    """The name of a column that an SQL expression makes: what stands behind its last AS, or else the expression."""
+    return F.trim(F.element_at(F.split(expression, r"(?i)\s+AS\s+"), -1))
+
+
 def version_key(version: Column) -> Column:
     """A dotted version as numbers, which compare in the right order."""
     return F.transform(F.split(version, r"\."), lambda p: p.cast("int"))

@@ -171,3 +171,42 @@ def published_table(spark: SparkSession, d: str) -> DataFrame:
     out = spark.read.parquet(spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").first()["data_type"]).select("n_nationkey", "n_name")
     spark.sql(f"DROP TABLE {name}")
     return out
+
+
+PLURALS = [("add_column", "add_columns"), ("drop_index", "drop_indexes"), ("add_policy", "add_policies"), ("alter_pg_rls", "alter_pg_rls"), ("refresh_matview", "refresh_matviews"), ("create_table", "create_tables"), ("alter_key", "alter_keys")]
+
+
+@query(f"SELECT a, b FROM {values(PLURALS, 'a, b')}")
+def plural_names(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([p[:1] for p in PLURALS], "a string").withColumn("b", S.plural(F.col("a")))
+
+
+NAMES = [("toDate(event_time) AS day", "day"), ("user_id", "user_id"), (" sum(x)  as  total ", "total"), ("CAST(a AS INT) AS b", "b"), ("count()", "count()")]
+
+
+@query(f"SELECT a, b FROM {values(NAMES, 'a, b')}")
+def output_names(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([n[:1] for n in NAMES], "a string").withColumn("b", S.output_name(F.col("a")))
+
+
+@query("""SELECT 't' || p_partkey % 7 AS "table", 'c' || p_partkey AS name, CASE WHEN p_size > 20 THEN 'bigint' ELSE 'text' END AS type, p_size % 2 = 0 AS nullable FROM part""")
+def snapshot_files(spark: SparkSession, d: str) -> DataFrame:
+    """A schema written as two versions of a snapshot; the latest is found, checked and read back."""
+    from tidemark.sources import files
+
+    columns = load(spark, d, "part").select(F.concat(F.lit("t"), F.col("p_partkey") % 7).alias("table"), F.concat(F.lit("c"), "p_partkey").alias("name"), F.when(F.col("p_size") > 20, "bigint").otherwise("text").alias("type"), (F.col("p_size") % 2 == 0).alias("nullable"), F.lit(None).cast("string").alias("default"))
+    at = place(spark, "snapshots")
+    files.write_snapshot(files.snapshot_of(columns.where("name = 'c1'")), at, "0009")
+    files.write_snapshot(files.snapshot_of(columns), at, "0010")
+    return files.snapshot_columns(files.read_snapshot(spark, files.latest_snapshot(spark, at))).select("table", "name", "type", "nullable")
+
+
+@query("SELECT event_type, true AS users_near, true AS median_near FROM events GROUP BY 1")
+def sketches_are_near(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches, merged from the states of blocks, against the exact answers: counts of values within 5 %, the median within 2 % of the ranks."""
+    e = load(spark, d, "events")
+    sketches = [agg.uniq("user_id", "users"), agg.quantile("value", 0.5, "median")]
+    states = state_table(e, {"event_type": F.col("event_type"), "block": F.col("event_id") % 5}, sketches)
+    about = finalised(states, ["event_type"], sketches)
+    exact = e.join(F.broadcast(about.select("event_type", "median")), "event_type").groupBy("event_type").agg(F.count_distinct("user_id").alias("n"), (F.count_if(F.col("value") <= F.col("median")) / F.count("value")).alias("share"))
+    return exact.join(about, "event_type").select("event_type", (F.abs(F.col("users") - F.col("n")) <= 0.05 * F.col("n")).alias("users_near"), (F.abs(F.col("share") - 0.5) < 0.02).alias("median_near"))

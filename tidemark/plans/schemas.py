@@ -118,7 +118,9 @@ def ops_in_order(spark: SparkSession, d: str) -> DataFrame:
     return schema_diff.ordered(schema_diff.diff(old(spark), new(spark))).select("seq", "op", "table")
 
 
-@query()
+@query(f"""WITH s AS (SELECT *, row_number() OVER (ORDER BY list_position({list(schema_diff.OP_ORDER)}, op), "table", name NULLS FIRST) AS seq FROM ({DIFF})),
+p AS (SELECT '[' || string_agg('{{"op":"' || op || '","table":"' || "table" || '"' || coalesce(',"name":"' || name || '"', '') || ',"severity":"' || CASE WHEN op IN ('drop_table', 'drop_column') THEN 'CRITICAL' ELSE 'SAFE' END || '"}}', ',' ORDER BY seq) || ']' AS plan FROM s)
+SELECT plan, sha256(plan) AS checksum FROM p""")
 def migration_plan(spark: SparkSession, d: str) -> DataFrame:
     return schema_diff.plan(schema_diff.diff(old(spark), new(spark)))
 
@@ -244,9 +246,9 @@ def sqlite_types(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(t,) for t, _ in SQLITE], "a string").withColumn("b", S.sqlite_type(F.col("a")))
 
 
-@query("SELECT * FROM (VALUES ('now()', 'now'), ('CURRENT_TIMESTAMP', 'now'), ('''x''::text', 'x'), ('(5)', '5'), ('0', '0')) v(a, b)")
+@query("SELECT * FROM (VALUES ('now()', 'now'), ('CURRENT_TIMESTAMP', 'now'), ('''x''::text', 'x'), ('(5)', '5'), ('0', '0'), ('true', 'TRUE'), ('False', 'FALSE'), ('''true''', 'TRUE')) v(a, b)")
 def normal_defaults(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([("now()",), ("CURRENT_TIMESTAMP",), ("'x'::text",), ("(5)",), ("0",)], "a string").withColumn("b", S.normal_default(F.col("a")))
+    return spark.createDataFrame([("now()",), ("CURRENT_TIMESTAMP",), ("'x'::text",), ("(5)",), ("0",), ("true",), ("False",), ("'true'",)], "a string").withColumn("b", S.normal_default(F.col("a")))
 
 
 @query("SELECT * FROM (VALUES ('at + INTERVAL 30 DAY', 'at + toIntervalDay(30)'), ('at + INTERVAL ''1'' YEAR DELETE', 'at + toIntervalYear(1) DELETE')) v(a, b)")

@@ -47,3 +47,34 @@ def parsed(files: DataFrame) -> DataFrame:
         F.explode(F.array(F.struct(F.lit("upgrade").alias("section"), statements(up).alias("sql")), F.struct(F.lit("rollback").alias("section"), statements(down).alias("sql")))).alias("s"),
     )
     return cut.select("filename", "version", "depends_on", "description", "checksum", "s.section", F.posexplode("s.sql").alias("seq", "sql"))
+
+
+def write_snapshot(snapshot: DataFrame, folder: str, version: str) -> str:
+    """Writes a snapshot (json, checksum) of one row under folder as that version, and returns its path. It is written beside and renamed, so
+    that a snapshot is there whole or not at all; a version that is there already is an error."""
+    spark = snapshot.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    at, new = f"{folder.rstrip('/')}/snapshot_{version}", f"{folder.rstrip('/')}/_new_{version}"
+    snapshot.select("json", "checksum").coalesce(1).write.mode("overwrite").parquet(new)
+    files = path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(path(at)) or not files.rename(path(new), path(at)):
+        raise ValueError(f"there is a snapshot {version} in {folder}")
+    return at
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """(json, checksum) of a written snapshot; reading it fails if its text isn't the one that its checksum was made of."""
+    rows = spark.read.parquet(path)
+    return rows.where(F.assert_true(F.sha2("json", 256) == F.col("checksum"), f"{path} isn't what was written").isNull())
+
+
+def latest_snapshot(spark: SparkSession, folder: str) -> str | None:
+    """The path of the greatest version in folder, by its dotted numbers; None without one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+    found = [n for n in names if n.startswith("snapshot_")]
+    if not found:
+        return None
+    key = lambda n: [(0, int(p), "") if p.isdigit() else (1, 0, p) for p in n.removeprefix("snapshot_").split(".")]
+    return f"{folder.rstrip('/')}/{max(found, key=key)}"
