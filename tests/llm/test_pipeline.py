@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm.common import table
+from tidemark.llm.common import LOWER, table
 
 
 def test_stages_keep_the_columns_and_take_effect(spark):
@@ -49,3 +49,31 @@ def test_rows_without_an_id_and_repeated_ids_stay_apart(spark, sf):
     assert got == [(0, "word1x0"), (0, "word2x0"), (5, ""), (5, ""), (7, "word3x0"), (7, "word4x0")]
     mixed = corpus_pipeline.mix_sources(spark, docs.union(docs), sf)
     assert mixed.where("text = ''").count() == 0 and mixed.select("text").distinct().count() == 5 and mixed.agg(F.sum("taken")).first()[0] == 422
+
+
+def test_stages_against_brute_force(spark, sf):
+    """Each stage's rows on the small tables, from those that the stage before it left: near copies by all pairs of sets, benchmark
+    windows by search, masks by the spans of each text, and the mix by its targets."""
+    from tests.llm.test_table_operators import brute_components, brute_hits
+    from tidemark.llm import secrets
+
+    docs = {}
+    frame = table(spark, sf, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = corpus_pipeline.written(stage(spark, frame, sf), name)
+        docs[name] = {r.doc_id: r.text for r in frame.collect()}
+        assert len(docs[name]) == frame.count()
+    found = brute_components(docs["toxicity"].items())
+    assert docs["near_duplicates"] == {i: docs["toxicity"][i] for i, (_, part, _) in found.items() if part == i}
+    hits = brute_hits(docs["near_duplicates"].items(), [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()])
+    assert docs["decontamination"] == {i: t for i, t in docs["near_duplicates"].items() if not hits[i][3]}
+    words = secrets.Words(secrets.vocabulary_words(corpus_pipeline.vocabulary()))
+    assert docs["secrets"] == {i: t and secrets.masked(t, secrets.spans(t, words)) for i, t in docs["decontamination"].items()}
+    mixed = corpus_pipeline.mix_sources(spark, frame, sf).collect()
+    sizes, taken, targets = {}, {}, {r.source: r.target for r in mixed}
+    for r in frame.collect():
+        sizes.setdefault(r.source, []).append(len((r.text or "").encode().translate(LOWER).split()))
+    for r in mixed:
+        assert r.text == docs["secrets"][r.doc_id] and r.taken == r.copies * r.size and 0 < r.taken <= 3 * r.size and r.source_size == sum(sizes[r.source])
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert all(abs(taken[s] - targets[s]) <= max(sizes[s]) / 2 + 1e-6 for s in targets) and len({r.doc_id for r in mixed}) == len(mixed)
