@@ -26,14 +26,6 @@ def test_merged_states_of_any_blocks_are_the_direct_answer(rows, parts):
             assert g[name] == pytest.approx(w[name]) if isinstance(g[name], float) else g[name] == w[name], name
 
 
-def test_states_of_exact_quantiles_hold_each_value_once(rows):
-    every = [agg.quantile_exact("x", 0.5, "q")]
-    states = state_table(rows.withColumn("b", F.col("t") % 4), {"k": F.col("k"), "b": F.col("b")}, every)
-    merged = merged_states(states, ["k"], every).collect()
-    assert all(sorted({p.v for p in r.q}) == [p.v for p in r.q] and len(r.q) <= 7 for r in merged)
-    assert sum(p.n for r in merged for p in r.q) == rows.where("x IS NOT NULL").count()
-
-
 def test_states_of_another_function_are_refused(rows):
     states = state_table(rows, {"k": F.col("k")}, [agg.min("x", "v")])
     with pytest.raises(TypeError):

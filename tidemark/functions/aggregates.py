@@ -126,30 +126,16 @@ class agg:  # noqa: N801  a namespace, written like the functions it holds
 
     @staticmethod
     def quantile_exact(x: Column | str, level: float = 0.5, alias: str = "quantile_exact") -> Aggregate:
-        """Interpolated. The state holds each distinct value once, with its count, so it suits columns with few of them."""
+        """Interpolated. The state holds all values of a block, so it suits groups of few rows; of many, take quantile()."""
         c = _column(x).cast("double")
 
-        def runs(pairs: Column) -> Column:
-            """Pairs (v, n), sorted by v, with those of one v as one."""
-            starts = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: (i == 0) | ~F.get(pairs, i)["v"].eqNullSafe(F.get(pairs, i - 1)["v"]))
-            part = lambda s, i: F.slice(pairs, s + 1, F.coalesce(F.get(starts, i + 1), F.size(pairs)) - s)
-            count = lambda s, i: F.aggregate(part(s, i), F.lit(0).cast("long"), lambda n, p: n + p["n"])
-            found = F.transform(starts, lambda s, i: F.struct(F.get(pairs, s)["v"].alias("v"), count(s, i).alias("n")))
-            return F.when(F.size(pairs) > 0, found).otherwise(F.array().cast("array<struct<v:double,n:bigint>>"))
+        def final(values: Column) -> Column:
+            s = F.array_sort(values)
+            at = (F.size(s) - 1) * F.lit(level)
+            low, high = F.get(s, F.floor(at).cast("int")), F.get(s, F.ceil(at).cast("int"))
+            return low + (high - low) * (at - F.floor(at))
 
-        state = runs(F.transform(F.array_sort(F.collect_list(c)), lambda v: F.struct(v.alias("v"), F.lit(1).cast("long").alias("n"))))
-
-        def final(pairs: Column) -> Column:
-            at = (F.aggregate(pairs, F.lit(0).cast("long"), lambda n, p: n + p["n"]) - 1) * F.lit(level)
-            start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
-
-            def step(s: Column, p: Column) -> Column:
-                n = s["n"] + p["n"]
-                return F.struct(n.alias("n"), F.when(s["low"].isNull() & (n > F.floor(at)), p["v"]).otherwise(s["low"]).alias("low"), F.when(s["high"].isNull() & (n > F.ceil(at)), p["v"]).otherwise(s["high"]).alias("high"))
-
-            return F.aggregate(pairs, start, step, lambda s: s["low"] + (s["high"] - s["low"]) * (at - F.floor(at)))
-
-        return Aggregate(f"quantile_exact({level})", alias, F.percentile(c, F.lit(level)), state, lambda s: runs(F.array_sort(F.flatten(F.collect_list(s)))), final)
+        return Aggregate(f"quantile_exact({level})", alias, F.percentile(c, F.lit(level)), F.collect_list(c), lambda s: F.flatten(F.collect_list(s)), final)
 
     @staticmethod
     def raw(direct: str, state: str, merge: str, final: str = "s", alias: str = "raw", name: str = "raw") -> Aggregate:
