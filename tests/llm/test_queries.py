@@ -14,6 +14,7 @@ CONTRACT = {
     "op4_secrets": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"], "op5_jaccard": ["doc_id", "n_shingles", "component_id", "n_links"],
     "op6_decontaminate": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"], "op7_url_filter": ["page_id", "host", "path", "rule", "verdict"],
     "op8_mixing": ["doc_id", "size", "source_size", "target", "taken"], "op9_html_text": ["page_id", "url", "text", "n_chars"], "op10_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+    "op11_nearest": ["query_id", "rank", "vec_id", "score"], "op12_vector_codes": ["vec_id", "code", "error", "label_error", "codebooks_sha256"], "op13_spelling": ["word", "form", "root", "n", "n_near", "form_n"],
 }
 
 

@@ -14,9 +14,12 @@ from tidemark.llm.html_text import extract_text
 from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.knn import top_k
 from tidemark.llm.mixing import mix
+from tidemark.llm.neighbours import nearest
 from tidemark.llm.secrets import secret_scan
+from tidemark.llm.spelling import spelling_variants
 from tidemark.llm.tokens import token_counts
 from tidemark.llm.url_filter import filter_urls
+from tidemark.llm.vector_codes import vector_codes
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -72,6 +75,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4's counts of base spans, which SQL can tell."""
     return op4_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -87,7 +102,7 @@ def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_language, op3_top_k, op4_secrets, op5_jaccard, op6_decontaminate, op7_url_filter, op8_mixing, op9_html_text, op10_token_counts, secret_counts, mix_targets, text_bytes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_language, op3_top_k, op4_secrets, op5_jaccard, op6_decontaminate, op7_url_filter, op8_mixing, op9_html_text, op10_token_counts, op11_nearest, op12_vector_codes, op13_spelling, secret_counts, mix_targets, text_bytes)}
 
 ORACLE_SQL = {
     "op3_top_k": """
@@ -128,6 +143,36 @@ r(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), (
 m AS (SELECT page_id, host, path, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST) AS k
       FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1
+""",
+    "op12_vector_codes": """
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, m, v[m * 4 + 1:m * 4 + 4] AS s FROM k, range(16) t(m)),
+b0 AS MATERIALIZED (SELECT m, r - 1 AS e, s FROM p WHERE r <= 64),
+a0 AS (SELECT p.r, p.m, any_value(p.s) AS s, arg_min(e, (list_sum(list_transform(list_zip(p.s, b.s), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, e)) AS e FROM p JOIN b0 b ON p.m = b.m GROUP BY p.r, p.m),
+n0 AS (SELECT m, e, list_transform(range(1, 5), lambda i: floor(list_sum(list_transform(l, lambda x: x[i]))::DOUBLE / len(l))::BIGINT) AS s FROM (SELECT m, e, list(s) AS l FROM a0 GROUP BY m, e)),
+b1 AS MATERIALIZED (SELECT m, e, coalesce(n.s, b.s) AS s FROM b0 b LEFT JOIN n0 n USING (m, e)),
+a1 AS (SELECT p.r, p.m, any_value(p.s) AS s, arg_min(e, (list_sum(list_transform(list_zip(p.s, b.s), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, e)) AS e FROM p JOIN b1 b ON p.m = b.m GROUP BY p.r, p.m),
+n1 AS (SELECT m, e, list_transform(range(1, 5), lambda i: floor(list_sum(list_transform(l, lambda x: x[i]))::DOUBLE / len(l))::BIGINT) AS s FROM (SELECT m, e, list(s) AS l FROM a1 GROUP BY m, e)),
+b2 AS MATERIALIZED (SELECT m, e, coalesce(n.s, b.s) AS s FROM b1 b LEFT JOIN n1 n USING (m, e)),
+a2 AS (SELECT p.r, p.m, min((list_sum(list_transform(list_zip(p.s, b.s), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, e)) AS best FROM p JOIN b2 b ON p.m = b.m GROUP BY p.r, p.m),
+c AS (SELECT r, string_agg(printf('%02x', best[2]), '' ORDER BY m) AS code, sum(best[1])::BIGINT AS error FROM a2 GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY m, e)) FROM b2) AS codebooks_sha256 FROM c JOIN k USING (r)
+""",
+    "op13_spelling": r"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) ORDER BY i) AS crc FROM range(256) r(i)),
+d AS (SELECT coalesce(doc_id::VARCHAR, '') AS of, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+g AS (SELECT of, run, count(*) AS n, hex(encode(of || ':' || run)) AS x FROM d GROUP BY of, run),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT)), lambda a, b: xor(a // 256, crc[(xor(a, b) % 256 + 1)::BIGINT]))) AS h FROM g, t),
+w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN run[1:h % len(run)] || run[h % len(run) + 2:] ELSE run END AS word, n FROM h) WHERE len(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+c AS MATERIALIZED (SELECT word, n, translate(word, 'ßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!"#$%&()*+,-./:;<=>?@[]^_{|}') AS k FROM w),
+v AS (SELECT word, n, k, unnest(list_append(list_transform(range(1, len(k) + 1), lambda i: k[1:i - 1] || k[i + 1:]), k)) AS x FROM c),
+e AS MATERIALIZED (SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM v a JOIN v b ON a.x = b.x AND a.word <> b.word WHERE levenshtein(a.k, b.k) = 1),
+s AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM e GROUP BY word),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n FROM w LEFT JOIN s USING (word)),
+l AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT l.word, f.word, f.form FROM l JOIN f ON f.word = l.next)
+SELECT f.word, f.form, l.at AS root, f.n, f.n_near, f.form_n FROM f JOIN l ON l.word = f.word AND l.next IS NULL
 """,
     "secret_counts": r"""
 SELECT doc_id,
