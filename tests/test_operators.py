@@ -247,7 +247,7 @@ def test_connectors_keep_every_option():
     assert reader_options(TableKind("redis", options={"host": "h"}))[1]["port"] == "6379"
     assert reader_options(TableKind("s3", options={"path": "s3a://b/x", "format": "CSVWithNames"})) == ("csv", {"header": "true"})
     assert reader_options(TableKind("s3_queue", options={"format": "JSONEachRow"}))[0] == "json"
-    assert reader_options(TableKind("nats", options={"url": "n", "subjects": "s"})) == ("nats", {"url": "n", "subjects": "s"})
+    assert reader_options(TableKind("nats", options={"url": "n", "subjects": "s"})) == ("message_queue", {"client": "nats", "url": "n", "subjects": "s"})
 
 
 def test_partitions_are_moved_without_reading(spark, tmp_path):

@@ -14,7 +14,8 @@ from tidemark.operators.rollup import AggregatingView, ViewRegistry, select_is_s
 from tidemark.plans.analytics import EXACT, blocks, hourly
 from tidemark.plans.registry import query
 from tidemark.session import load
-from tidemark.sources.engines import TableKind, read, write
+from tidemark.sources import queues
+from tidemark.sources.engines import TableKind, read, read_stream, write
 from tidemark.sources.places import checkpoints
 from tidemark.streaming import views
 
@@ -71,6 +72,26 @@ def stream_json_to_target(spark: SparkSession, d: str) -> DataFrame:
     return views.answers(spark, view, f"{at}/states")
 
 
+@query(HOURLY)
+def queue_to_view(spark: SparkSession, d: str) -> DataFrame:
+    """Events as messages of a queue, streamed into a view; two thirds of them come while the stream is down, which then goes on."""
+    events, at = load(spark, d, "events"), place(spark, "queue")
+    spec = TableKind("kafka", options={"client": "spool", "path": f"{at}/spool", "topics": "events", "format": "JSONEachRow"})
+    for some in blocks(events, "event_id"):
+        queues.publish(some, f"{at}/spool", "events", F.to_json(F.struct(*events.columns)), F.col("user_id"))
+        views.maintain(read_stream(spark, spec, events.schema), hourly(), f"{at}/states", f"{at}/offsets").awaitTermination()
+    return views.answers(spark, hourly(), f"{at}/states")
+
+
+@query("SELECT event_id, user_id, value FROM events")
+def queue_messages(spark: SparkSession, d: str) -> DataFrame:
+    """What a queue holds, as a batch, several tasks a partition."""
+    at = place(spark, "queue")
+    events = load(spark, d, "events").select("event_id", "user_id", "value")
+    queues.publish(events, at, "a", F.to_csv(F.struct(*events.columns)), F.col("event_id"))
+    return read(spark, TableKind("kafka", options={"client": "spool", "path": at, "topics": "a", "format": "CSV", "task_messages": 1000}), events.schema)
+
+
 @query("SELECT (year(ts) * 100 + month(ts))::BIGINT AS part, event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-02-01' GROUP BY 1, 2")
 def partitioned_table(spark: SparkSession, d: str) -> DataFrame:
     """Stored by month and type, sorted, with a bloom filter; read with partitions pruned."""

@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.operators import merge_kinds
 from tidemark.operators.lookups import union_of
+from tidemark.sources import queues
 
 #: Kinds by how they are read. merge: parquet, then the rows of a key merge. file: a format and a path.
 #: jdbc and external: a connector that has to be installed. stream: only as a stream. local: in the session.
@@ -95,6 +96,8 @@ def reader_options(spec: TableKind) -> tuple[str, dict[str, str]]:
     said = {k: str(v) for k, v in o.items()}
     if spec.family in ("file", "merge"):
         return (format_name(str(o.get("format", "parquet"))), {k: v for k, v in said.items() if k not in ("format", "path", "compression")} | ({"header": "true"} if str(o.get("format", "")).lower() == "csvwithnames" else {}))
+    if spec.family == "stream" and ("client" in said or spec.kind in ("rabbitmq", "nats")):
+        return "message_queue", {"client": spec.kind} | {k: v for k, v in said.items() if k != "format"}
     if spec.kind == "kafka":
         return "kafka", {"kafka.bootstrap.servers": said["broker_list"], "subscribe": said["topic_list"], **({"kafka.group.id": said["group_name"]} if "group_name" in said else {}), **({"maxOffsetsPerTrigger": said["max_block_size"]} if "max_block_size" in said else {}), "failOnDataLoss": "true"}
     if spec.kind == "s3_queue":
@@ -111,7 +114,10 @@ def reader_options(spec: TableKind) -> tuple[str, dict[str, str]]:
 
 
 def read(spark: SparkSession, spec: TableKind, schema: StructType | None = None, final: bool = True, **merge: object) -> DataFrame:
-    """A batch table. Kinds that merge are merged with the arguments of their operator, unless final is false."""
+    """A batch table. Kinds that merge are merged with the arguments of their operator, unless final is false; of queues of sources.queues
+    it is what they have now."""
+    if spec.family == "stream" and reader_options(spec)[0] == "message_queue":
+        return queues.parsed_messages(queues.messages(spark, **reader_options(spec)[1]), str(spec.options.get("format", "JSONEachRow")), schema)
     if spec.family == "stream":
         raise ValueError(f"{spec.kind} is read as a stream")
     if spec.kind == "memory":
@@ -128,13 +134,13 @@ def read(spark: SparkSession, spec: TableKind, schema: StructType | None = None,
 
 
 def read_stream(spark: SparkSession, spec: TableKind, schema: StructType) -> DataFrame:
-    """A stream. Kafka's values are parsed as JSON with the schema; files are listed as they come."""
+    """A stream. A queue's messages are parsed by the format and the schema; files are listed as they come. Kafka is read by Spark's own
+    connector, or, with the option client, by the data source of sources.queues, as are the other queues."""
     source, options = reader_options(spec)
+    if source == "message_queue":
+        return queues.parsed_messages(queues.message_stream(spark, **options), str(spec.options.get("format", "JSONEachRow")), schema)
     if spec.kind == "kafka":
-        raw = spark.readStream.format(source).options(**options).load()
-        return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("v")).select("v.*")
-    if spec.kind in ("rabbitmq", "nats"):
-        return spark.readStream.format(spec.kind).options(**options).schema(schema).load()  # by a Python data source of that name
+        return queues.parsed_messages(spark.readStream.format(source).options(**options).load(), str(spec.options.get("format", "JSONEachRow")), schema)
     return spark.readStream.format(source).options(**options).schema(schema).load(str(spec.options["path"]))
 
 
