@@ -96,11 +96,16 @@ def sqlite_default(value: Column, strict: bool = False) -> Column:
     return F.when(value.isNull() | (value == ""), F.lit(None).cast("string")).when(bad, lost).otherwise(value)
 
 
+#: A piece of a statement that holds no cut: quoted text and names, dollar quotes, or anything else but what may begin one of these.
+_QUOTED = r"""'(?:[^']|'')*'|"(?:[^"]|"")*"|`[^`]*`|(\$\w*\$)[\s\S]*?\1"""
+
+
 def statements(sql: Column) -> Column:
-    """The statements of a script, cut at semicolons outside of quotes, without comments and blanks."""
-    bare = F.regexp_replace(sql, r"(?m)--[^\n]*$", "")
-    cut = F.split(bare, r";(?=(?:[^']*'[^']*')*[^']*$)")
-    return F.filter(F.transform(cut, lambda s: F.trim(F.regexp_replace(s, r"^\s+|\s+$", ""))), lambda s: s != "")
+    """The statements of a script, cut at semicolons outside of quotes, quoted names and dollar quotes, without comments and blanks.
+    A quote that isn't closed is an ordinary sign."""
+    bare = F.regexp_replace(sql, rf"(?<q>{_QUOTED})|--[^\n]*|/\*[\s\S]*?\*/".replace(r"\1", r"\2"), "${q}")
+    pieces = F.regexp_extract_all(bare, F.lit(rf"((?:{_QUOTED}|[^;])+)".replace(r"\1", r"\2")), F.lit(1))
+    return F.filter(F.transform(pieces, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
 def normal_statement(sql: Column) -> Column:
@@ -143,8 +148,9 @@ def output_name(expression: Column) -> Column:
 
 
 def version_key(version: Column) -> Column:
-    """A dotted version as numbers, which compare in the right order."""
-    return F.transform(F.split(version, r"\."), lambda p: p.cast("int"))
+    """A dotted version as numbers, which compare in the right order. A part that isn't a number counts as the number that it begins
+    with, and as -1 without one: 2.0-rc is before 2.0.1, and is as 2.0."""
+    return F.transform(F.split(version, r"\."), lambda p: F.coalesce(F.regexp_extract(p, r"^\s*(\d+)", 1).try_cast("int"), F.lit(-1)))
 
 
 def qualified(sql: Column, database: str) -> Column:
