@@ -201,7 +201,7 @@ def typo(r, w):
     return r.choice([w[:i] + w[i + 1 :], w[:i] + c + w[i:], w[:i] + c + w[i + 1 :]])
 
 
-@pytest.mark.parametrize("size", [spelling.SUBTRIE, 5])
+@pytest.mark.parametrize("size", [spelling.SUBTRIE, 40, 5])
 def test_variants_are_those_of_all_pairs_of_words(spark, size):
     r = random.Random(5)
     base = ["".join(r.choice("abcdefghéü") for _ in range(r.randrange(7, 11))) for _ in range(25)] + ["abcdefg" * 40, "aaaaaaa", "aaaaaaaa", "ÿÿÿÿÿÿÿ"]

@@ -6,8 +6,8 @@ most. A trie arranges words by their first group's count, then by the second's,
 with the words that still have budget for each branch, and words in the leaves they reach are verified letter by letter.
 
 The trie's top is cut where few enough words are below, by counts of words by prefix, one level at a time; each cut is a
-subtrie that one task builds. Of two near words one is sent to the other's subtrie: nearness has no direction, so a word
-goes only to its own and to later ones. Tasks give a word's near words as a number and the best one, never as pairs.
+subtrie that one task builds. Of two near words one is sent to the other's subtrie: nearness has no direction, so of
+two subtries only one side's words ask the other. Tasks give a word's near words as a number and the best one, never as pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ LETTERS = r"A-Za-zÀ-ÿ"
 GROUPS = 16
 #: Words of a subtrie; one that can't be cut further is dealt out in slices of so many.
 SUBTRIE = 16_384
+#: Words that ask one task's subtrie, times its size.
+ASKED = 4
+#: What a word does in a subtrie: it lives there, or asks, or both.
+LIVES_AND_ASKS, LIVES, ASKS = 0, 1, 2
 #: Words below which a trie's node isn't branched further.
 LEAF = 256
 #: Pairs, or letters of pairs, that are looked at a time, and pairs within their budgets that are held until they are verified.
@@ -53,6 +57,13 @@ def letters_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
 
 
+def picked(letters: np.ndarray, starts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """letters_of() some of the words."""
+    size = np.diff(starts)[words]
+    ends = np.cumsum(size)
+    return letters[np.repeat(starts[words] - (ends - size), size) + np.arange(size.sum())], np.r_[0, ends]
+
+
 def frequencies(letters: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The frequency vector of each word."""
     n = len(starts) - 1
@@ -208,43 +219,62 @@ def near_words(words: DataFrame, size: int = SUBTRIE) -> DataFrame:
     if not cuts:
         return words.select("word", F.lit(0).cast("long").alias("n_near"), F.col("word").alias("form"), F.col("n").alias("form_n")).limit(0)
 
+    def placed(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(home of each word, asking word, node that it asks)."""
+        letters, starts = letters_of(words)
+        size = np.diff(starts)
+        word, cut, own = top.reached(frequencies(letters, starts))
+        mine = np.empty(len(words), np.int64)
+        mine[word[own]] = cut[own]
+        # any slice will do, but the same one each time: a checksum of the letters
+        sums = np.bincount(np.repeat(np.arange(len(words)), size), letters * (np.arange(len(letters)) - np.repeat(starts[:-1], size) + 1.0) ** 2, len(words))
+        home = top.first[mine] + sums.astype(np.int64) % top.slices[mine]
+        # of two cuts one side asks the other, now the earlier and now the later one, so that none is asked by all
+        asks = np.where((mine[word] + cut) % 2 == 0, cut >= mine[word], cut <= mine[word])
+        word, cut = word[asks], cut[asks]
+        n = top.slices[cut]
+        at = np.repeat(np.arange(len(word)), n)
+        node = top.first[cut[at]] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        word, same = word[at], (cut == mine[word])[at]
+        # two slices of a cut meet once, and a word finds those that live with it at home
+        keep = ~same | (node > home[word])
+        return home, word[keep], node[keep]
+
+    top = Top(cuts)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = np.zeros(top.first[-1], np.int64)
+        for batch in batches:
+            asked += np.bincount(placed(batch.column(0))[2], minlength=len(asked))
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(asked).astype(np.int32)), pa.array(asked[asked > 0])], ["node", "asked"])
+
+    blocks = np.ones(top.first[-1], np.int64)  # a subtrie that many words ask is built by several tasks, each asked by some of them
+    for r in mapped(words.select("word"), counted, "node int, asked long").groupBy("node").agg(F.sum("asked").alias("asked")).collect():  # some rows for every size words
+        blocks[r.node] = -(-r.asked // (ASKED * size))
+
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = Top(cuts)
         for batch in batches:
-            letters, starts = letters_of(batch.column(0))
-            word, cut, own = top.reached(frequencies(letters, starts))
-            mine = np.empty(batch.num_rows, np.int64)
-            mine[word[own]] = cut[own]
-            slices = top.slices[mine]
-            # any slice will do, but the same one each time: a checksum of the letters
-            sums = np.bincount(np.repeat(np.arange(batch.num_rows), np.diff(starts)), letters * (np.arange(len(letters)) - np.repeat(starts[:-1], np.diff(starts)) + 1.0) ** 2, batch.num_rows)
-            home = top.first[mine] + sums.astype(np.int64) % slices
-            later = cut >= mine[word]
-            word, cut = word[later], cut[later]
-            at = np.repeat(np.arange(len(word)), top.slices[cut])
-            node = top.first[cut[at]] + np.arange(len(at)) - np.repeat(np.cumsum(top.slices[cut]) - top.slices[cut], top.slices[cut])
-            # a word is in its home as one that is found; elsewhere, and in other slices of its own cut, as one that asks
-            asks = node != home[word[at]]
-            node, word, asks = np.r_[home, node[asks]], np.r_[np.arange(batch.num_rows), word[at][asks]], np.r_[np.zeros(batch.num_rows, bool), np.ones(int(asks.sum()), bool)]
-            same = asks & (np.searchsorted(top.first, node, "right") - 1 == mine[word])
-            keep = ~same | (node > home[word])  # two slices of a cut meet once
-            take = pa.array(word[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(node[keep].astype(np.int32)), pa.array(asks[keep]), batch.column(0).take(take), batch.column(1).take(take)], ["node", "asks", "word", "n"])
+            home, word, node = placed(batch.column(0))
+            n = blocks[home]
+            lives = np.repeat(np.arange(len(home)), n)
+            block = np.r_[np.arange(len(lives)) - np.repeat(np.cumsum(n) - n, n), np.arange(len(word)) % blocks[node]]
+            role = np.r_[np.where(block[: len(lives)] == 0, LIVES_AND_ASKS, LIVES), np.full(len(word), ASKS)]
+            take = pa.array(np.r_[lives, word])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[home[lives], node].astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(role.astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take)], ["node", "block", "role", "word", "n"])
 
     def searched(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
-        asks, n = rows["asks"].to_numpy(), rows["n"].to_numpy()
+        role, n = rows["role"].to_numpy(), rows["n"].to_numpy()
         words = rows["word"].combine_chunks()
         rank = np.empty(len(n), np.int64)
         rank[pc.sort_indices(words).to_numpy()] = np.arange(len(n))
         letters, starts = letters_of(words)
-        pick = lambda at: (letters[np.repeat(starts[at], np.diff(starts)[at]) + np.arange(int(np.diff(starts)[at].sum())) - np.repeat(np.cumsum(np.diff(starts)[at]) - np.diff(starts)[at], np.diff(starts)[at])], np.r_[0, np.cumsum(np.diff(starts)[at])])
-        found = np.flatnonzero(~asks)
-        trie = Subtrie(*pick(found))
+        found, asking = np.flatnonzero(role != ASKS), np.flatnonzero(role != LIVES)
+        trie = Subtrie(*picked(letters, starts, found))
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for q, w in trie.near(letters, starts):
-            w = found[w]
-            new = asks[q] | (q < w)  # pairs of words that live here are seen from both sides
+        for q, w in trie.near(*picked(letters, starts, asking)):
+            q, w = asking[q], found[w]
+            new = (role[q] == ASKS) | (q < w)  # pairs of words that live here are seen from both sides
             a.append(q[new])
             b.append(w[new])
         a, b = np.concatenate(a), np.concatenate(b)
@@ -252,8 +282,8 @@ def near_words(words: DataFrame, size: int = SUBTRIE) -> DataFrame:
         return pa.table({"word": words.take(pa.array(word)), "n_near": pa.array(count.astype(np.int64)), "form": words.take(pa.array(best)), "form_n": pa.array(n[best])})
 
     ship(words.sparkSession)
-    sent_out = mapped(words.select("word", "n"), dealt, "node int, asks boolean, word string, n long")
-    partial = sent_out.groupBy("node").applyInArrow(searched, "word string, n_near long, form string, form_n long")
+    sent_out = mapped(words.select("word", "n"), dealt, "node int, block int, role int, word string, n long")
+    partial = sent_out.groupBy("node", "block").applyInArrow(searched, "word string, n_near long, form string, form_n long")
     merged = partial.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(F.struct((-F.col("form_n")).alias("less"), "form")).alias("best"))
     return merged.select("word", "n_near", F.col("best.form").alias("form"), (-F.col("best.less")).alias("form_n"))
 
