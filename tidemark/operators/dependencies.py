@@ -7,12 +7,10 @@ that grows with the logarithm of their length. Each round is a join and a groupi
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.sources.places import checkpoints
+from tidemark.sources.places import kept
 
 #: The order of operations, kinds of steps first. What goes and is in the way of others goes first, then come new
 #: things and changes, then what hangs on them, and at last what nothing hangs on any more.
@@ -26,49 +24,41 @@ STEPS = {
 }
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{checkpoints(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def dependency_levels(nodes: DataFrame, needs: DataFrame) -> DataFrame:
     """(id, level) of all nodes (id), by needs (id, need): 0 for those that need nothing, else one above the highest that they need.
 
     Nodes in a cycle, that need one that isn't there, or that need such a node have no level: theirs is null. Null and repeated
     ids and needs say nothing.
     """
-    nodes = _kept(nodes.where("id IS NOT NULL").select("id").distinct(), "nodes")
+    nodes = kept(nodes.where("id IS NOT NULL").select("id").distinct(), "nodes")
     needs = needs.where("id IS NOT NULL AND need IS NOT NULL").select("id", "need").distinct()
     # the way down from a node to one that it needs, and its length; to null: to the ground, below which is nothing
     bare = nodes.join(needs, "id", "left_anti").select("id", F.lit(None).cast(nodes.schema["id"].dataType).alias("need"), F.lit(0).alias("far"))
-    ways = _kept(nodes.join(needs, "id").select("id", "need", F.lit(1).alias("far")).unionByName(bare), "ways")
-    grounded = 0
+    ways = kept(nodes.join(needs, "id").select("id", "need", F.lit(1).alias("far")).unionByName(bare), "ways")
+    total, grounded = nodes.count(), -1
     while True:
+        done = ways.groupBy("id").agg(F.count("need").alias("open")).where("open = 0").count()
+        if done in (total, grounded):
+            break
+        grounded = done
         # nodes of the same needs, equally far, are of one level: one of them stands for all
         said = [F.sum(F.xxhash64(F.lit(salt), "need", "far").cast("decimal(38,0)")).alias(f"said{salt}") for salt in (1, 2)]
-        nodes = ways.groupBy("id").agg(F.count("*").alias("n"), F.first("need").alias("need"), F.first("far").alias("far"), *said)
-        alike = nodes.where("n > 1").groupBy("n", "said1", "said2").agg(F.min("id").alias("one"), F.count("*").alias("of")).where("of > 1")
-        onwards = nodes.where("n = 1").select("id", F.col("need").alias("then"), F.col("far").alias("more"))
-        onwards = onwards.unionByName(nodes.join(alike, ["n", "said1", "said2"]).where("id <> one").select("id", F.col("one").alias("then"), F.lit(0).alias("more")))
+        summed = ways.groupBy("id").agg(F.count("*").alias("n"), F.first("need").alias("need"), F.first("far").alias("far"), *said)
+        alike = summed.where("n > 1").groupBy("n", "said1", "said2").agg(F.min("id").alias("one"), F.count("*").alias("of")).where("of > 1")
+        onwards = summed.where("n = 1").select("id", F.col("need").alias("then"), F.col("far").alias("more"))
+        onwards = onwards.unionByName(summed.join(alike, ["n", "said1", "said2"]).where("id <> one").select("id", F.col("one").alias("then"), F.lit(0).alias("more")))
         passed = ways.join(onwards.select(F.col("id").alias("need"), F.lit(True).alias("over"), "then", "more"), "need", "left")
         # a way that comes back to where it began is a cycle, and stays as it is
         over = F.coalesce(F.col("over"), F.lit(False)) & ~F.col("id").eqNullSafe(F.col("then"))
         shorter = passed.select("id", F.when(over, F.col("then")).otherwise(F.col("need")).alias("need"), F.when(over, F.col("far") + F.col("more")).otherwise(F.col("far")).alias("far"))
-        ways = _kept(shorter.groupBy("id", "need").agg(F.max("far").alias("far")), "ways")
-        done = ways.groupBy("id").agg(F.count("need").alias("open")).where("open = 0").count()
-        if done == grounded:
-            break
-        grounded = done
+        ways = kept(shorter.groupBy("id", "need").agg(F.max("far").alias("far")), "ways")
     levels = ways.groupBy("id").agg(F.count("need").alias("open"), F.max("far").alias("far"))
     return levels.select("id", F.when(F.col("open") == 0, F.col("far")).cast("int").alias("level"))
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str = "seq") -> DataFrame:
     """rows with their number in an order, from 1. They are sorted in ranges; a range's first number is how many rows come before it."""
-    at = _kept(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}), "numbered")
+    at = kept(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}), "numbered")
     before = at.groupBy("__part").agg(F.count("*").alias("n"), F.min("__row").alias("first"))
     before = before.select("__part", (F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("first") + 1).alias("__more"))
     return at.join(F.broadcast(before), "__part").withColumn(name, F.col("__row") + F.col("__more")).drop("__part", "__row", "__more")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.change_classes import enum_change_class, engine_change_class, option_change_class, type_change_class
 from tidemark.functions.scalars import normal_default, normal_type
+from tidemark.sources import places
 
 OBJECTS = "kind string, table string, name string, props map<string,string>"
 #: Kinds that are dropped and added again when anything of them changes.
@@ -42,7 +43,7 @@ def identified(objects: DataFrame) -> DataFrame:
 def object_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(op, kind, table, name, was, now, severity) that turns old objects into new.
 
-    One full outer join; each pair tells its operations, so nothing is read twice. Columns and indexes of tables that come or go
+    One full outer join; each pair tells its operations, which are written once, as what is told of whole tables hides some. Columns and indexes of tables that come or go
     as a whole aren't told, their constraints are. A unique constraint of the same columns under another name is renamed.
     An engine that changes makes the table anew; then nothing else of the table is told. Enums tell whether values go.
     """
@@ -77,6 +78,7 @@ def object_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     options = F.when(kept & (kind == "table"), F.array_except(F.array_union(F.map_keys("a.props"), F.map_keys("b.props")), F.array(*map(F.lit, ALTERED["table"]))))
     each = F.transform(F.array_sort(F.coalesce(options, F.array().cast("array<string>"))), lambda o: F.struct(F.lit("alter_option").alias("op"), o.alias("name"), F.try_element_at(F.col("a.props"), o).alias("was"), F.try_element_at(F.col("b.props"), o).alias("now"), option_change_class(o).alias("severity")))
     told = both.select("kind", "table", F.explode(F.concat(F.filter(F.array(*ops), lambda o: o.isNotNull()), F.filter(each, lambda o: ~o["was"].eqNullSafe(o["now"])))).alias("o")).select("kind", "table", "o.*")
+    told = places.kept(told, "told")
     # what is told of a table as a whole hides what is told of its parts
     whole = told.where("kind = 'table'").groupBy("table").agg(F.bool_or(F.col("op") == "recreate_table").alias("__anew"), F.bool_or(F.col("op").isin("create_table", "drop_table")).alias("__whole"))
     out = told.join(whole, "table", "left")
@@ -100,19 +102,6 @@ def severities(ops: DataFrame, least: str | None = None) -> DataFrame:
     return kept.groupBy("severity", "op").agg(F.count("*").alias("n"))
 
 
-def definitions(objects: DataFrame) -> DataFrame:
-    """(table, sql): each table's CREATE statement, columns in order of their position and then constraints by name, from its objects."""
-    part = (
-        F.when(F.col("kind") == "column", F.concat_ws(" ", "name", F.upper(_of("type")), F.when(_of("nullable") == "false", F.lit("NOT NULL")), F.when(_of("default").isNotNull(), F.concat(F.lit("DEFAULT "), _of("default")))))
-        .when(F.col("kind") == "unique", F.concat(F.lit("CONSTRAINT "), "name", F.lit(" UNIQUE ("), _of("columns"), F.lit(")")))
-        .when(F.col("kind") == "check", F.concat(F.lit("CONSTRAINT "), "name", F.lit(" CHECK ("), _of("expression"), F.lit(")")))
-        .when(F.col("kind") == "foreign_key", F.concat(F.lit("CONSTRAINT "), "name", F.lit(" FOREIGN KEY ("), _of("columns"), F.lit(") REFERENCES "), _of("referenced_table"), F.lit(" ("), _of("referenced_columns"), F.lit(")")))
-    )
-    place = F.struct((F.col("kind") != "column").alias("late"), F.coalesce(_of("position").try_cast("int"), F.lit(0)).alias("at"), F.col("name").alias("name"), part.alias("part"))
-    parts = objects.where(part.isNotNull()).groupBy("table").agg(F.array_sort(F.collect_list(place)).alias("parts"))
-    return parts.select("table", F.concat(F.lit("CREATE TABLE "), "table", F.lit(" ("), F.array_join(F.transform("parts", lambda p: p["part"]), ", "), F.lit(")")).alias("sql"))
-
-
 def catalog_objects(spark: SparkSession, database: str | None = None, pattern: str = ".*") -> DataFrame:
     """Tables, views and columns of the session's catalog as objects, of those whose whole name matches. Names and types only are
     read, on the driver, table by table; a view that can't be resolved is an error."""
@@ -133,61 +122,6 @@ def own_objects(objects: DataFrame, tables: list[str] | None = None, system: str
     return kept if tables is None else kept.where(F.col("table").isin(tables))
 
 
-def _definition(side: str, name: Column) -> Column:
-    """What an object is in a statement, behind its name: from its properties as object_diff() tells them, a JSON text."""
-    of = lambda p: F.get_json_object(side, f"$.{p}")
-    kind = F.col("kind")
-    actions = F.concat_ws(" ", *(F.when(of(p).isNotNull(), F.concat(F.lit(f"{p.upper().replace('_', ' ')} "), F.upper(of(p)))) for p in ("on_delete", "on_update")))
-    return (
-        F.when(kind == "column", F.concat_ws(" ", name, F.upper(of("type")), F.when(of("nullable") == "false", F.lit("NOT NULL")), F.when(of("default").isNotNull(), F.concat(F.lit("DEFAULT "), of("default")))))
-        .when(kind == "index", F.concat(F.when(of("unique") == "true", F.lit("UNIQUE ")).otherwise(F.lit("")), F.lit("INDEX "), name, F.lit(" ON "), F.col("table"), F.lit(" ("), of("columns"), F.lit(")"), F.coalesce(F.concat(F.lit(" WHERE "), of("where")), F.lit(""))))
-        .when(kind == "unique", F.concat(F.lit("CONSTRAINT "), name, F.lit(" UNIQUE ("), of("columns"), F.lit(")")))
-        .when(kind == "check", F.concat(F.lit("CONSTRAINT "), name, F.lit(" CHECK ("), of("expression"), F.lit(")")))
-        .when(kind == "exclude", F.concat(F.lit("CONSTRAINT "), name, F.lit(" EXCLUDE "), of("expression")))
-        .when(kind == "foreign_key", F.rtrim(F.concat(F.lit("CONSTRAINT "), name, F.lit(" FOREIGN KEY ("), of("columns"), F.lit(") REFERENCES "), of("referenced_table"), F.coalesce(F.concat(F.lit(" ("), of("referenced_columns"), F.lit(")")), F.lit("")), F.lit(" "), actions)))
-        .when(kind == "view", F.concat(F.lit("VIEW "), name, F.lit(" AS "), of("select")))
-        .when(kind == "enum", F.concat(F.lit("TYPE "), name, F.lit(" AS ENUM ("), F.concat(F.lit("'"), F.array_join(F.split(of("values"), ","), "', '"), F.lit("'")), F.lit(")")))
-    )
-
-
-def statements(ops: DataFrame, definitions: DataFrame) -> DataFrame:
-    """(op, kind, table, name, sql) of ops from object_diff(), as statements; definitions: (table, sql) of tables that are created or made anew.
-
-    A table made anew is created beside, filled and swapped, as one script. Kinds without a statement, and tables without a
-    definition, are an error when the row is read.
-    """
-    op, kind, t, n, was, now = (F.col(c) for c in ("op", "kind", "table", "name", "was", "now"))
-    put = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-    alter = lambda *parts: put("ALTER TABLE ", t, " ", *parts)
-    column = lambda *parts: alter("ALTER COLUMN ", n, " ", *parts)
-    quoted = lambda c: F.coalesce(put("'", F.replace(c, F.lit("'"), F.lit("''")), "'"), F.lit("NULL"))
-    missing = F.raise_error(put("no definition of table ", t)).cast("string")
-    made = F.coalesce("definition", missing)
-    beside = F.regexp_replace(made, r"^CREATE TABLE (\S+)", "CREATE TABLE $1__new")
-    rules = [
-        (op == "create_table", made), (op == "drop_table", put("DROP TABLE ", t)),
-        (op == "recreate_table", put(beside, "; INSERT INTO ", t, "__new SELECT * FROM ", t, "; ALTER TABLE ", t, " RENAME TO ", t, "__old; ALTER TABLE ", t, "__new RENAME TO ", t)),
-        (op == "add_column", alter("ADD COLUMN ", _definition("now", n))), (op == "drop_column", alter("DROP COLUMN ", n)),
-        (op == "alter_column_type", column("TYPE ", now)),
-        (op == "alter_column_nullable", column(F.when(now == "false", F.lit("SET NOT NULL")).otherwise(F.lit("DROP NOT NULL")))),
-        (op == "alter_column_default", column(F.coalesce(put("SET DEFAULT ", now), F.lit("DROP DEFAULT")))),
-        (op == "alter_column_autoincrement", column(F.when(now == "true", F.lit("ADD GENERATED BY DEFAULT AS IDENTITY")).otherwise(F.lit("DROP IDENTITY")))),
-        (op == "alter_column_comment", put("COMMENT ON COLUMN ", t, ".", n, " IS ", quoted(now))), (op == "alter_table_comment", put("COMMENT ON TABLE ", t, " IS ", quoted(now))),
-        (op == "alter_option", alter(F.when(now.isNull(), put("RESET (", n, ")")).otherwise(put("SET (", n, " = ", quoted(now), ")")))),
-        (op == "rename_unique", alter("RENAME CONSTRAINT ", was, " TO ", now)),
-        (op == "alter_enum", put("ALTER TYPE ", n, " VALUES (", F.coalesce(now, F.lit("")), ")")),
-        (op.isin("add_index", "create_view", "create_enum"), put("CREATE ", _definition("now", n))),
-        (op == "drop_index", put("DROP INDEX ", n)), (op == "drop_view", put("DROP VIEW ", n)), (op == "drop_enum", put("DROP TYPE ", n)),
-        (op.startswith("add_") & kind.isin("unique", "check", "exclude", "foreign_key"), alter("ADD ", _definition("now", n))),
-        (op.startswith("drop_") & kind.isin("unique", "check", "exclude", "foreign_key"), alter("DROP CONSTRAINT ", n)),
-    ]
-    sql = F.raise_error(put("no statement for ", op)).cast("string")
-    for when, text in reversed(rules):
-        sql = F.when(when, text).otherwise(sql)
-    named = definitions.select(F.col("table").alias("__table"), F.col("sql").alias("definition"))
-    return ops.join(named, t == F.col("__table"), "left").select("op", "kind", "table", "name", sql.alias("sql"))
-
-
 def irreversible(ops: DataFrame) -> DataFrame:
     """ops that can't be undone without losing rows: what drops tables or columns, and tables made anew with an engine that
     may merge rows away."""

@@ -8,13 +8,11 @@ log is dealt out over all tasks, whatever its length and however many times one
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.lookups import asof_join
-from tidemark.sources.places import checkpoints
+from tidemark.sources.places import kept
 
 #: Parts of a statement, and statements of a run in which one name's events are sorted together.
 PARTS, RUN = 1 << 20, 1000
@@ -86,18 +84,12 @@ def events(statements: DataFrame) -> DataFrame:
     return spread.select((F.col("seq").cast("long") * PARTS + F.col("k") * 1000 + F.col("i")).alias("at"), "e.*")
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    path = f"{checkpoints(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def first_of_chains(links: DataFrame) -> DataFrame:
     """(id, first) of ids (id, before), before being null where a chain begins: pointers are doubled until all are at the beginning."""
-    found = _kept(links.select("id", F.coalesce("before", "id").alias("first")), "chains")
+    found = kept(links.select("id", F.coalesce("before", "id").alias("first")), "chains")
     while True:
         step = found.select(F.col("id").alias("first"), F.col("first").alias("then"))
-        further = _kept(found.join(step, "first", "left").select("id", F.coalesce("then", "first").alias("first"), F.coalesce(F.col("then") != F.col("first"), F.lit(False)).alias("moved")), "chains")
+        further = kept(found.join(step, "first", "left").select("id", F.coalesce("then", "first").alias("first"), F.coalesce(F.col("then") != F.col("first"), F.lit(False)).alias("moved")), "chains")
         if not further.agg(F.bool_or("moved")).first()[0]:
             return further.select("id", "first")
         found = further.drop("moved")
@@ -111,7 +103,7 @@ def _lives(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     by_name = Window.partitionBy("of", "name").orderBy("at", "comes")
     real = changes.withColumn("there", F.coalesce(F.lag("comes").over(by_name), F.lit(False))).where("NOT (comes AND there)").withColumn("life", F.when(F.col("comes"), F.concat_ws("|", "of", "name", "at")))
-    real = _kept(real.select("of", "name", "at", "comes", "was", "life"), "marks")
+    real = kept(real.select("of", "name", "at", "comes", "was", "life"), "marks")
     renamed = real.where("comes AND was IS NOT NULL").select("life", "of", F.col("was").alias("name"), (F.col("at") - 1).alias("before_at"))
     before = asof_join(renamed, real.select("of", "name", F.col("at").alias("mark_at"), F.col("life").alias("earlier")), ["of", "name"], "before_at", "mark_at", ["earlier"], _run)
     links = real.where("comes").select(F.col("life").alias("id")).join(before.select(F.col("life").alias("id"), F.col("earlier").alias("before")), "id", "left")
@@ -138,7 +130,7 @@ def replayed(columns: DataFrame, statements: DataFrame) -> DataFrame:
     stands behind their name. seq is unique and not negative.
     """
     kind = F.col("kind") if "kind" in columns.columns else F.lit("column")
-    log = _kept(events(statements), "events")
+    log = kept(events(statements), "events")
     start = columns.select(F.lit(-1).cast("long").alias("at"), F.lit("add").alias("action"), "table", kind.alias("kind"), "name", F.lit(None).cast("string").alias("other"), "type").where("name IS NOT NULL")
     tables = log.where("kind = 'table'")
     none, nobody = F.lit(None).cast("string"), F.lit("").alias("of")
@@ -147,7 +139,7 @@ def replayed(columns: DataFrame, statements: DataFrame) -> DataFrame:
     comes.append(tables.where("action = 'rename'").select(nobody, F.col("other").alias("name"), "at", F.lit(True).alias("comes"), F.col("name").alias("was")))
     goes = tables.where("action IN ('drop', 'rename')").select(nobody, "name", "at", F.lit(False).alias("comes"), none.alias("was"))
     _, marks = _lives(comes[0].unionByName(comes[1]).unionByName(comes[2]).unionByName(goes))
-    marks = _kept(marks, "tables")
+    marks = kept(marks, "tables")
     # to each event its table: that of the name's last mark before it
     inner = start.unionByName(log.where("kind <> 'table'")).withColumn("nobody", nobody)
     mark = marks.select(F.col("of").alias("nobody"), F.col("name").alias("table"), F.col("at").alias("mark_at"), F.col("first").alias("owner"), "life")
@@ -156,12 +148,12 @@ def replayed(columns: DataFrame, statements: DataFrame) -> DataFrame:
     ignored = tables.where("action = 'create'").select("name", "at").join(marks.select("name", "at"), ["name", "at"], "left_anti").select(F.col("name").alias("table"), F.floor(F.col("at") / 1000).alias("statement"))
     inner = inner.withColumn("statement", F.floor(F.col("at") / 1000)).join(ignored, ["table", "statement"], "left_anti")
     owner = F.when(F.col("kind") == "index", F.lit("")).otherwise(F.coalesce("owner", F.concat(F.lit("?"), "table")))
-    inner = _kept(inner.select("at", "action", "kind", "name", "other", "type", F.concat_ws("|", "kind", owner).alias("of"), F.coalesce("owner", F.concat(F.lit("?"), "table")).alias("owner"), "table"), "inner")
+    inner = kept(inner.select("at", "action", "kind", "name", "other", "type", F.concat_ws("|", "kind", owner).alias("of"), F.coalesce("owner", F.concat(F.lit("?"), "table")).alias("owner"), "table"), "inner")
     begun = inner.where("action = 'add'").select("of", "name", "at", F.lit(True).alias("comes"), none.alias("was"))
     again = inner.where("action = 'rename'").select("of", F.col("other").alias("name"), "at", F.lit(True).alias("comes"), F.col("name").alias("was"))
     ended = inner.where("action IN ('drop', 'rename')").select("of", "name", "at", F.lit(False).alias("comes"), none.alias("was"))
     _, inside = _lives(begun.unionByName(again).unionByName(ended))
-    inside = _kept(inside, "inside")
+    inside = kept(inside, "inside")
     # the type is the last one told in a life's chain; an addition tells one only where it began the life
     told = inner.where("action IN ('add', 'type')").select("of", "name", "at", "action", "type", "owner", "table")
     led = asof_join(told, inside.select("of", "name", F.col("at").alias("mark_at"), "first"), ["of", "name"], "at", "mark_at", ["first", "mark_at"], _run)

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.functions.change_classes import type_change_class
 from tidemark.functions.scalars import normal_default, normal_statement, normal_type
+from tidemark.operators.dependencies import dependency_levels
+from tidemark.operators.replay import replayed
 
 COLUMNS = "table string, name string, position int, type string, nullable boolean, default string"
 #: Tables are taken for renamed from this share of common columns.
@@ -179,41 +180,18 @@ def impact(ops: DataFrame, code: DataFrame) -> DataFrame:
 def dependency_order(files: DataFrame, complete: bool = False) -> DataFrame:
     """(version, level) of migrations (version, depends_on array): each after all those it depends on, however long the way.
 
-    The files of one history are ordered on the driver, version by version once those it needs have levels, in time linear
-    in the files and what they need. Versions in a cycle, that need one that isn't there, or that need such a version,
-    have no level and aren't returned; with complete, they are an error.
+    Versions in a cycle, that need one that isn't there, or that need such a version, have no level and aren't returned; with
+    complete, they are an error that names some of them.
     """
-    needs: dict[object, set] = {}
-    for r in files.select("version", "depends_on").collect():
-        needs.setdefault(r.version, set()).update(n for n in r.depends_on or () if n is not None)
-    users: dict[object, list] = {}
-    for v, of in needs.items():
-        for n in of:
-            users.setdefault(n, []).append(v)
-    open_, levels = {v: len(of) for v, of in needs.items()}, {}
-    now, level = [v for v, n in open_.items() if not n], 0
-    while now:
-        levels |= dict.fromkeys(now, level)
-        following = []
-        for v in now:
-            for u in users.get(v, ()):
-                open_[u] -= 1
-                if not open_[u]:
-                    following.append(u)
-        now, level = following, level + 1
-    left = sorted(str(v) for v in needs if v not in levels)
-    if complete and left:
+    nodes = files.select(F.col("version").alias("id"))
+    needs = files.select(F.col("version").alias("id"), F.explode("depends_on").alias("need"))
+    levels = dependency_levels(nodes, needs)
+    left = [str(r.id) for r in levels.where("level IS NULL").orderBy("id").limit(20).collect()] if complete else []
+    if left:
         raise ValueError(f"versions that can't be ordered: {', '.join(left)}")
-    return files.sparkSession.createDataFrame(list(levels.items()), StructType([StructField("version", files.schema["version"].dataType), StructField("level", IntegerType())]))
+    return levels.where("level IS NOT NULL").select(F.col("id").alias("version"), "level")
 
 
 def with_pending(columns: DataFrame, statements: DataFrame) -> DataFrame:
-    """columns (table, name, type) as they will be once statements (seq, sql) that add and drop columns and drop tables
-    have run: of each column, the last statement about it counts."""
-    add, drop, gone = r"(?is)^\s*ALTER\s+TABLE\s+(\w+)\s+ADD\s+(?:COLUMN\s+)?(\w+)\s+([\w(), ]+?)\s*;?\s*$", r"(?is)^\s*ALTER\s+TABLE\s+(\w+)\s+DROP\s+(?:COLUMN\s+)?(\w+).*", r"(?is)^\s*DROP\s+TABLE\s+(?:IF\s+EXISTS\s+)?(\w+).*"
-    part = lambda p, i: F.regexp_extract("sql", p, i)
-    told = statements.select("seq", F.when(F.col("sql").rlike(add), F.struct(part(add, 1).alias("table"), part(add, 2).alias("name"), part(add, 3).alias("type"))).when(F.col("sql").rlike(drop), F.struct(part(drop, 1).alias("table"), part(drop, 2).alias("name"), F.lit(None).cast("string").alias("type"))).alias("c"))
-    tables = statements.where(F.col("sql").rlike(gone)).select(part(gone, 1).alias("table"), "seq").groupBy("table").agg(F.max("seq").alias("gone"))
-    changes = columns.select("table", "name", "type", F.lit(-1).alias("seq")).unionByName(told.where("c IS NOT NULL").select("c.*", "seq"))
-    last = changes.groupBy("table", "name").agg(F.max_by(F.struct("type", "seq"), "seq").alias("c")).join(tables, "table", "left")
-    return last.where("c.type IS NOT NULL AND (gone IS NULL OR c.seq > gone)").select("table", "name", "c.type")
+    """columns (table, name, type) as they will be once statements (seq, sql) have run; see replayed()."""
+    return replayed(columns, statements).where("kind = 'column'").select("table", "name", "type")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.functions.aggregates import agg, finalised, state_table
-from tidemark.operators import audits, dml, layout, lookups, merge_kinds
+from tidemark.operators import audits, counted, dml, layout, lookups, merge_kinds
 from tidemark.operators.rollup import AggregatingView, Projection, route
 from tidemark.plans.registry import ORACLE_SQL, query
 from tidemark.session import load
@@ -55,9 +55,8 @@ def agg_min_max(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def agg_uniq_exact(spark: SparkSession, d: str) -> DataFrame:
-    a = [agg.uniq_exact("user_id", "users")]
-    out = finalised(state_table(load(spark, d, "events"), {"event_type": F.col("event_type"), "day": F.to_date("ts")}, a), ["event_type"], a)
-    return out.select("event_type", F.col("users").cast("long").alias("users"))
+    days = counted.counted(load(spark, d, "events"), {"event_type": F.col("event_type"), "day": F.to_date("ts")}, "user_id")
+    return counted.distinct_values(days, ["event_type"], "users")
 
 
 @query()
@@ -80,8 +79,16 @@ def agg_group_uniq_array(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, round(quantile_cont(value, 0.5), 6) AS median FROM events GROUP BY 1")
 def agg_quantile_exact(spark: SparkSession, d: str) -> DataFrame:
-    a = [agg.quantile_exact("value", 0.5, "median")]
-    return finalised(state_table(load(spark, d, "events"), {"user_id": F.col("user_id"), "day": F.to_date("ts")}, a), ["user_id"], a).select("user_id", F.round("median", 6).alias("median"))
+    days = counted.counted(load(spark, d, "events"), {"user_id": F.col("user_id"), "day": F.to_date("ts")}, "value")
+    return counted.quantiles(days, ["user_id"], {"median": 0.5}).select("user_id", F.round("median", 6).alias("median"))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.01), 6) AS low, round(quantile_cont(value, 0.5), 6) AS middle, round(quantile_cont(value, 0.99), 6) AS high FROM events GROUP BY 1")
+def agg_quantiles_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Several quantiles of few large groups."""
+    days = counted.counted(load(spark, d, "events"), {"event_type": F.col("event_type"), "day": F.to_date("ts")}, "value")
+    found = counted.quantiles(days, ["event_type"], {"low": 0.01, "middle": 0.5, "high": 0.99})
+    return found.select("event_type", *(F.round(c, 6).alias(c) for c in ("low", "middle", "high")))
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import change_classes as C
-from tidemark.operators import objects
+from tidemark.operators import ddl, dependencies, objects, replay
 from tidemark.plans.registry import query
 from tidemark.plans.schemas import values
 from tidemark.session import load
@@ -102,17 +102,53 @@ def undone_is_the_difference_back(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH o AS ({SIDES['old']}), p AS (
 SELECT tab, 0 AS late, name, name || ' ' || upper(type) || CASE WHEN nullable = 'false' THEN ' NOT NULL' ELSE '' END || coalesce(' DEFAULT ' || dflt, '') AS part FROM o WHERE kind = 'column'
 UNION ALL SELECT tab, 1, name, 'CONSTRAINT ' || name || ' UNIQUE (' || cols || ')' FROM o WHERE kind = 'unique'
-UNION ALL SELECT tab, 1, name, 'CONSTRAINT ' || name || ' CHECK (' || expr || ')' FROM o WHERE kind = 'check')
+UNION ALL SELECT tab, 1, name, 'CONSTRAINT ' || name || ' CHECK (' || expr || ')' FROM o WHERE kind = 'check'
+UNION ALL SELECT tab, 1, name, 'CONSTRAINT ' || name || ' FOREIGN KEY (' || cols || ') REFERENCES ' || ref FROM o WHERE kind = 'foreign_key')
 SELECT tab AS "table", 'CREATE TABLE ' || tab || ' (' || string_agg(part, ', ' ORDER BY late, name) || ')' AS sql FROM p GROUP BY tab""")
 def table_definitions(spark: SparkSession, d: str) -> DataFrame:
-    return objects.definitions(side(spark, d, "old").where("kind <> 'foreign_key'"))
+    return ddl.definitions(side(spark, d, "old"))
 
 
 @query(f"""WITH {DIFF[5:]}""".replace("SELECT 'create_table' AS op", "SELECT op, \"table\", name, CASE WHEN op = 'drop_table' THEN 'DROP TABLE ' || \"table\" WHEN op = 'drop_column' THEN 'ALTER TABLE ' || \"table\" || ' DROP COLUMN ' || name WHEN op = 'drop_index' THEN 'DROP INDEX ' || name ELSE 'ALTER TABLE ' || \"table\" || ' DROP CONSTRAINT ' || name END AS sql FROM (SELECT 'create_table' AS op", 1) + ") WHERE op LIKE 'drop%'")
 def drop_statements(spark: SparkSession, d: str) -> DataFrame:
     """What drops in the difference of two generated schemas, as statements."""
-    tables = objects.definitions(side(spark, d, "new"))
-    return objects.statements(changes(spark, d), tables).where("op LIKE 'drop%'").select("op", "table", "name", "sql")
+    return ddl.statements(changes(spark, d), side(spark, d, "old"), side(spark, d, "new")).where("op LIKE 'drop%'").join(tables_made_anew(spark, d), "table", "left_anti").select("op", "table", "name", "sql")
+
+
+def tables_made_anew(spark: SparkSession, d: str) -> DataFrame:
+    return changes(spark, d).where("op = 'recreate_table'").select("table")
+
+
+#: What the generated schemas hold that statements make, by place.
+HELD = "SELECT tab AS \"table\", CASE WHEN kind IN ('unique', 'check', 'foreign_key') THEN 'constraint' ELSE kind END AS kind, CASE WHEN kind <> 'foreign_key' THEN name END AS name, {0} AS type FROM w WHERE kind <> 'table'"
+TYPED = "CASE kind WHEN 'column' THEN CASE type WHEN 'int4' THEN 'integer' ELSE type END WHEN 'index' THEN '(' || cols || ')' WHEN 'unique' THEN 'UNIQUE (' || cols || ')' WHEN 'check' THEN 'CHECK (' || expr || ')' ELSE 'FOREIGN KEY (' || cols || ') REFERENCES ' || ref END"
+
+
+@query(f"WITH w AS ({SIDES['new']}) {HELD.format(TYPED)} AND kind <> 'unique' UNION ALL {HELD.format('NULL')} AND kind = 'unique'")
+def migrated_schema(spark: SparkSession, d: str) -> DataFrame:
+    """The old schema once the difference's statements have been replayed on it, in their order: the new one. A unique constraint
+    that was only renamed lists its columns as the old one did, so their text isn't told; foreign keys are what they refer to."""
+    old, new = side(spark, d, "old"), side(spark, d, "new")
+    sql = ddl.statements(objects.object_diff(old, new), old, new).where("op NOT IN ('alter_table_comment', 'alter_option')").select("seq", "sql")
+    held = old.where("kind <> 'table'").select("table", F.when(F.col("kind").isin("unique", "check", "foreign_key"), F.lit("constraint")).otherwise(F.col("kind")).alias("kind"), "name", F.coalesce(F.col("props.type"), ddl.definition(lambda p: F.try_element_at("props", F.lit(p)), F.col("kind"), F.col("table"), F.col("name"))).alias("type"))
+    told = F.regexp_replace(F.regexp_replace("type", r"^CONSTRAINT \w+ ", ""), r"^INDEX \w+ ON \w+ ", "")
+    out = replay.replayed(held, sql).where(~F.col("table").endswith("__old")).withColumn("type", told)
+    typed = F.when(F.col("kind") == "column", F.regexp_replace(F.lower("type"), "^int4$", "integer")).when(~F.col("type").startswith("UNIQUE"), F.col("type"))
+    return out.select("table", "kind", F.when(~F.col("type").startswith("FOREIGN KEY"), F.col("name")).alias("name"), typed.alias("type"))
+
+
+#: The generated schema's graph in SQL of its own; tables refer to tables, so it may have cycles: those are left out by level.
+GRAPH = f"""WITH RECURSIVE w AS ({SIDES['new']}), n AS (SELECT kind || '|' || tab || '|' || name AS id, kind, tab, name, cols, ref FROM w),
+e AS (SELECT id, 'table|' || tab || '|' || tab AS need FROM n WHERE kind <> 'table' UNION SELECT id, 'column|' || tab || '|' || trim(unnest(string_split(cols, ','))) FROM n WHERE cols IS NOT NULL UNION SELECT id, 'table|' || ref || '|' || ref FROM n WHERE kind = 'foreign_key'),
+k AS (SELECT e.id, e.need FROM e JOIN n ON e.need = n.id),
+l AS (SELECT id, 0 AS level FROM n WHERE id NOT IN (SELECT id FROM k) UNION SELECT k.id, l.level + 1 FROM l JOIN k ON k.need = l.id)
+SELECT id, max(level) AS level FROM l GROUP BY id"""
+
+
+@query(GRAPH)
+def object_levels(spark: SparkSession, d: str) -> DataFrame:
+    """How deep each object of a generated schema lies in what it depends on."""
+    return dependencies.object_levels(side(spark, d, "new"))
 
 
 @query(f"""WITH {DIFF[5:]}""".replace("SELECT 'create_table' AS op", "SELECT op, \"table\", name FROM (SELECT 'create_table' AS op", 1) + ") WHERE op IN ('drop_table', 'drop_column', 'recreate_table')")

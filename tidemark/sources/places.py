@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoints(spark: SparkSession) -> str:
@@ -18,3 +19,10 @@ def checkpoints(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
     return at
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the checkpoint folder and read again: it is computed once, and a lost executor costs no more than a read of it."""
+    path = f"{checkpoints(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
