@@ -167,16 +167,6 @@ def plan(ops: DataFrame) -> DataFrame:
     return severity(ordered(ops)).agg(body.alias("plan")).withColumn("checksum", F.sha2("plan", 256))
 
 
-def impact(ops: DataFrame, code: DataFrame) -> DataFrame:
-    """(op, table, name, file, line) of code lines (file, line, text) that name an operation's table or column.
-
-    Lines are cut into words and joined by equality; no operation is held against every line.
-    """
-    words = code.select("file", "line", F.explode(F.array_distinct(F.split(F.lower("text"), r"\W+"))).alias("word"))
-    target = ops.select("op", "table", "name", F.lower(F.coalesce("name", "table")).alias("word"))
-    return target.join(words, "word").select("op", "table", "name", "file", "line")
-
-
 def dependency_order(files: DataFrame, complete: bool = False) -> DataFrame:
     """(version, level) of migrations (version, depends_on array): each after all those it depends on, however long the way.
 

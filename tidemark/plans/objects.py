@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import change_classes as C
-from tidemark.operators import ddl, dependencies, objects, replay
+from tidemark.operators import ddl, dependencies, impact, objects, replay
 from tidemark.plans.registry import query
 from tidemark.plans.schemas import values
 from tidemark.session import load
@@ -192,3 +192,18 @@ def engine_changes(spark: SparkSession, d: str) -> DataFrame:
     names = F.array(*map(F.lit, ENGINES))
     pairs = spark.range(1).select(F.explode(names).alias("old"), names.alias("n")).select("old", F.explode("n").alias("new"))
     return pairs.withColumn("rollback", C.engine_change_class(F.col("old"), F.col("new")))
+
+
+#: Names looked for: the words of parts' names, their first three letters, and types.
+NAMES = "SELECT DISTINCT lower(w) AS target FROM (SELECT {0} AS w FROM part UNION ALL SELECT substr({0}, 1, 3) FROM part UNION ALL SELECT p_type FROM part)"
+
+
+@query(f"""WITH n AS ({NAMES.format("unnest(string_split(p_name, ' '))").replace("substr(unnest(string_split(p_name, ' ')), 1, 3) FROM part", "substr(w, 1, 3) FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part)")}),
+l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+SELECT file, line::INTEGER AS line, target, (strpos(lower(text), target) - 1)::INTEGER AS at FROM l JOIN n ON contains(lower(text), target) WHERE trim(text) <> '' AND NOT regexp_matches(ltrim(text), '^(#|//|--|\"{{3}}|''{{3}})')""")
+def names_in_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of all documents that hold names of parts."""
+    parts = load(spark, d, "part")
+    words = parts.select(F.explode(F.split("p_name", " ")).alias("target"))
+    targets = words.union(words.select(F.substring("target", 1, 3))).union(parts.select("p_type"))
+    return impact.contained(impact.lines_of(load(spark, d, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("source"))), targets)

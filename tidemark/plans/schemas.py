@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import history, schema_diff
+from tidemark.operators import history, impact, schema_diff
 from tidemark.plans.registry import query
 from tidemark.sources import files
 
@@ -176,11 +176,11 @@ def fresh_statements(spark: SparkSession, d: str) -> DataFrame:
     return schema_diff.fresh_statements(rows, spark.createDataFrame([("create table A (b int)",)], "sql string"))
 
 
-@query("SELECT * FROM (VALUES ('drop_column', 'users', 'nick', 'app.py', 3), ('drop_table', 'posts', NULL, 'app.py', 7), ('drop_table', 'posts', NULL, 'db.py', 1)) v(op, \"table\", name, file, line)")
+@query("SELECT * FROM (VALUES ('drop_column', 'users', 'nick', 'app.py', 3), ('drop_column', 'users', 'nick', 'db.py', 2), ('drop_table', 'posts', NULL, 'app.py', 7), ('drop_table', 'posts', NULL, 'db.py', 1)) v(op, \"table\", name, file, line)")
 def impact_lines(spark: SparkSession, d: str) -> DataFrame:
     ops = schema_diff.diff(old(spark), new(spark)).where("op IN ('drop_column', 'drop_table') AND `table` <> 'items'")
     code = spark.createDataFrame([("app.py", 3, "print(user.nick)"), ("app.py", 7, "SELECT * FROM posts p JOIN posts q"), ("db.py", 1, "Posts.query"), ("db.py", 2, "nicked")], "file string, line int, text string")
-    return schema_diff.impact(ops, code)
+    return impact.impact(ops, code)
 
 
 @query(f"SELECT version, filename FROM {values([(f[0], f[3]) for f in FILES], 'version, filename')} WHERE version NOT IN (SELECT version FROM {values([(a[0],) for a in APPLIED], 'version')})")
