@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from tidemark.session import load
 from tidemark.sources import queues
 from tidemark.sources.engines import TableKind, read, read_stream, write
 from tidemark.sources.places import checkpoints
-from tidemark.streaming import views
+from tidemark.streaming import buffers, views
 
 HOURLY = f"SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, {EXACT.format('value')} AS total, count(*) AS n FROM events GROUP BY 1"
 
@@ -83,6 +85,37 @@ def queue_to_view(spark: SparkSession, d: str) -> DataFrame:
     return views.answers(spark, hourly(), f"{at}/states")
 
 
+@query("SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids, true AS within FROM events GROUP BY 1")
+def buffer_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    """Events through a buffer that is flushed by rows, bytes and time, and whether each flush is within its bounds."""
+    events, at = load(spark, d, "events").select("event_id", "event_type", "value"), place(spark, "buffer")
+    events.repartition(3).write.parquet(f"{at}/in")
+    limits = buffers.Thresholds(layers=3, min_time=0.5, max_time=3, min_rows=50, max_rows=700, min_bytes=1000, max_bytes=50_000)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    flow = buffers.buffered(source, lambda rows, k: rows.write.mode("overwrite").parquet(f"{at}/out/block={k}"), f"{at}/offsets", limits, "500 milliseconds")
+    total, until = events.count(), time.monotonic() + 300
+    try:
+        while time.monotonic() < until and flow.isActive:
+            time.sleep(1)
+            if flushed_rows(spark, at) >= total:
+                break
+    finally:
+        flow.stop()
+    if flow.exception():
+        raise flow.exception()
+    out = spark.read.parquet(f"{at}/out")
+    fits = (F.col("__rows") <= limits.max_rows) & (F.col("__bytes") <= limits.max_bytes + 1000) & (F.col("__reason").startswith("max") | (F.col("__rows") >= limits.min_rows))
+    return out.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.bool_and(fits).alias("within"))
+
+
+def flushed_rows(spark: SparkSession, at: str) -> int:
+    """Rows that a buffer has handed on so far."""
+    try:
+        return spark.read.parquet(f"{at}/out").count()
+    except AnalysisException:  # nothing yet
+        return 0
+
+
 @query("SELECT event_id, user_id, value FROM events")
 def queue_messages(spark: SparkSession, d: str) -> DataFrame:
     """What a queue holds, as a batch, several tasks a partition."""
