@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.functions.aggregates import agg
-from tidemark.operators import audits, dml, layout, lookups
+from tidemark.operators import audits, dml, layout, lookups, skip_index
 from tidemark.operators.rollup import AggregatingView, ViewRegistry, select_is_safe
 from tidemark.plans.analytics import EXACT, blocks, hourly
 from tidemark.plans.registry import query
@@ -116,6 +116,20 @@ def flushed_rows(spark: SparkSession, at: str) -> int:
         return 0
 
 
+PATTERNS = ["%password%", "% tion%ing%", "%zzq%"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{p}' AS pattern, doc_id FROM documents WHERE text LIKE '{p}'" for p in PATTERNS))
+def like_by_skip_index(spark: SparkSession, d: str) -> DataFrame:
+    """Documents like a pattern, from the files whose n-grams allow it."""
+    at, index = place(spark, "texts"), skip_index.SkipIndex.parse("ngrambf_v1(4, 32768, 2, 7)")
+    load(spark, d, "documents").select("doc_id", "text").repartitionByRange(16, "doc_id").write.parquet(f"{at}/table")
+    skip_index.indexed(spark.read.parquet(f"{at}/table"), "text", index).write.parquet(f"{at}/index")
+    filters = spark.read.parquet(f"{at}/index")
+    found = [skip_index.like(spark, f"{at}/table", "text", filters, index, p).select(F.lit(p).alias("pattern"), "doc_id") for p in PATTERNS]
+    return lookups.union_of(found)
+
+
 @query("SELECT event_id, user_id, value FROM events")
 def queue_messages(spark: SparkSession, d: str) -> DataFrame:
     """What a queue holds, as a batch, several tasks a partition."""
