@@ -430,3 +430,37 @@ def test_top_k_with_a_hot_vector(spark, monkeypatch):
     rows = [(i, [float(i % 5), 1.0]) for i in range(80)] + [(3, [9.0, 9.0])] * 40
     found = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=3)
     assert {(x.query_id, x.rank, x.vec_id) for x in found.collect()} == {(q, k, 3) for q in (0, 20, 40, 60) for k in (1, 2, 3)}
+
+
+def test_hot_repeated_rows_are_mixed_evenly(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "REPEATS", 7)
+    rows = [(None, "one two three", "a", 1)] * 100 + [(5, "x y", "a", k % 2) for k in range(11)] + [(i, "w " * (i % 9 + 1), "b", 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, other int")
+    got = mixing.mixed_rows(df).collect()
+    key = lambda r: (str(r[0]), r[1], r[2], r[3])
+    assert sorted(map(key, got)) == sorted(map(key, rows))
+    whole = {}
+    for r in got:
+        whole.setdefault((r.doc_id, r.text, r.source), []).append(r.copies)
+    assert all(max(copies) - min(copies) <= 1 for copies in whole.values())
+    for source in "ab":
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r["size"] for r in mine)
+
+
+def test_items_of_one_id_or_none_are_dealt_out(spark, monkeypatch):
+    taken, search = [], decontaminate.Windows
+
+    def windows(items):
+        taken.append(sum(len(t) for _, t in items))
+        return search(items)
+
+    items = [(None if i % 2 else 1, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(60)] * 2
+    docs = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(60)] + [(99, "clean words only")]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    want = sorted(map(tuple, decontaminate.decontaminate(a, b, unnamed=True).select(*columns).collect()))
+    monkeypatch.setattr(decontaminate, "Windows", windows)
+    got = sorted(map(tuple, decontaminate.decontaminate(a, b, unnamed=True, block_bytes=2000).select(*columns).collect()))
+    assert got == want and sum(r[-1] for r in got) == 60
+    assert len(taken) > 3 and max(taken) < 3 * 2000

@@ -229,9 +229,13 @@ def brute_labels(found):
     """The two passes with neighbours looked for block by block."""
     n = len(found)
     first = []
+    every = [w for b in found for w in re.findall(r"[^\W\d_]+", b[0].lower())]
+    without = sum(w in html_text.STOP for w in every) < 0.02 * len(every)
     for i, (text, linked, inside, _, listed) in enumerate(found):
         words = re.findall(r"[^\W\d_]+", text.lower())
         dense = sum(w in html_text.STOP for w in words) / max(1, len(words))
+        if without:
+            dense = 0.28 if len(text) >= 100 else 0.075
         if text[:1] == "©" or text[:3] == "(c)" or (linked > 0.35 and not inside):
             label = "bad"
         elif linked > 0.35:
@@ -274,9 +278,34 @@ def test_block_rules_against_brute_force():
         found = [(r.choice(["", "", "", "© "]) + " ".join(r.choice(words) for _ in range(r.choice([1, 3, 12, 20, 60]))), r.choice([0.0, 0.0, 0.0, 0.2, 0.5, 1.0]), r.random() < 0.5, r.random() < 0.2, r.random() < 0.5) for _ in range(r.randrange(0, 14))]
         if r.random() < 0.5:
             found.sort(key=lambda b: b[2])
+        if r.random() < 0.2:
+            found = [(" ".join(w for w in b[0].split() if w not in html_text.STOP), *b[1:]) for b in found]
         assert [bool(x) for x in html_text.judged(found)] == brute_labels(found)
 
 
+LONG = "This is the first paragraph of the text and it is about the things that are in the world, with all of the words that a reader may want to have in it, so that it is long enough for the rules of this page to be taken as good."
+RUSSIAN = "Это длинный абзац русского текста, который рассказывает о чём-то важном и интересном для всех читателей этой страницы, и он продолжается ещё довольно долго."
+CHINESE = "这是一个很长的中文段落，它讲述了一些重要而有趣的事情，并且继续了很长时间，以便超过必要的字符数量，这里需要这样做，因为规则是按照长度来判断的，所以我们写得很长很长很长，直到它足够长为止，这样就可以通过测试了，这就是全部内容，谢谢大家的阅读和支持。"
+MENU = "<nav><a href=/>Home</a></nav><div class=menu><a href=x>x</a></div>"
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<body>{MENU}<h1>Заголовок</h1><p>{RUSSIAN}</p><p>{RUSSIAN}</p><div><a href=/a>ссылка один</a> <a href=/b>ссылка</a></div>", ["Заголовок", RUSSIAN, RUSSIAN]),
+    (f"<body>{MENU}<p>{CHINESE}</p><p>{CHINESE}</p></body>", [CHINESE, CHINESE]),
+    (f"<body><form action=/x>{MENU}<p>{LONG}</p><p>{LONG}</p><button>Send</button></form>", [LONG, LONG]),
+    (f"<body><p>{LONG}</p><form><p>Your name and the address of you and of all that is to be sent to us by you in the form here</p></form>", [LONG]),
+    (f"<article><p>{LONG}</p><p hidden>secret {LONG}</p><p data-hidden=no>{LONG}</p></article>", [LONG, LONG]),
+    (f"<article><div><button>Like</div><p>{LONG}</p><div><select><option>x</div><p>{LONG}</p></article>", [LONG, LONG]),
+    (f"<article><!--><p>{LONG}</p><!-- x --><!---><p>{LONG}</p></article>", [LONG, LONG]),
+    (f"<body><p>{LONG}</p><div class='page-sidebar-left'>" + "".join(f"<p>{k} {LONG}</p>" for k in "abcd") + "</div>", [LONG, *(f"{k} {LONG}" for k in "abcd")]),
+    (f"<div class='promo-free'><p>{LONG}</p></div><div class='promo'><p>{LONG}</p></div>", [LONG]),
+    (f"<article><h1 class='post-title share-title'>Title</h1><p>{LONG}</p></article>", ["Title", LONG]),
+    (f"<article><p>{LONG}</p></article><div class=comments>" + f"<p>{LONG}</p>" * 6 + "</div>", [LONG]),
+])
+def test_pages_unlike_the_tables(page, want):
+    assert main_text(page).split("\n") == want
+
+
 def test_query_gives_what_the_operator_gives_for_each_page(spark, sf):
     from tidemark.llm.queries import op9_html_text
 

@@ -274,20 +274,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, one_in: int = 20, id_co
 
     A window is WINDOW consecutive words of an item (all, if it has fewer); a word inside any occurrence of one is hit.
     contaminated: n_hit > 0 and one_in * n_hit >= n_words. hits: merged removal spans, as word numbers, end exclusive.
-    The documents aren't shuffled. The benchmark goes to the executors in blocks of at most block_bytes and an item;
+    The documents aren't shuffled. The benchmark's different rows go to the executors in blocks of about block_bytes, whatever their ids;
     where that makes several, each is a pass and a document's spans are merged. Null and empty texts have no words;
     items that are null or have no words have no windows; rows of one item id count as one item. Items without an id have
     windows only with unnamed: then they are hit as others are and count as one item, but items doesn't list it. Repeated rows
     and null ids of docs are kept as they are. Columns beside the named ones are ignored.
     """
-    items = benchmark.where((benchmark[item_col].isNotNull() | F.lit(unnamed)) & benchmark[text_col].isNotNull()).select(benchmark[item_col].cast("string").alias("name"), benchmark[text_col].alias("item"))
+    items = benchmark.where((benchmark[item_col].isNotNull() | F.lit(unnamed)) & benchmark[text_col].isNotNull()).select(benchmark[item_col].cast("string").alias("name"), benchmark[text_col].alias("item")).distinct()
     blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("item"))).first()[0] or 0) / block_bytes))
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     if blocks == 1:
         found = searched(rows.withColumnRenamed("id", "row"), Windows([tuple(r) for r in items.collect()])).withColumnRenamed("row", "id")
     else:
         rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-        parts = [searched(rows.select("row", "text"), Windows([tuple(r) for r in items.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == k).collect()])) for k in range(blocks)]
+        parts = [searched(rows.select("row", "text"), Windows([tuple(r) for r in items.where(F.pmod(F.xxhash64("name", "item"), F.lit(blocks)) == k).collect()])) for k in range(blocks)]
         merged = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("unnamed").alias("unnamed"))
         union = """aggregate(hits, cast(array() as array<struct<start:bigint,end:bigint>>), (out, x) ->
             if(size(out) > 0 and x.start <= element_at(out, -1).end,

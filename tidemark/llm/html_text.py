@@ -15,16 +15,19 @@ NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 #: What follows a tag's name up to its >, which counts within quotes only if these begin a value and end somewhere. It never goes back.
 ATTRIBUTES = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+""")
 HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
+BARE_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/]|$)", re.I)
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[^\W\d_]+")
 #: Elements that begin and end a block.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements whose content is text up to their end tag, and none of it shown.
-RAW = frozenset("script style noscript template textarea iframe svg math object select button title audio video canvas datalist noframes".split())
+RAW = frozenset("script style noscript template textarea iframe svg math title noframes".split())
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold no main text.
 ASIDE = frozenset("nav footer aside form menu dialog search".split())
+#: Elements of controls and media, whose content stands in for them or is their own.
+CONTROLS = frozenset("object select button audio video canvas datalist".split())
 #: Words in a class, an id or a role by which an element says that it holds no main text.
 HINTS = frozenset(
     """ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion banner sidebar sidenav menu nav navbar navigation
@@ -32,6 +35,8 @@ HINTS = frozenset(
     social related recommended comment comments commentlist disqus reply replies respond footer header masthead topbar toolbar widget login signup
     signin register search pagination pager skip contentinfo complementary""".split()
 )
+#: Those of HINTS that say what the text is, not where it stands: a page's text isn't looked for in there.
+OTHERS = frozenset("comment comments commentlist disqus reply replies respond related recommended ad ads adv advert adverts advertisement adsense sponsor sponsored cookie cookies consent gdpr".split())
 #: Frequent words of the languages that pages come in.
 STOP = frozenset(
     """the of and to in a is that for it on was with as are be this by at from or an not have but his he they which you had were her all she there
@@ -56,17 +61,19 @@ PARTS = {"caption": 0, "colgroup": 0, "tbody": 0, "thead": 0, "tfoot": 0, "tr":
 #: Elements whose end tags take effect across others that are open inside of them.
 FORMATS = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 MAX_LINK, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.35, 70, 200, 0.15, 0.28
+#: Share of stop words of a page's words below which it counts as of a language without any, and length from which its blocks are long.
+STOP_NONE, LONG_UNKNOWN = 0.02, 100
 
 
 def is_hinted(attributes: str, hints: frozenset[str] = HINTS) -> bool:
     if "=" not in attributes:
-        return False
-    if re.search(r"\bhidden\b(?!\s*-)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", attributes) and not re.search(r"(?:class|id)\s*=\s*[\"'][^\"']*hidden", attributes):
+        return BARE_HIDDEN.search(attributes) is not None
+    if re.search(r"(?<![\w-])hidden\b(?!\s*-)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", attributes) and not re.search(r"(?:class|id)\s*=\s*[\"'][^\"']*hidden", attributes):
         return True
     for m in re.finditer(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", attributes, re.I):
         for name in (m[1] or m[2] or m[3] or "").split():
             parts = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
-            if parts[0] not in ABOUT and not hints.isdisjoint(parts):
+            if parts[0] not in ABOUT and parts[-1] not in ("free", "less") and not hints.isdisjoint(parts):
                 return True
     return False
 
@@ -153,9 +160,10 @@ class Block:
         self.link_chars, self.in_article, self.heading, self.listed = 0, in_article, heading, listed
 
 
-def blocks(page: str, hinted: bool = True) -> list[tuple[str, float, bool, bool, bool]]:
+def blocks(page: str, hints: frozenset[str] = HINTS, aside: frozenset[str] = ASIDE, left_out: list[int] | None = None) -> list[tuple[str, float, bool, bool, bool]]:
     """(text, share of characters in links, in an article, heading, not a paragraph) of each block outside of elements that hold no
-    main text; with hinted, also of those that only their class, id or role says so of. One pass; a tag that never ends ends the page.
+    main text, by their own names, those of aside, or by hints in their class, id or role. To left_out the number of characters
+    in these elements is added. One pass; a tag that never ends ends the page.
     """
     out: list[tuple[str, float, bool, bool, bool]] = []
     now: Block | None = None
@@ -173,7 +181,10 @@ def blocks(page: str, hinted: bool = True) -> list[tuple[str, float, bool, bool,
 
     def add(piece: str) -> None:
         nonlocal now
-        if piece and skipped < 0:
+        if skipped >= 0:
+            if left_out is not None:
+                left_out[0] += len(piece)
+        elif piece:
             if now is None:
                 if not piece.strip():
                     return
@@ -189,7 +200,7 @@ def blocks(page: str, hinted: bool = True) -> list[tuple[str, float, bool, bool,
             break
         add(page[at:lt])
         if page.startswith(("<!", "<?"), lt):
-            comment = page.startswith("<!--", lt)
+            comment = page.startswith("<!--", lt) and not page.startswith(("<!-->", "<!--->"), lt)
             end = page.find("-->" if comment else ">", lt + 4 * comment)
             at = size if end < 0 else end + (3 if comment else 1)
             continue
@@ -230,7 +241,8 @@ def blocks(page: str, hinted: bool = True) -> list[tuple[str, float, bool, bool,
             link = -1
         if ends or name in VOID or name in ("html", "head", "body", "article", "main"):
             continue
-        if name in ASIDE or (name == "header" and not article) or (hinted and is_hinted(attributes, HINTS - OWN if article else HINTS)):
+        inner = hints - OWN if article else hints
+        if name in aside or name in CONTROLS or (name == "header" and not article and "header" in hints) or is_hinted(attributes, frozenset() if name == "h1" else inner):
             tree.least = len(tree.names)
             skipped = tree.least - 1
     close()
@@ -259,15 +271,22 @@ def judged(found: list[tuple[str, float, bool, bool, bool]]) -> list[bool | None
     be in another language), and so does being a link if it is a paragraph between others that aren't.
     Pass 2: an undecided block takes the label of the nearest decided neighbours, which are looked for inside of the
     article or outside of it as the block is. On a page with an article, its edges count as good neighbours inside and as
-    bad ones outside. If they differ, a heading takes that of the one below, blocks in an article are good, and others
+    bad ones outside. A page with next to no stop word, so in a language that has none here, is judged by length and links. If they differ, a heading takes that of the one below, blocks in an article are good, and others
     are bad unless stop words say good. A paragraph that is a link is good only between blocks decided as good.
     """
     labels: list[bool | None] = []
     linked_text: set[int] = set()
     density: list[float] = []
-    for i, (text, linked, inside, _, listed) in enumerate(found):
+    all_words = stops = 0
+    for text, *_ in found:
         words = WORDS.findall(text.lower())
-        density.append(sum(w in STOP for w in words) / max(1, len(words)))
+        hits = sum(w in STOP for w in words)
+        all_words, stops = all_words + len(words), stops + hits
+        density.append(hits / max(1, len(words)))
+    unknown = stops < STOP_NONE * all_words
+    for i, (text, linked, inside, _, listed) in enumerate(found):
+        if unknown:
+            density[i] = STOP_HIGH if len(text) >= LONG_UNKNOWN else STOP_LOW / 2
         if text.startswith(("©", "(c)")):
             labels.append(False)
         elif linked > MAX_LINK:
@@ -300,19 +319,32 @@ def judged(found: list[tuple[str, float, bool, bool, bool]]) -> list[bool | None
     return labels
 
 
+def good_blocks(page: str, hints: frozenset[str] = HINTS, aside: frozenset[str] = ASIDE, left_out: list[int] | None = None) -> list[tuple[str, float, bool, bool, bool]]:
+    found = blocks(page, hints, aside, left_out)
+    return [b for b, is_good in zip(found, judged(found), strict=True) if is_good]
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page: its good blocks, joined by one line feed.
 
-    Where that is nothing, elements that only their names say hold no main text are looked into: if an article or several
-    good blocks are in there, the names tell of a layout (as has a sidebar), and these blocks are the text.
+    Names may tell of a layout, as of a page that has a sidebar. Where more characters are left out than are good, elements that only
+    names of places say hold no main text are looked into, and if that gives several times as much, it is the text. Where there
+    is nothing yet, all that only names say so of is looked into, and then forms, which may be around a whole page: these
+    blocks are the text if they are in an article, several, or long.
     """
-    found = blocks(page or "")
-    good = [b for b, is_good in zip(found, judged(found), strict=True) if is_good]
-    if not good and page:
-        found = blocks(page, hinted=False)
-        good = [b for b, is_good in zip(found, judged(found), strict=True) if is_good]
-        if len(good) < 3 and not any(inside for _, _, inside, _, _ in good):
-            good = []
+    page, left_out = page or "", [0]
+    good = good_blocks(page, left_out=left_out)
+    length = lambda found: sum(len(b[0]) for b in found)
+    if left_out[0] > (had := length(good)):
+        inner = good_blocks(page, OTHERS) if good else []
+        if length(inner) > 3 * had and sum(len(b[0]) >= LONG for b in inner) > 1:
+            good = inner
+        for hints, aside in ((frozenset(), ASIDE), (HINTS, ASIDE - {"form"}), (frozenset(), ASIDE - {"form"})):
+            if good:
+                break
+            found = good_blocks(page, hints, aside)
+            if len(found) >= 3 or any(b[2] for b in found) or (aside is not ASIDE and any(len(b[0]) >= LONG for b in found)):
+                good = found
     return "\n".join(b[0] for b in good)
 
 

@@ -14,7 +14,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, VariantType
 
 from tidemark.llm.common import WORD, sent, written
 
@@ -142,15 +141,22 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Every row of docs with size, source_size, target, copies and taken, as mix() has them; columns of docs of these names give way.
 
     Rows of one id, source and text have the same claim, whether ids are null or not: the copies that these take together are
-    dealt to them evenly, in the order of their other columns. Only sizes and ids are shuffled unless ids are too many to broadcast.
+    dealt to them evenly, in an order of their other columns' hash. Only sizes and ids are shuffled unless ids are too many to broadcast.
     """
     keyed = docs.select(F.struct(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("h")).alias("key"), docs[source_col].alias("source"), docs[text_col].alias("text"), F.struct("*").alias("row"))
     found = mix(keyed, id_col="key", text_col="text", source_col="source", **options)
     per = found.groupBy(F.col("key").alias("of"), F.col("source").alias("from")).agg(F.count("*").alias("rows"), F.sum("copies").alias("all"), *(F.any_value(c).alias(c) for c in ("size", "source_size", "target")))
     same = F.col("key.id").eqNullSafe(F.col("of.id")) & (F.col("key.h") == F.col("of.h")) & F.col("source").eqNullSafe(F.col("from"))
     rows = keyed.join(sent(per, "copies", 96), same)
-    repeated = Window.partitionBy("key", "source").orderBy(*(F.col("row").getField(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))))
+    # rows that are equal in all columns are one with a count, and spread out again by thousands
+    held = [F.any_value(c).alias(c) for c in ("row", "all", "rows", "size", "source_size", "target")]
+    alike = rows.where("rows > 1").groupBy("key", "source", F.xxhash64(F.to_json("row")).alias("content")).agg(F.count("*").alias("times"), *held)
+    alike = alike.withColumn("before", F.sum("times").over(Window.partitionBy("key", "source").orderBy("content")) - F.col("times"))
+    parts = alike.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / REPEATS)))).repartition("key", "content", "part")
+    numbers = F.sequence(F.col("part") * REPEATS, F.least(F.col("times"), (F.col("part") + 1) * REPEATS) - 1)
+    spread = parts.withColumn("at", F.explode(numbers)).withColumn("nth", F.col("before") + F.col("at") + 1)
     copies = F.floor((F.col("all") + F.col("rows") - F.col("nth")) / F.col("rows"))
-    nth = rows.where("rows = 1").withColumn("nth", F.lit(1)).unionByName(rows.where("rows > 1").withColumn("nth", F.row_number().over(repeated)))
+    kept = ["row", "all", "rows", "size", "source_size", "target", "nth"]
+    nth = rows.where("rows = 1").withColumn("nth", F.lit(1).cast("long")).select(*kept).unionByName(spread.select(*kept))
     new = ["size", "source_size", "target", "copies", "taken"]
     return nth.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in new), *new)
