@@ -19,7 +19,8 @@ KINDS = {
     "float": "float|double|double precision|float64",
     "float32": "float32 real",
     "numeric": "numeric decimal",
-    "json": "json jsonb",
+    "json": "json",
+    "jsonb": "jsonb",
     "bytes": "bytea blob binary varbinary longblob",
     "enum": "enum enum8 enum16",
 }
@@ -45,14 +46,14 @@ def type_parts(name: Column) -> Column:
 
 
 def type_change_class(old: Column, new: Column) -> Column:
-    """SAFE, WARN or CRITICAL. Safe are equal kinds, longer or unlimited varchars, integer to bigint and varchar to text; a change
+    """SAFE, WARN or CRITICAL. Safe are equal kinds, longer or unlimited varchars, integer to bigint, varchar to text and json to jsonb; a change
     between timestamps with and without a zone is a warning; a shorter varchar, a numeric of less precision and any other
     change of kind are critical."""
     a, b = type_parts(old), type_parts(new)
     is_ = lambda x, y: (a["kind"] == x) & (b["kind"] == y)
     return (
         F.when(is_("varchar", "varchar"), F.when(a["size"].isNull() | b["size"].isNull() | (b["size"] >= a["size"]), F.lit("SAFE")).otherwise(F.lit("CRITICAL")))
-        .when(is_("integer", "biginteger") | is_("varchar", "text"), F.lit("SAFE"))
+        .when(is_("integer", "biginteger") | is_("varchar", "text") | is_("json", "jsonb"), F.lit("SAFE"))
         .when(is_("timestamp", "timestamptz") | is_("timestamptz", "timestamp"), F.lit("WARN"))
         .when((a["kind"] != b["kind"]) | ((a["kind"] == "numeric") & F.coalesce(b["size"] < a["size"], F.lit(False))), F.lit("CRITICAL"))
         .otherwise(F.lit("SAFE"))

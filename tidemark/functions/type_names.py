@@ -13,17 +13,19 @@ SPELLINGS = {
     "varchar": "varchar nvarchar string fixedstring ipv4 ipv6",
     "char": "char character bpchar",
     "text": "text clob mediumtext longtext tinytext",
-    "json": "json jsonb map",
+    "json": "json map",
+    "jsonb": "jsonb",
     "binary": "bytea blob binary varbinary longblob",
     "date": "date date32",
     "timestamp": "timestamp datetime datetime64",
     "timestamptz": "timestamptz",
-    "time": "time timetz",
+    "time": "time",
+    "timetz": "timetz",
     "uuid": "uuid",
     "interval": "interval",
 }
 #: Spellings of several words.
-LONG_SPELLINGS = {"double precision": "double", "character varying": "varchar", "timestamp without time zone": "timestamp", "timestamp with time zone": "timestamptz"}
+LONG_SPELLINGS = {"double precision": "double", "character varying": "varchar", "timestamp without time zone": "timestamp", "timestamp with time zone": "timestamptz", "time without time zone": "time", "time with time zone": "timetz"}
 TYPE_NAMES = {name: common for common, names in SPELLINGS.items() for name in names.split()} | LONG_SPELLINGS
 
 #: Types that SQLite has under another name, and beginnings of those that it takes as they are.

@@ -102,11 +102,11 @@ def diff_severity(spark: SparkSession, d: str) -> DataFrame:
 
 TYPE_NAMES = ["INTEGER", "int4", "SMALLINT", "BIGINT", "int8", "VARCHAR(100)", "VARCHAR(50)", "character varying(255)", "VARCHAR", "TEXT", "CHAR(3)", "NUMERIC(10,2)", "numeric(5, 2)", "DECIMAL", "REAL", "DOUBLE PRECISION", "TIMESTAMP", "timestamptz", "timestamp with time zone", "DATE", "JSON", "JSONB", "UUID", "BOOLEAN"]
 #: The same types as (name, kind, size), spelled out apart from the code that reads them.
-TYPE_KINDS = [("INTEGER", "i", None), ("int4", "i", None), ("SMALLINT", "i", None), ("BIGINT", "b", None), ("int8", "b", None), ("VARCHAR(100)", "v", 100), ("VARCHAR(50)", "v", 50), ("character varying(255)", "v", 255), ("VARCHAR", "v", None), ("TEXT", "t", None), ("CHAR(3)", "c", 3), ("NUMERIC(10,2)", "n", 10), ("numeric(5, 2)", "n", 5), ("DECIMAL", "n", None), ("REAL", "f4", None), ("DOUBLE PRECISION", "f8", None), ("TIMESTAMP", "s", None), ("timestamptz", "z", None), ("timestamp with time zone", "z", None), ("DATE", "d", None), ("JSON", "j", None), ("JSONB", "j", None), ("UUID", "u", None), ("BOOLEAN", "o", None)]
+TYPE_KINDS = [("INTEGER", "i", None), ("int4", "i", None), ("SMALLINT", "i", None), ("BIGINT", "b", None), ("int8", "b", None), ("VARCHAR(100)", "v", 100), ("VARCHAR(50)", "v", 50), ("character varying(255)", "v", 255), ("VARCHAR", "v", None), ("TEXT", "t", None), ("CHAR(3)", "c", 3), ("NUMERIC(10,2)", "n", 10), ("numeric(5, 2)", "n", 5), ("DECIMAL", "n", None), ("REAL", "f4", None), ("DOUBLE PRECISION", "f8", None), ("TIMESTAMP", "s", None), ("timestamptz", "z", None), ("timestamp with time zone", "z", None), ("DATE", "d", None), ("JSON", "j", None), ("JSONB", "y", None), ("UUID", "u", None), ("BOOLEAN", "o", None)]
 
 
 @query(f"""WITH k AS (SELECT * FROM {values(TYPE_KINDS, 't, k, n')})
-SELECT x.t AS a, y.t AS b, CASE WHEN x.k = 'v' AND y.k = 'v' AND y.n < x.n OR x.k = 'n' AND y.k = 'n' AND y.n < x.n THEN 'CRITICAL' WHEN x.k = y.k OR x.k || y.k IN ('ib', 'vt') THEN 'SAFE' WHEN x.k || y.k IN ('sz', 'zs') THEN 'WARN' ELSE 'CRITICAL' END AS class FROM k x, k y""")
+SELECT x.t AS a, y.t AS b, CASE WHEN x.k = 'v' AND y.k = 'v' AND y.n < x.n OR x.k = 'n' AND y.k = 'n' AND y.n < x.n THEN 'CRITICAL' WHEN x.k = y.k OR x.k || y.k IN ('ib', 'vt', 'jy') THEN 'SAFE' WHEN x.k || y.k IN ('sz', 'zs') THEN 'WARN' ELSE 'CRITICAL' END AS class FROM k x, k y""")
 def type_change_classes(spark: SparkSession, d: str) -> DataFrame:
     """Every change between two of the types."""
     names = F.array(*map(F.lit, TYPE_NAMES))
