@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.functions.aggregates import agg, finalised, state_table
-from tidemark.operators import audits, history, layout, objects, refresh
+from tidemark.operators import audits, history, layout, lookups, objects, refresh
 from tidemark.plans.objects import DIFF, changes
 from tidemark.plans.registry import query
 from tidemark.plans.schemas import values
@@ -208,5 +208,5 @@ def sketches_are_near(spark: SparkSession, d: str) -> DataFrame:
     sketches = [agg.uniq("user_id", "users"), agg.quantile("value", 0.5, "median")]
     states = state_table(e, {"event_type": F.col("event_type"), "block": F.col("event_id") % 5}, sketches)
     about = finalised(states, ["event_type"], sketches)
-    exact = e.join(F.broadcast(about.select("event_type", "median")), "event_type").groupBy("event_type").agg(F.count_distinct("user_id").alias("n"), (F.count_if(F.col("value") <= F.col("median")) / F.count("value")).alias("share"))
+    exact = e.join(lookups.maybe_broadcast(about.select("event_type", "median")), "event_type").groupBy("event_type").agg(F.count_distinct("user_id").alias("n"), (F.count_if(F.col("value") <= F.col("median")) / F.count("value")).alias("share"))
     return exact.join(about, "event_type").select("event_type", (F.abs(F.col("users") - F.col("n")) <= 0.05 * F.col("n")).alias("users_near"), (F.abs(F.col("share") - 0.5) < 0.02).alias("median_near"))
