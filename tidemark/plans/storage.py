@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.functions.aggregates import agg
-from tidemark.operators import audits, dml, layout, lookups, skip_index
+from tidemark.operators import audits, dml, encodings, layout, lookups, manifests, skip_index
 from tidemark.operators.rollup import AggregatingView, ViewRegistry, select_is_safe
 from tidemark.plans.analytics import EXACT, blocks, hourly
 from tidemark.plans.registry import query
@@ -130,6 +130,28 @@ def like_by_skip_index(spark: SparkSession, d: str) -> DataFrame:
     return lookups.union_of(found)
 
 
+@query("""SELECT 'now' AS state, o_orderkey FROM orders WHERE o_orderstatus <> 'O' AND (o_orderstatus <> 'F' OR o_totalprice > 50000)
+UNION ALL SELECT 'frozen', o_orderkey FROM orders WHERE o_orderstatus = 'O'""")
+def frozen_partition(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by status: one partition is kept aside and dropped, another replaced, and files that nothing names are freed."""
+    orders = load(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    table = manifests.ManifestTable(spark, place(spark, "manifests"), "o_orderstatus")
+    table.append(orders)
+    table.freeze("open", "O")
+    table.drop_partition("O")
+    table.replace_partition("F", orders.where("o_orderstatus = 'F' AND o_totalprice > 50000"))
+    table.free()
+    return table.read().select(F.lit("now").alias("state"), "o_orderkey").unionByName(table.read("open").select(F.lit("frozen").alias("state"), "o_orderkey"))
+
+
+@query("SELECT * FROM lineitem")
+def encoded_table(spark: SparkSession, d: str) -> DataFrame:
+    """Stored with codecs by column, dictionaries where sketches tell few values; rows as they were."""
+    at = place(spark, "encoded")
+    encodings.write_encoded(load(spark, d, "lineitem"), at, {"l_orderkey": "CODEC(Delta, ZSTD(3))", "l_linenumber": "Delta", "l_extendedprice": "ZSTD(1)"})
+    return spark.read.parquet(at)
+
+
 @query("SELECT event_id, user_id, value FROM events")
 def queue_messages(spark: SparkSession, d: str) -> DataFrame:
     """What a queue holds, as a batch, several tasks a partition."""
