@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of two rows or more the row of the smallest id stays, or, of rows without one, that of the least text hash.
-    Rows without words stay, repeated or not."""
+    Rows without words stay, repeated or not. Of rows of one id and text the one of the least hash stays, so that reruns agree."""
     linked = written(jaccard_join(docs), "components").where("n_links > 0")
     first = linked.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first"))
     linked = linked.join(sent(first, "first"), "component").withColumn("stays", F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h")))
@@ -38,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"]).alias("h"))
     same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h"))
     stay = rows.join(gone, same, "left_anti")
-    return stay.join(again, same, "left_anti").select("row.*").unionByName(stay.join(again, same, "left_semi").groupBy("id", "h").agg(F.any_value("row").alias("row")).select("row.*"))
+    return stay.join(again, same, "left_anti").select("row.*").unionByName(stay.join(again, same, "left_semi").groupBy("id", "h").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
