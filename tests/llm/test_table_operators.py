@@ -449,18 +449,18 @@ def test_hot_repeated_rows_are_mixed_evenly(spark, monkeypatch):
 
 
 def test_items_of_one_id_or_none_are_dealt_out(spark, monkeypatch):
-    taken, search = [], decontaminate.Windows
+    taken, made = [], decontaminate.Windows.__init__
 
-    def windows(items):
+    def counted(self, items, *more):
         taken.append(sum(len(t) for _, t in items))
-        return search(items)
+        made(self, items, *more)
 
     items = [(None if i % 2 else 1, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(60)] * 2
     docs = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(60)] + [(99, "clean words only")]
     a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     want = sorted(map(tuple, decontaminate.decontaminate(a, b, unnamed=True).select(*columns).collect()))
-    monkeypatch.setattr(decontaminate, "Windows", windows)
+    monkeypatch.setattr(decontaminate.Windows, "__init__", counted)
     got = sorted(map(tuple, decontaminate.decontaminate(a, b, unnamed=True, block_bytes=2000).select(*columns).collect()))
     assert got == want and sum(r[-1] for r in got) == 60
     assert len(taken) > 3 and max(taken) < 3 * 2000
