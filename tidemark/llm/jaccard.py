@@ -8,8 +8,9 @@ keeps shared passages out of the prefixes.
 
 Lists are sorted by size of set. An entry stays if its list has one within its reach by size and by position, which is looked
 for in blocks that are skipped by their bounds. A list's centre is its set of the least fingerprint, the same one in most
-lists of near copies; sets whose entries have the same centre are one group. A set goes to each of its groups once, as its
-text, however many lists it is in, and large groups are dealt out as pairs of blocks.
+lists of near copies; sets whose entries have the same centre are one group. A set goes to each of its groups, as its text,
+however many lists it is in. Large groups are dealt out as pairs of blocks: then it goes to every block of the group, so that
+what is shuffled grows with the square of a large group's different sets.
 
 In a group the sets are walked in order of likeness, and answers are derived: what a set shares with all others is what a
 similar set before it shares with them, changed along the lists of the shingles that only one of the two has. A pair of
