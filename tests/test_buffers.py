@@ -1,10 +1,11 @@
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources.engines import TableKind
-from tidemark.streaming.buffers import Thresholds, buffered
+from tidemark.streaming.buffers import Thresholds, _Layer, buffered
 
 
 def test_thresholds_of_a_declaration():
@@ -48,3 +49,53 @@ def test_flushes_by_rows_and_time_and_over_a_restart(spark, tmp_path):
     for r in seen:
         flushes.setdefault((r["__layer"], r["__flush"]), []).append(r["__rows"])
     assert all(len(v) == v[0] for v in flushes.values())
+
+
+class _Counted:
+    """Stands in for a handle, its states and its timers, and counts what is asked of them."""
+
+    def __init__(self):
+        self.asked, self.held, self.timers, self.value = 0, [], [], None
+
+    def getListState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return type("Sums", (), {"exists": lambda _: self.value is not None, "get": lambda _: self.value, "update": lambda _, v: setattr(self, "value", v)})()
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def appendList(self, rows):
+        self.asked, self.held = self.asked + 1, self.held + list(rows)
+
+    def get(self):
+        self.asked += 1
+        return iter(self.held)
+
+    def clear(self):
+        self.asked, self.held = self.asked + 1, []
+
+    def getCurrentProcessingTimeInMs(self):
+        return 5000
+
+
+def test_rows_of_a_large_block_pass_by_the_state_and_are_handed_on_as_they_come():
+    handle, layer = _Counted(), _Layer(Thresholds(layers=1, min_time=100, max_time=200, min_rows=10**9, max_rows=100, min_bytes=10**9, max_bytes=10**9))
+    layer.init(handle)
+    texts, read = [f"é{i}" for i in range(10_030)], []
+
+    def block(some):
+        for i in range(0, len(some), 50):
+            read.append(i)
+            yield pd.DataFrame({"value": some[i : i + 50]})
+
+    flow = layer.handleInputRows((0,), block(texts), handle)
+    first = next(flow)
+    assert len(first) == 100 and len(read) == 2  # not the whole block
+    flushes = [first, *flow]
+    assert [len(f) for f in flushes] == [100] * 100 and [f["flush"][0] for f in flushes] == list(range(100))
+    assert handle.asked == 1 and len(handle.held) == 30 and sorted(handle.timers) == [105_000, 205_000]
+    (late,) = layer.handleInputRows((0,), block(["x"] * 75), handle)  # what waited comes first
+    assert late["value"].tolist() == texts[10_000:] + ["x"] * 70 and late["rows"].tolist() == [100] * 100
+    assert handle.held == [("x",)] * 5 and handle.value[0] == 5

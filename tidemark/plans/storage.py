@@ -5,7 +5,6 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,13 +91,16 @@ def buffer_thresholds(spark: SparkSession, d: str) -> DataFrame:
     events.repartition(3).write.parquet(f"{at}/in")
     limits = buffers.Thresholds(layers=3, min_time=0.5, max_time=3, min_rows=50, max_rows=700, min_bytes=1000, max_bytes=50_000)
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    flow = buffers.buffered(source, lambda rows, k: rows.write.mode("overwrite").parquet(f"{at}/out/block={k}"), f"{at}/offsets", limits, "500 milliseconds")
-    total, until = events.count(), time.monotonic() + 300
+    total, flushed = events.count(), {}
+
+    def block(rows: DataFrame, k: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{at}/out/block={k}")
+        flushed[k] = rows.sparkSession.read.parquet(f"{at}/out/block={k}").count()
+
+    flow = buffers.buffered(source, block, f"{at}/offsets", limits, "500 milliseconds")
     try:
-        while time.monotonic() < until and flow.isActive:
-            time.sleep(1)
-            if flushed_rows(spark, at) >= total:
-                break
+        while flow.isActive and sum(flushed.values()) < total:  # however long it takes: what waits is flushed after max_time
+            time.sleep(0.2)
     finally:
         flow.stop()
     if flow.exception():
@@ -108,14 +110,6 @@ def buffer_thresholds(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.bool_and(fits).alias("within"))
 
 
-def flushed_rows(spark: SparkSession, at: str) -> int:
-    """Rows that a buffer has handed on so far."""
-    try:
-        return spark.read.parquet(f"{at}/out").count()
-    except AnalysisException:  # nothing yet
-        return 0
-
-
 PATTERNS = ["%password%", "% tion%ing%", "%zzq%"]
 
 

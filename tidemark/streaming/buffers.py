@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
@@ -14,6 +15,7 @@ from pyspark.sql.types import StructType
 from tidemark.shipping import ship
 
 FLUSHED = "layer int, flush long, reason string, rows long, bytes long, age_ms long, value string"
+FIELDS = tuple(f.split()[0] for f in FLUSHED.split(", "))
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -55,28 +57,37 @@ class _Layer(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "value string")
         self.sums = handle.getValueState("sums", "rows long, bytes long, first long, flush long")
 
-    def _flushed(self, key: Any, rows: int, size: int, age: int, flush: int, reason: str) -> Iterator[Row]:
-        for (value,) in self.waiting.get():
-            yield Row(layer=key[0], flush=flush, reason=reason, rows=rows, bytes=size, age_ms=age, value=value)
-        self.waiting.clear()
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+    def _flushed(self, key: Any, rows: int, size: int, age: int, flush: int, reason: str, fresh: Sequence[str] = ()) -> Iterator[pd.DataFrame]:
+        """The rows of the state, if some of the flush's are there, then fresh ones."""
+        values = list(fresh)
+        if rows > len(fresh):
+            values = [value for (value,) in self.waiting.get()] + values
+            self.waiting.clear()
+        told = {"layer": key[0], "flush": flush, "reason": reason, "rows": rows, "bytes": size, "age_ms": age}
+        yield pd.DataFrame({"value": values}).assign(**told)[list(FIELDS)]
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        """Only what still waits at the block's end goes to the state, at once, and gets timers; each flush is handed on as it comes."""
         now = timerValues.getCurrentProcessingTimeInMs()
         n, size, first, flush = self.sums.get() if self.sums.exists() else (0, 0, now, 0)
-        for row in rows:
+        fresh: list[str] = []
+        for value in (v for some in rows for v in some["value"]):
             if not n:
                 first = now
-                for after in {self.limits.min_time, self.limits.max_time}:
-                    self.handle.registerTimer(int(first + after * 1000))
-            self.waiting.appendValue((row.value,))
-            n, size = n + 1, size + len(row.value.encode())
+            fresh.append(value)
+            n, size = n + 1, size + len(value.encode())
             reason = self.limits.reason(n, size, (now - first) / 1000)
             if reason:
-                yield from self._flushed(key, n, size, now - first, flush, reason)
-                n, size, flush = 0, 0, flush + 1
+                yield from self._flushed(key, n, size, now - first, flush, reason, fresh)
+                n, size, flush, fresh = 0, 0, flush + 1, []
+        if fresh:
+            self.waiting.appendList([(value,) for value in fresh])
+            if n == len(fresh):  # the first of them came now
+                for after in {self.limits.min_time, self.limits.max_time}:
+                    self.handle.registerTimer(int(first + after * 1000))
         self.sums.update((n, size, first, flush))
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         n, size, first, flush = self.sums.get()
         now = timerValues.getCurrentProcessingTimeInMs()
         reason = n and self.limits.reason(n, size, (now - first) / 1000)
@@ -102,7 +113,7 @@ def buffered(source: DataFrame, flush: Callable[[DataFrame, int], None], checkpo
     schema = StructType(source.schema.fields)
     text = F.to_json(F.struct(*(F.col(f"`{c}`") for c in source.columns)), {"ignoreNullFields": "false"})
     keyed = source.select(text.alias("value")).withColumn("layer", F.pmod(F.xxhash64("value"), F.lit(limits.layers)).cast("int"))
-    out = keyed.groupBy("layer").transformWithState(_Layer(limits), FLUSHED, "append", "ProcessingTime")
+    out = keyed.groupBy("layer").transformWithStateInPandas(_Layer(limits), FLUSHED, "append", "ProcessingTime")
 
     def block(rows: DataFrame, number: int) -> None:
         told = [F.col(c).alias(f"__{c}") for c in ("layer", "flush", "reason", "rows", "bytes", "age_ms")]
