@@ -1,3 +1,6 @@
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +57,15 @@ def test_declarations():
     for bad in ("ngrambf_v1(1)", "minmax", "tokenbf_v1(1, 2, 3, 4)"):
         with pytest.raises(ValueError):
             SkipIndex.parse(bad)
+
+
+def test_one_long_text_takes_one_pass_and_grams_stay_inside_of_texts(spark, tmp_path):
+    index, at, long = SkipIndex(n=4, bits=1 << 20), f"file://{tmp_path}/t", "".join(f"é{i} 𝄞" for i in range(100_000))
+    spark.createDataFrame([(0, long), (1, "abcX"), (2, None), (3, "Yz"), (4, "defg")], "id int, text string").coalesce(1).write.parquet(at)
+    start = time.monotonic()
+    got = {r.word: r.bits for r in skip_index.indexed(spark.read.parquet(at), "text", index).collect()}
+    assert time.monotonic() - start < 60  # cutting each gram from the text's beginning takes minutes
+    want = np.zeros(index.bits, bool)
+    index.mark(want, sorted({t[i : i + 4] for t in (long, "abcX", "defg") for i in range(len(t) - 3)}))
+    words = np.packbits(want, bitorder="little").view("<i8")
+    assert got == {-1: 0} | {int(w): int(words[w]) for w in np.flatnonzero(words)}
