@@ -265,3 +265,19 @@ def test_operations_without_a_statement_fail(spark):
     ops = spark.createDataFrame([("no_such_op", "t", "n", None)], "op string, table string, name string, detail string")
     with pytest.raises(Exception, match="no statement for"):
         rendered(ops).collect()
+
+
+def test_overlap_of_alike_tables_is_told_for_each_of_them(spark):
+    from tidemark.operators import schema_diff
+
+    kinds = {"a": [("x", "int"), ("y", "int"), ("z", "text")], "b": [("x", "int"), ("y", "text")], "c": [("z", "text"), ("y", "int"), ("x", "int")], "d": [("x", "int"), ("x", "int"), (None, "int")]}
+    tables = [{f"{side}{k}{i}": v for k, v in kinds.items() for i in range(4)} for side in "gn"]
+    for t in tables:
+        t["both"] = kinds["a"]
+    old, new = (spark.createDataFrame([(t, n, 0, k, True, None) for t, of in side.items() for n, k in of], schema_diff.COLUMNS) for side in tables)
+    want = {}
+    for (a, x), (b, y) in ((p, q) for p in tables[0].items() for q in tables[1].items()):
+        score = sum(m == n and m[0] is not None for m in x for n in y) / max(len(x), len(y))
+        if "both" not in (a, b) and score >= 0.6:
+            want[a, b] = score
+    assert {(r.old_table, r.new_table): r.score for r in schema_diff.table_overlap(old, new).collect()} == pytest.approx(want)

@@ -13,6 +13,7 @@ from tidemark.functions.change_classes import type_change_class
 from tidemark.functions.scalars import normal_default, normal_statement, normal_type
 from tidemark.operators.dependencies import dependency_levels
 from tidemark.operators.replay import replayed
+from tidemark.sources.places import kept
 
 COLUMNS = "table string, name string, position int, type string, nullable boolean, default string"
 #: Tables are taken for renamed from this share of common columns.
@@ -74,14 +75,23 @@ def with_renames(ops: DataFrame, confirmed: DataFrame) -> DataFrame:
 
 def table_overlap(old: DataFrame, new: DataFrame, least: float = OVERLAP) -> DataFrame:
     """(old_table, new_table, score) of dropped and created tables: columns alike in name and type, over the larger count.
-    Pairs come from the columns they share, so tables with nothing in common are never tried."""
+    Tables of the same columns are one class. Pairs of classes come from the columns they share, so those with nothing in common are
+    never tried; only pairs that reach least are told for all their tables."""
     old, new = canonical(old), canonical(new)
-    gone = old.join(new.select("table").distinct(), "table", "left_anti")
-    come = new.join(old.select("table").distinct(), "table", "left_anti")
-    n = lambda df, as_: df.groupBy(F.col("table").alias(as_)).agg(F.count("*").alias(f"n_{as_}"))
-    shared = gone.select(F.col("table").alias("old_table"), "name", "type").join(come.select(F.col("table").alias("new_table"), "name", "type"), ["name", "type"]).groupBy("old_table", "new_table").agg(F.count("*").alias("common"))
-    scored = shared.join(n(gone, "old_table"), "old_table").join(n(come, "new_table"), "new_table").withColumn("score", F.col("common") / F.greatest("n_old_table", "n_new_table"))
-    return scored.where(F.col("score") >= least).select("old_table", "new_table", "score")
+    gone = _alike(old.join(new.select("table").distinct(), "table", "left_anti"), "old")
+    come = _alike(new.join(old.select("table").distinct(), "table", "left_anti"), "new")
+    side = lambda df, as_: df.groupBy(f"{as_}_columns").agg(F.min(f"{as_}_table").alias(as_)).select(as_, F.size(f"{as_}_columns").alias(f"n_{as_}"), F.explode(f"{as_}_columns").alias("c")).select(as_, f"n_{as_}", "c.*")
+    shared = side(gone, "old").join(side(come, "new"), ["name", "type"]).groupBy("old", "new", "n_old", "n_new").agg(F.count("*").alias("common"))
+    scored = shared.withColumn("score", F.col("common") / F.greatest("n_old", "n_new")).where(F.col("score") >= least).select("old", "new", "score")
+    # each table with the first of its class, by which the pairs are spread
+    first = lambda df, as_: df.join(df.groupBy(f"{as_}_columns").agg(F.min(f"{as_}_table").alias(as_)), f"{as_}_columns").select(as_, f"{as_}_table")
+    return scored.join(first(gone, "old"), "old").join(first(come, "new"), "new").select("old_table", "new_table", "score")
+
+
+def _alike(columns: DataFrame, as_: str) -> DataFrame:
+    """(table, columns) of tables that have a name: what tells those of the same columns, in any order, is one array."""
+    all_of = F.array_sort(F.collect_list(F.struct("name", "type"))).alias(f"{as_}_columns")
+    return kept(columns.where("table IS NOT NULL").groupBy(F.col("table").alias(f"{as_}_table")).agg(all_of), "tables")
 
 
 def ordered(ops: DataFrame, rollback: bool = False) -> DataFrame:
