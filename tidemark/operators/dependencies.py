@@ -37,13 +37,13 @@ def dependency_levels(nodes: DataFrame, needs: DataFrame) -> DataFrame:
     ways = kept(nodes.join(needs, "id").select("id", "need", F.lit(1).alias("far")).unionByName(bare), "ways")
     total, grounded = nodes.count(), -1
     while True:
-        done = ways.groupBy("id").agg(F.count("need").alias("open")).where("open = 0").count()
+        # nodes of the same needs, equally far, are of one level: one of them stands for all
+        said = [F.bit_xor(F.xxhash64(F.lit(salt), "need", "far")).alias(f"said{salt}") for salt in (1, 2)]
+        summed = kept(ways.groupBy("id").agg(F.count("*").alias("n"), F.first("need").alias("need"), F.first("far").alias("far"), *said), "summed")
+        done = summed.where("n = 1 AND need IS NULL").count()  # a node has one way to the ground at most
         if done in (total, grounded):
             break
         grounded = done
-        # nodes of the same needs, equally far, are of one level: one of them stands for all
-        said = [F.sum(F.xxhash64(F.lit(salt), "need", "far").cast("decimal(38,0)")).alias(f"said{salt}") for salt in (1, 2)]
-        summed = ways.groupBy("id").agg(F.count("*").alias("n"), F.first("need").alias("need"), F.first("far").alias("far"), *said)
         alike = summed.where("n > 1").groupBy("n", "said1", "said2").agg(F.min("id").alias("one"), F.count("*").alias("of")).where("of > 1")
         onwards = summed.where("n = 1").select("id", F.col("need").alias("then"), F.col("far").alias("more"))
         onwards = onwards.unionByName(summed.join(alike, ["n", "said1", "said2"]).where("id <> one").select("id", F.col("one").alias("then"), F.lit(0).alias("more")))
