@@ -137,6 +137,39 @@ def test_logs_are_replayed_as_statement_by_statement(spark, monkeypatch, seed):
     assert {(x.table, x.name, x.type) for x in got.where("kind = 'column'").collect()} == now
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_hot_names_are_replayed_in_runs(spark, monkeypatch, seed):
+    """With every name cut into runs of few statements the same is left as with none cut."""
+    r = random.Random(seed)
+    tables, columns, kinds, log = ["t", "u"], ["a", "b", "c"], ["int", "date", "text"], []
+    for _ in range(150):
+        t, c = r.choice(tables), r.choice(columns)
+        makes, drops, moves = ("create", t, [(x, r.choice(kinds)) for x in columns[:2]]), ("drop table", t), ("rename table", t, r.choice(tables))
+        log.append(r.choice([makes, makes, drops, moves] + 3 * [("add", t, c, r.choice(kinds)), ("drop", t, c), ("rename", t, c, r.choice(columns)), ("type", t, c, r.choice(kinds))]))
+    sql = spark.createDataFrame([(i, SAID[what](t, *rest)) for i, (what, t, *rest) in enumerate(log)], "seq int, sql string")
+    start = spark.createDataFrame([("t", "a", "int"), ("u", "c", "int")], "table string, name string, type string")
+    left = lambda: sorted(tuple(x) for x in replay.replayed(start, sql).collect())
+    whole = left()
+    monkeypatch.setattr(replay, "HOT", 0)
+    monkeypatch.setattr(replay, "RUN", 4)
+    assert whole and left() == whole
+
+
+def test_a_table_that_is_made_again_stays_whatever_its_width(spark):
+    made = lambda c: f"CREATE TABLE t ({', '.join(f'{c}{i} int' for i in range(600))})"
+    got = replay.replayed(spark.createDataFrame([], "table string, name string, type string"), spark.createDataFrame([(1, made("a")), (2, made("b"))], "seq int, sql string"))
+    assert sorted(x.name for x in got.collect()) == sorted(f"a{i}" for i in range(600))
+
+
+def test_a_log_is_written_once_for_each_of_its_sorts(spark, monkeypatch):
+    names, kept = [], replay.kept
+    monkeypatch.setattr(replay, "kept", lambda df, name: names.append(name) or kept(df, name))
+    log = [(1, "CREATE TABLE t (a int, b text)"), (2, "ALTER TABLE t RENAME COLUMN a TO c"), (3, "ALTER TABLE t RENAME TO u"), (4, "ALTER TABLE u ADD d date"), (5, "CREATE INDEX ix ON u (c)"), (6, "DROP INDEX ix")]
+    got = replay.replayed(spark.createDataFrame([], "table string, name string, type string"), spark.createDataFrame(log, "seq int, sql string"))
+    assert {tuple(x) for x in got.collect()} == {("u", "column", "c", "int"), ("u", "column", "b", "text"), ("u", "column", "d", "date")}
+    assert sorted(names) == ["events", "inner", "inside", "start", "tables"]
+
+
 def test_scripts_are_cut_outside_of_quotes_and_comments(spark):
     cases = {
         "INSERT INTO t VALUES ('a--b'); SELECT 1": ["INSERT INTO t VALUES ('a--b')", "SELECT 1"], 'a ";" b; c /* ; */ d; $$ x; y $$ e;': ['a ";" b', "c  d", "$$ x; y $$ e"],

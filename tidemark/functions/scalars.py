@@ -104,7 +104,9 @@ def statements(sql: Column) -> Column:
     """The statements of a script, cut at semicolons outside of quotes, quoted names and dollar quotes, without comments and blanks.
     A quote that isn't closed is an ordinary sign."""
     bare = F.regexp_replace(sql, rf"(?<q>{_QUOTED})|--[^\n]*|/\*[\s\S]*?\*/".replace(r"\1", r"\2"), "${q}")
-    pieces = F.regexp_extract_all(bare, F.lit(rf"((?:{_QUOTED}|[^;])+)".replace(r"\1", r"\2")), F.lit(1))
+    pieces = F.regexp_extract_all(bare, F.lit(rf"((?:{_QUOTED}|[^;'\"`$]++|[^;])+)".replace(r"\1", r"\2")), F.lit(1))
+    # most statements of a log come alone: nothing in them begins a comment or is a cut
+    pieces = F.when(sql.contains(";") | sql.contains("--") | sql.contains("/*"), pieces).otherwise(F.when(sql.isNotNull(), F.array(sql)))
     return F.filter(F.transform(pieces, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
